@@ -9,7 +9,9 @@ from checks.registry import register
 from pageloom.functions import text as X
 from pageloom.functions import urls as U
 from pageloom.operators import elements as E
+from pageloom.operators import sections as S
 from pageloom.operators.shred import HEADINGS, shred
+from pageloom.operators.websites import with_website
 from pageloom.sources.pages import read_pages
 
 
@@ -57,3 +59,245 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size(E.links(F.col("dom"), F.col("url"))).cast("long").alias("n_links"), body.alias("body"))
     return rows.select("page_id", "domain", "title", "n_links", X.content_hash(F.col("body")).alias("content_hash"),
                        F.length("body").cast("long").alias("content_length"))
+
+
+# --- URLs
+@register(f"SELECT page_id, {DOMAIN} AS domain, regexp_extract(url, '^[a-z]+://[^/?#]*') AS domain_url FROM pages")
+def url_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return pages(spark, sf_dir).select("page_id", U.domain_of(url).alias("domain"), U.domain_url(url).alias("domain_url"))
+
+
+@register("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical_url, "
+          "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return pages(spark, sf_dir).select("page_id", U.canonical_url(url).alias("canonical_url"), U.path(url).alias("path"))
+
+
+def suffix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix rules taken from the pages' own hosts: their last label, and the two labels under `net`."""
+    host = U.host(F.col("url"))
+    top = F.substring_index(host, ".", -1)
+    rules = F.array(top, F.when(top == "net", F.substring_index(host, ".", -2)))
+    return pages(spark, sf_dir).select(F.explode(rules).alias("suffix")).where("suffix is not null").distinct()
+
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+_WEBSITE_SQL = f"""
+WITH h AS (SELECT page_id, url, string_split({_HOST}, '.') AS l FROM pages),
+s AS (SELECT *, CASE WHEN l[-1] = 'net' THEN 2 ELSE 1 END AS k FROM h),
+w AS (SELECT page_id, url, array_to_string(l[-(k + 1):], '.') AS website, array_to_string(l[-k:], '.') AS suffix FROM s)"""
+
+
+@register(_WEBSITE_SQL + " SELECT page_id, website, suffix FROM w")
+def url_website(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_website(pages(spark, sf_dir).select("page_id", "url"), suffix_list(spark, sf_dir)).drop("url")
+
+
+@register(_WEBSITE_SQL + """ SELECT page_id,
+  regexp_replace(website || regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^a-zA-Z0-9]', '_', 'g')
+    AS unique_page_name FROM w""")
+def url_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = with_website(pages(spark, sf_dir).select("page_id", "url"), suffix_list(spark, sf_dir))
+    return named.select("page_id", U.unique_page_name(F.col("website"), F.col("url")).alias("unique_page_name"))
+
+
+_HREFS = """SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw,
+  generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS pos FROM pages"""
+
+
+@register(f"SELECT page_id, pos, {decoded('raw')} AS raw, {DOMAIN} || {decoded('raw')} AS resolved FROM ({_HREFS})")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shred(pages(spark, sf_dir), attrs=("href",)).select("page_id", "url", F.posexplode(E.hrefs(F.col("dom"))).alias("pos", "raw"))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "raw", U.resolve_url(F.col("url"), F.col("raw")).alias("resolved"))
+
+
+# RE2 needs the pattern's alternation spelled the same; both engines take the leftmost, first alternative.
+_URL_HIT = ("regexp_extract(text, '(?:(?:http[s]?://)?(?:[a-zA-Z0-9.-]+(?:\\.[a-zA-Z]{2,4}))"
+            "|(?:www\\.[a-zA-Z0-9.-]+(?:\\.[a-zA-Z]{2,4})))')")
+
+
+@register(f"""SELECT doc_id, CASE WHEN h = '' THEN NULL WHEN h LIKE 'http://%' OR h LIKE 'https://%' THEN h
+ WHEN h LIKE 'www.%' THEN 'http://' || h ELSE 'http://www.' || h END AS first_url
+ FROM (SELECT doc_id, {_URL_HIT} AS h FROM documents)""")
+def first_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", U.first_url_in_text(F.col("text")).alias("first_url"))
+
+
+@register(f"""SELECT item_id, 'https://www.google.com/search?q=' || replace({squeezed('text')}, ' ', '+') || '&ie=utf-8&oe=utf-8'
+ AS search_url FROM benchmark""")
+def search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", U.search_url(F.col("text")).alias("search_url"))
+
+
+# --- fragments and titles
+@register(f"""SELECT page_id, substr(html, strpos(html, '<head>'), strpos(html, '</head>') + 7 - strpos(html, '<head>')) AS header_html,
+ {BODY} AS body_html,
+ CASE WHEN strpos(html, '<footer>') > 0 THEN substr(html, strpos(html, '<footer>'),
+   strpos(html, '</footer>') + 9 - strpos(html, '<footer>')) END AS footer_html FROM pages""")
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), attrs=(), keep_html=True)
+    return page.select("page_id", *[
+        E.fragment(F.col("dom"), F.col("html"), tag).alias(f"{name}_html")
+        for name, tag in (("header", "head"), ("body", "body"), ("footer", "footer"))])
+
+
+@register()
+def full_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred(pages(spark, sf_dir), text_nodes=True).select("page_id", E.pretty_html(F.col("dom")).alias("html"))
+
+
+_H1 = decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+
+
+@register(f"""SELECT page_id, {SOURCE_TITLE} AS title, {_H1} AS title_or_heading,
+ left(regexp_replace({SOURCE_TITLE}, '[^a-zA-Z0-9]', '_', 'g'), 60) AS page_title FROM pages""")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dom = F.col("dom")
+    return shred(pages(spark, sf_dir), parts_of=("title", "h1"), attrs=()).select(
+        "page_id", E.title(dom).alias("title"), E.title_or_heading(dom).alias("title_or_heading"),
+        X.page_title(E.title(dom)).alias("page_title"))
+
+
+@register(f"SELECT page_id, 'h1' AS tag, 0 AS pos, trim({_H1}) AS text FROM pages WHERE html LIKE '%<h1>%'")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.heading_rows(shred(pages(spark, sf_dir), parts_of=HEADINGS, attrs=()))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@register(f"""SELECT page_id, '{{"title":' || to_json({SOURCE_TITLE}) || ',"meta_tags":[]}}' AS header_structure FROM pages""")
+def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=("title",), attrs=("name", "content"))
+    return page.select("page_id", E.header_structure(F.col("dom")).alias("header_structure"))
+
+
+_ANCHORS = """SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">[^<]*', 0)) AS a FROM pages"""
+
+
+@register(f"""SELECT page_id, text, href, '' AS class_attr, CAST(NULL AS VARCHAR) AS id_attr FROM (
+ SELECT page_id, {squeezed(decoded("regexp_extract(a, '(?s)>(.*)', 1)"))} AS text,
+        {DOMAIN} || {decoded("regexp_extract(a, '\"([^\"]*)\"', 1)")} AS href FROM ({_ANCHORS})) WHERE text <> ''""")
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.link_rows(shred(pages(spark, sf_dir), parts_of=("a",), attrs=("href", "class", "id"))).drop("pos")
+
+
+@register(f"""SELECT page_id, len(list_filter(h, lambda x: x LIKE '/%' OR contains(x, {DOMAIN}))) AS n_internal,
+ len(list_filter(h, lambda x: NOT (x LIKE '/%' OR contains(x, {DOMAIN})))) AS n_external
+ FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dom, url = F.col("dom"), F.col("url")
+    return shred(pages(spark, sf_dir), attrs=("href",)).select(
+        "page_id", F.size(E.internal_links(dom, url)).cast("long").alias("n_internal"),
+        F.size(E.external_links(dom, url)).cast("long").alias("n_external"))
+
+
+# --- text jobs
+_PHONE = r"\(?\b\d{3}\)?[-.\s]*\d{3}[-.\s]*\d{4}\b"
+_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+_ADDRESS = r"[0-9]{1,5}\s([\p{L}\p{N}_]+\s){1,2}[\p{L}\p{N}_]*\.?"
+
+
+def matches_sql(key: str, column: str, relation: str, pattern: str, name: str, group: int = 0) -> str:
+    found = f"regexp_extract_all({column}, '{pattern}', {group})"
+    return (f"SELECT {key}, unnest({found}) AS {name}, generate_subscripts({found}, 1) - 1 AS pos FROM {relation}")
+
+
+def matches(df: DataFrame, key: str, found, name: str) -> DataFrame:
+    return df.select(key, F.posexplode(found).alias("pos", name)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register(matches_sql("doc_id", "text", "documents", _PHONE, "phone"))
+def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), "doc_id", X.phones(F.col("text")), "phone")
+
+
+@register(matches_sql("doc_id", "text", "documents", _EMAIL, "email"))
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), "doc_id", X.emails(F.col("text")), "email")
+
+
+@register(f"SELECT lower(split_part(email, '@', 2)) AS email_domain, count(*) AS n FROM ({matches_sql('doc_id', 'text', 'documents', _EMAIL, 'email')}) GROUP BY 1")
+def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = emails(spark, sf_dir)
+    return found.groupBy(F.lower(F.substring_index("email", "@", -1)).alias("email_domain")).agg(F.count("*").alias("n"))
+
+
+@register(matches_sql("doc_id", "text", "documents", _ADDRESS, "address", 1))
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), "doc_id", X.addresses(F.col("text")), "address")
+
+
+@register(matches_sql("doc_id", "text", "documents", _ADDRESS, "address"))
+def addresses_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), "doc_id", X.addresses(F.col("text"), full=True), "address")
+
+
+@register(f"""SELECT page_id, len(regexp_extract_all(html, '{_PHONE}')) AS n_phones, len(regexp_extract_all(html, '{_EMAIL}')) AS n_emails,
+ len(regexp_extract_all(html, '{_ADDRESS}')) AS n_addresses FROM pages""")
+def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return pages(spark, sf_dir).select("page_id", *[
+        F.size(found(html)).cast("long").alias(f"n_{found.__name__}") for found in (X.phones, X.emails, X.addresses)])
+
+
+def clean_sql(expr: str) -> str:
+    """SQL twin of the text clean-up, for text whose entities are in `decoded`."""
+    e = f"regexp_replace({expr}, '<[^>]+>', ' ', 'g')"
+    e = f"translate({e}, '“”–—' || chr(160) || '‘’', '\"\"-- ''''')"
+    e = f"regexp_replace({e}, '[^\\x00-\\x7F]+', ' ', 'g')"
+    e = f"trim(regexp_replace({e}, '[\\s\\x0B\\x1C-\\x1F]+', ' ', 'g'))"
+    return f"CASE WHEN {e} IN ('-', '/') THEN '' ELSE {e} END"
+
+
+@register(f"SELECT doc_id, {clean_sql(decoded('text'))} AS clean FROM documents")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+
+
+def cleanup_sql(expr: str) -> str:
+    e = f"replace(replace(replace({expr}, '&amp;', '&'), '&gt;', '>'), '&lt;', '<')"
+    return f"regexp_replace(regexp_replace({e}, '{WS}+', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g')"
+
+
+@register(f"SELECT page_id, {cleanup_sql('html')} AS clean FROM pages")
+def scrape_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", X.scrape_cleanup(F.col("html")).alias("clean"))
+
+
+# --- sections, lists, whole-page text
+@register()
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
+    return S.section_rows(page).select("page_id", "pos", "header", "kind", "text", F.array_join("items", "\n").alias("items"))
+
+
+_NAV_ITEMS = "regexp_extract_all(html, '(?s)<li><a href=\"[^\"]*\">(.*?)</a></li>', 1)"
+
+
+@register(f"""SELECT page_id, pos - 1 AS pos, item FROM (SELECT page_id,
+  unnest(list_transform({_NAV_ITEMS}, lambda t: {clean_sql(decoded('t'))})) AS item,
+  generate_subscripts({_NAV_ITEMS}, 1) AS pos, len({_NAV_ITEMS}) AS n FROM pages) WHERE n > 1""")
+def lists_ul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=("li", "p"), attrs=("style", "class", "hidden", "aria-hidden"), decode_twice=True)
+    found = page.select("page_id", F.explode(S.unordered_lists(F.col("dom"))).alias("l"))
+    return matches(found, "page_id", F.col("l.items"), "item")
+
+
+@register()
+def content_by_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=HEADINGS, text_nodes=True, attrs=())
+    rows = page.select("page_id", F.posexplode(S.content_by_headers(F.col("dom"))).alias("pos", "c"))
+    return rows.select("page_id", "pos", "c.level", "c.header", "c.content")
+
+
+@register()
+def clean_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=("title", "p", "li", *HEADINGS), attrs=("id",))
+    return page.select("page_id", S.clean_scrape(F.col("dom")).alias("c")).select("page_id", "c.*")
+
+
+@register()
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=("p",), attrs=())
+    return matches(page, "page_id", S.paragraphs(F.col("dom")), "text")

@@ -1,3 +1,11 @@
 """Web-page analytics on PySpark: pages in, extracted tables out."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel inside the task, so executors need no
+# copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

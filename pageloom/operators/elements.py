@@ -120,7 +120,7 @@ def section_after(dom: Column, heading: str, tag: str = "h2") -> Column:
     hit = first(F.filter(dom, lambda n: N.is_tag(n, tag) & (N.only_string(dom, n) == heading)))
     return let(hit, lambda h: F.transform(
         F.filter(dom, lambda n: (n["parent"] == h["parent"]) & (n["id"] > h["id"]) & (n["kind"] == "element")),
-        N.stripped_text))
+        lambda n: N.stripped_text(n)))
 
 
 # --- metadata
