@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns that must match what the surveyed scraper matches. `(?U)` gives
 # Java's \d \w \s \b the Unicode meaning they have in Python.
@@ -49,7 +50,7 @@ def ascii_text(c: Column) -> Column:
     return F.when(c.isin("-", "/"), F.lit("")).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """HTML entities to characters. Spark has no built-in; Arrow batches, standard library."""
     return texts.map(html.unescape, na_action="ignore")

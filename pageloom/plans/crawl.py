@@ -35,20 +35,20 @@ def crawl_items(pages: DataFrame) -> DataFrame:
         sitemap_entry(dom, url).alias("sitemap_entry"))
 
 
-def with_sitemaps(items: DataFrame, reached: DataFrame, files: DataFrame) -> DataFrame:
-    """Add `sitemap_links` and `sitemap_contents` from an `expand_sitemaps` result to items.
+def item_sitemap_links(reached: DataFrame) -> DataFrame:
+    """(sitemap_entry, url): the nested sitemaps found from an entry point, one row each.
 
-    The lists are built once per entry point, not per page. Links are the nested sitemaps found
-    on the way; contents are the bodies of every file read but robots.txt.
+    `reached` comes from `expand_sitemaps`. Items refer to these rows by their `sitemap_entry`:
+    a site's list is kept once and in rows, not once per page and not collected into one value.
     """
-    robots = F.col("seed").endswith("/robots.txt")
-    nested = F.col("depth") > F.when(robots, 1).otherwise(0)
-    bodies = reached.join(files, "url", "left").groupBy("seed").agg(
-        F.array_sort(F.collect_set(F.when(nested, F.col("url")))).alias("sitemap_links"),
-        F.array_sort(F.collect_set(F.when(~F.col("url").endswith("/robots.txt"), F.col("body")))).alias("sitemap_contents"))
-    none = F.array().cast("array<string>")
-    joined = items.join(bodies, items["sitemap_entry"] == bodies["seed"], "left").drop("seed")
-    return joined.withColumns({c: F.coalesce(c, none) for c in ("sitemap_links", "sitemap_contents")})
+    direct = F.when(F.col("seed").endswith("/robots.txt"), 1).otherwise(0)
+    return reached.where(F.col("depth") > direct).select(F.col("seed").alias("sitemap_entry"), "url")
+
+
+def item_sitemap_contents(reached: DataFrame, files: DataFrame) -> DataFrame:
+    """(sitemap_entry, url, content): the bodies of the sitemap files read from an entry point."""
+    read = reached.where(~F.col("url").endswith("/robots.txt")).join(files, "url")
+    return read.select(F.col("seed").alias("sitemap_entry"), "url", F.col("body").alias("content"))
 
 
 def simple_pages(pages: DataFrame) -> DataFrame:
