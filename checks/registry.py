@@ -25,7 +25,7 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 def _load() -> None:
-    from checks import derived_queries, page_queries  # noqa: F401
+    from checks import derived_queries, page_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

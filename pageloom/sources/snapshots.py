@@ -54,14 +54,16 @@ def parse_snapshots(saved: DataFrame) -> DataFrame:
     """Replace `content` by its metadata fields and `html`.
 
     Without a start marker all of it is html; without an end marker all is metadata and html is
-    empty. A field's value is what follows the first `": "` of its line; the last line wins.
+    empty. A field's value is what follows the first `": "` of its line; the last line wins. The
+    newline ending the header is not part of the html.
     """
     content = F.col("content")
     started = F.instr(content, F.lit(START))
     rest = F.substr(content, started + len(START))
     ended = F.instr(rest, F.lit(END))
     meta = F.when(started == 0, F.lit("")).when(ended == 0, rest).otherwise(F.substr(rest, F.lit(1), ended - 1))
-    html = F.when(started == 0, content).when(ended == 0, F.lit("")).otherwise(F.substr(rest, ended + len(END)))
+    html = F.when(started == 0, content).when(ended == 0, F.lit("")).otherwise(
+        F.regexp_replace(F.substr(rest, ended + len(END)), r"\A\n", ""))
     df = saved.withColumn("_meta", F.split(meta, "\n")).withColumn("html", html)
     for name in FIELDS:
         mine = F.filter("_meta", lambda line: strip(line).startswith(f"{name}: "))
