@@ -17,7 +17,6 @@ from pageloom.operators.shred import HEADINGS, shred
 from pageloom.plans.crawl import crawl_items, item_sitemap_contents, item_sitemap_links
 from pageloom.sources import sinks
 
-DOM, URL = F.col("dom"), F.col("url")
 C_URL = "'https://shop' || c_nationkey || '.example.com/c/' || c_custkey || '/index.html'"
 C_HOST = "'https://shop' || c_nationkey || '.example.com'"
 PHOTO = f"{C_HOST} || '/c/img/' || c_custkey || '.jpg'"
@@ -49,14 +48,14 @@ UNION ALL SELECT c_custkey, 2, {LAZY} FROM customer
 UNION ALL SELECT c_custkey, 3, {C_HOST} || '/bg/' || c_nationkey || '.webp' FROM customer""")
 def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), attrs=_IMAGE_ATTRS)
-    return E.explode_strings(page, E.image_links(DOM, URL), "image").withColumn("pos", F.col("pos").cast("long"))
+    return E.explode_strings(page, E.image_links(F.col("dom"), F.col("url")), "image").withColumn("pos", F.col("pos").cast("long"))
 
 
 @register(f"""SELECT c_custkey AS page_id, {CDN} AS src, {ALT} AS alt, c_custkey % 4 > 0 AS kept FROM customer
 UNION ALL SELECT c_custkey, {LAZY}, 'Lazy', true FROM customer""")
 def image_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), attrs=_IMAGE_ATTRS)
-    found = page.select("page_id", E.filtered_images(DOM, URL).alias("kept"), F.explode(E.images_with_alt(DOM, URL)).alias("i"))
+    found = page.select("page_id", E.filtered_images(F.col("dom"), F.col("url")).alias("kept"), F.explode(E.images_with_alt(F.col("dom"), F.col("url"))).alias("i"))
     return found.select("page_id", "i.src", "i.alt", F.array_contains("kept", F.col("i")).alias("kept"))
 
 
@@ -64,7 +63,7 @@ def image_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT c_custkey, 1, 'https://video.example.com/' || c_nationkey FROM customer""")
 def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), attrs=("src",))
-    return E.explode_strings(page, E.video_links(DOM), "src").withColumn("pos", F.col("pos").cast("long"))
+    return E.explode_strings(page, E.video_links(F.col("dom")), "src").withColumn("pos", F.col("pos").cast("long"))
 
 
 @register("""SELECT c_custkey AS page_id, href, true AS internal FROM customer, (VALUES (1), (2)) v(k),
@@ -72,7 +71,7 @@ def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT c_custkey, 'https://other.example.net/' || c_custkey, false FROM customer""")
 def internal_external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), attrs=("href",))
-    sides = F.map_from_arrays(F.array(F.lit(True), F.lit(False)), F.array(E.internal_links(DOM, URL), E.external_links(DOM, URL)))
+    sides = F.map_from_arrays(F.array(F.lit(True), F.lit(False)), F.array(E.internal_links(F.col("dom"), F.col("url")), E.external_links(F.col("dom"), F.col("url"))))
     return page.select("page_id", F.explode(sides).alias("internal", "hrefs")).select("page_id", F.explode("hrefs").alias("href"), "internal")
 
 
@@ -85,14 +84,14 @@ UNION ALL SELECT c_custkey, 7, 'More' FROM customer UNION ALL SELECT c_custkey,
 UNION ALL SELECT c_custkey, 9, 'cdn' FROM customer""")
 def section_after_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=("p", "ol", "ul", "table", "a", *HEADINGS), text_nodes=True, attrs=())
-    return E.explode_strings(page, E.section_after(DOM, "Facts"), "text").withColumn("pos", F.col("pos").cast("long"))
+    return E.explode_strings(page, E.section_after(F.col("dom"), "Facts"), "text").withColumn("pos", F.col("pos").cast("long"))
 
 
 @register("""SELECT c_custkey AS page_id, '{"title":"' || c_name || ' page","meta_tags":[{"name":"segment","content":"' || c_mktsegment
  || '"},{"name":"empty"}]}' AS header_structure FROM customer""")
 def meta_tags_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=("title",), attrs=("name", "content"))
-    return page.select("page_id", E.header_structure(DOM).alias("header_structure"))
+    return page.select("page_id", E.header_structure(F.col("dom")).alias("header_structure"))
 
 
 @register("""SELECT c_custkey AS page_id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name,
@@ -107,7 +106,7 @@ def json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
  '1. ' || c_mktsegment || chr(10) || '2. Nation ' || c_nationkey AS items FROM customer""")
 def lists_ol(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=("li", "p"), decode_twice=True)
-    found = page.select("page_id", F.explode(S.ordered_lists(DOM)).alias("l"))
+    found = page.select("page_id", F.explode(S.ordered_lists(F.col("dom"))).alias("l"))
     return found.select("page_id", "l.pre", "l.post", F.array_join("l.items", "\n").alias("items"))
 
 
@@ -149,7 +148,7 @@ def sections_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
  ) h(header, content))""")
 def content_by_headers_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=HEADINGS, text_nodes=True, attrs=())
-    return page.select("page_id", F.explode(S.content_map(S.content_by_headers(DOM))).alias("header", "content"))
+    return page.select("page_id", F.explode(S.content_map(S.content_by_headers(F.col("dom")))).alias("header", "content"))
 
 
 # Whether the part's style hides its element: by position in the list of styles.
@@ -161,7 +160,7 @@ _HIDES = "p_size % 10 < 7"
  'By ' || p_brand, 'Kept ' || p_type, 'Shown ' || p_name, 'Shown ' || p_name, 'Type ' || p_type, 'Foot ' || p_partkey]) AS text)""")
 def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.part_pages(spark, sf_dir), parts_of=("p",))
-    shown = page.select("page_id", N.hidden(DOM).alias("hid"), "dom").select(
+    shown = page.select("page_id", N.hidden(F.col("dom")).alias("hid"), "dom").select(
         "page_id", F.explode(F.filter("dom", lambda n: N.is_tag(n, "p") & ~F.get("hid", n["id"]))).alias("n"))
     return shown.select("page_id", N.text(F.col("n")).alias("text"))
 
@@ -186,10 +185,10 @@ _SECTION_TEXTS = f"""SELECT p_partkey AS page_id, header, kind, text FROM part,
 
 def _sections_of_parts(spark: SparkSession, sf_dir: str, filters: B.Filters) -> DataFrame:
     page = shred(D.part_pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
-    site = F.regexp_extract(URL, r"([a-z]+\.com)/", 1)
+    site = F.regexp_extract(F.col("url"), r"([a-z]+\.com)/", 1)
     rules = spark.createDataFrame([], B.SITE_FILTERS)
     ready = B.with_site_filters(page.withColumn("website", site), rules)
-    rows = S.section_rows(ready, B.dropped_test(DOM, F.col("site"), F.col("website"), filters))
+    rows = S.section_rows(ready, B.dropped_test(F.col("dom"), F.col("site"), F.col("website"), filters))
     return rows.select("page_id", "header", "kind", F.coalesce("text", F.get("items", F.lit(0))).alias("text"))
 
 
@@ -207,7 +206,7 @@ def boilerplate_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
  ('div', 'class'), ('div', 'role'), ('a', 'tabindex'), ('footer', 'name'), ('p', 'parent_name')) v(tag, rule)
  UNION ALL SELECT p_partkey, 'div', 'site' FROM part WHERE p_partkey % 3 = 0""")
 def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = shred(D.part_pages(spark, sf_dir)).withColumn("website", F.regexp_extract(URL, r"([a-z]+\.com)/", 1))
+    page = shred(D.part_pages(spark, sf_dir)).withColumn("website", F.regexp_extract(F.col("url"), r"([a-z]+\.com)/", 1))
     ready = B.with_site_filters(page, spark.createDataFrame([], B.SITE_FILTERS))
     return B.dropped_rows(ready, B.Filters(content=True, by_class=True)).select("page_id", "tag", "rule")
 
@@ -219,7 +218,7 @@ def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
  || 'Shown ' || p_name || 'Type ' || p_type || 'Item ' || p_size) AS char_count, p_name AS title FROM part""")
 def clean_scrape_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.part_pages(spark, sf_dir), parts_of=("title", "p", "li", *HEADINGS), attrs=("id",))
-    return page.select("page_id", S.clean_scrape(DOM).alias("c")).select(
+    return page.select("page_id", S.clean_scrape(F.col("dom")).alias("c")).select(
         "page_id", "c.clean_data", F.col("c.char_count").cast("long").alias("char_count"), "c.title")
 
 
@@ -249,8 +248,8 @@ def sitemap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0")
     robots = nations.select(D.template("https://shop{n_nationkey}.example.com/robots.txt").alias("robots"),
                             D.template("# n\nSitemap: https://m.example.com/{n_nationkey}\n").alias("body"))
-    joined = page.join(robots, M.robots_url(URL) == F.col("robots"), "left")
-    return joined.select("page_id", M.sitemap_entry(DOM, URL).alias("sitemap_entry"), M.page_sitemap_link(DOM, F.col("body")).alias("sitemap_link"))
+    joined = page.join(robots, M.robots_url(F.col("url")) == F.col("robots"), "left")
+    return joined.select("page_id", M.sitemap_entry(F.col("dom"), F.col("url")).alias("sitemap_entry"), M.page_sitemap_link(F.col("dom"), F.col("body")).alias("sitemap_link"))
 
 
 _TREE = f"""WITH RECURSIVE files AS (SELECT p_partkey AS k FROM part),

@@ -12,6 +12,7 @@ from pageloom.operators import elements as E
 from pageloom.operators import sections as S
 from pageloom.operators.shred import HEADINGS, shred
 from pageloom.operators.websites import with_website
+from pageloom.session import spread
 from pageloom.sources.pages import read_pages
 
 
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def decoded(expr: str) -> str:
     """SQL: the entities the page texts contain, decoded."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"),
@@ -122,7 +127,7 @@ _URL_HIT = ("regexp_extract(text, '(?:(?:http[s]?://)?(?:[a-zA-Z0-9.-]+(?:\\.[a-
  WHEN h LIKE 'www.%' THEN 'http://' || h ELSE 'http://www.' || h END AS first_url
  FROM (SELECT doc_id, {_URL_HIT} AS h FROM documents)""")
 def first_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", U.first_url_in_text(F.col("text")).alias("first_url"))
+    return texts(spark, sf_dir).select("doc_id", U.first_url_in_text(F.col("text")).alias("first_url"))
 
 
 @register(f"""SELECT item_id, 'https://www.google.com/search?q=' || replace({squeezed('text')}, ' ', '+') || '&ie=utf-8&oe=utf-8'
@@ -209,12 +214,12 @@ def matches(df: DataFrame, key: str, found, name: str) -> DataFrame:
 
 @register(matches_sql("doc_id", "text", "documents", _PHONE, "phone"))
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), "doc_id", X.phones(F.col("text")), "phone")
+    return matches(texts(spark, sf_dir), "doc_id", X.phones(F.col("text")), "phone")
 
 
 @register(matches_sql("doc_id", "text", "documents", _EMAIL, "email"))
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), "doc_id", X.emails(F.col("text")), "email")
+    return matches(texts(spark, sf_dir), "doc_id", X.emails(F.col("text")), "email")
 
 
 @register(f"SELECT lower(split_part(email, '@', 2)) AS email_domain, count(*) AS n FROM ({matches_sql('doc_id', 'text', 'documents', _EMAIL, 'email')}) GROUP BY 1")
@@ -225,12 +230,12 @@ def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(matches_sql("doc_id", "text", "documents", _ADDRESS, "address", 1))
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), "doc_id", X.addresses(F.col("text")), "address")
+    return matches(texts(spark, sf_dir), "doc_id", X.addresses(F.col("text")), "address")
 
 
 @register(matches_sql("doc_id", "text", "documents", _ADDRESS, "address"))
 def addresses_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), "doc_id", X.addresses(F.col("text"), full=True), "address")
+    return matches(texts(spark, sf_dir), "doc_id", X.addresses(F.col("text"), full=True), "address")
 
 
 @register(f"""SELECT page_id, len(regexp_extract_all(html, '{_PHONE}')) AS n_phones, len(regexp_extract_all(html, '{_EMAIL}')) AS n_emails,
@@ -252,7 +257,7 @@ def clean_sql(expr: str) -> str:
 
 @register(f"SELECT doc_id, {clean_sql(decoded('text'))} AS clean FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+    return texts(spark, sf_dir).select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
 def cleanup_sql(expr: str) -> str:
@@ -262,7 +267,7 @@ def cleanup_sql(expr: str) -> str:
 
 @register(f"SELECT page_id, {cleanup_sql('html')} AS clean FROM pages")
 def scrape_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", X.scrape_cleanup(F.col("html")).alias("clean"))
+    return spread(pages(spark, sf_dir)).select("page_id", X.scrape_cleanup(F.col("html")).alias("clean"))
 
 
 # --- sections, lists, whole-page text

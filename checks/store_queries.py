@@ -20,11 +20,14 @@ from pageloom.sources import sinks, snapshots as Z
 from pageloom.sources import tables as T
 from pageloom.streaming import ingest as I
 
-AS_OF = F.lit("2026-01-01 00:00:00").cast("timestamp")
 STAMP = "TIMESTAMP '2026-01-01 00:00:00'"
 SECURE = "url LIKE 'https://%'"
 
 
+def _as_of():
+    return F.lit("2026-01-01 00:00:00").cast("timestamp")
+
+
 def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an earlier crawl stored: the https pages, each with its URL as title and content."""
     return pages(spark, sf_dir).where(SECURE).select("url", F.col("url").alias("title"), F.col("url").alias("clean_body"))
@@ -34,18 +37,18 @@ def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT DISTINCT {DOMAIN} AS url, bool_or({SECURE}) OVER (PARTITION BY {DOMAIN}) AS known FROM pages""")
 def domains_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = spark.createDataFrame([], T.TABLES["domains"].schema)
-    known = R.new_domains(nothing, _existing(spark, sf_dir), AS_OF)
-    added = R.new_domains(known, pages(spark, sf_dir), AS_OF)
+    known = R.new_domains(nothing, _existing(spark, sf_dir), _as_of())
+    added = R.new_domains(known, pages(spark, sf_dir), _as_of())
     return known.select("url", F.lit(True).alias("known")).unionByName(added.select("url", F.lit(False).alias("known")))
 
 
 @register(f"""SELECT url, {DOMAIN} AS domain, 200::BIGINT AS http_status, {STAMP} AS last_updated, {SECURE} AS known FROM pages""")
 def webpages_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = spark.createDataFrame([], T.TABLES["webpages"].schema)
-    known = R.new_webpages(nothing, _existing(spark, sf_dir), AS_OF)
-    added = R.new_webpages(known, pages(spark, sf_dir), AS_OF)
+    known = R.new_webpages(nothing, _existing(spark, sf_dir), _as_of())
+    added = R.new_webpages(known, pages(spark, sf_dir), _as_of())
     both = known.withColumn("known", F.lit(True)).unionByName(added.withColumn("known", F.lit(False)))
-    domains = R.new_domains(spark.createDataFrame([], T.TABLES["domains"].schema), pages(spark, sf_dir), AS_OF)
+    domains = R.new_domains(spark.createDataFrame([], T.TABLES["domains"].schema), pages(spark, sf_dir), _as_of())
     names = domains.select(F.col("id").alias("domain_id"), F.col("url").alias("domain"))
     return both.join(names, "domain_id").select("url", "domain", "http_status", "last_updated", "known")
 
@@ -53,8 +56,8 @@ def webpages_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT url, {SOURCE_TITLE} AS title, md5({squeezed(BODY)}) AS content_hash,
  CASE WHEN {SECURE} THEN length(url) ELSE length({squeezed(BODY)}) END AS content_length FROM pages""")
 def results_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = R.result_rows(_existing(spark, sf_dir), AS_OF)
-    source = R.result_rows(C.crawl_items(pages(spark, sf_dir)), AS_OF)
+    target = R.result_rows(_existing(spark, sf_dir), _as_of())
+    source = R.result_rows(C.crawl_items(pages(spark, sf_dir)), _as_of())
     merged = R.upsert(target, source, ["webpage_id"], R.RESULT_UPDATES)
     urls = pages(spark, sf_dir).select("url", T.row_key("url").alias("webpage_id"))
     return merged.join(urls, "webpage_id").select("url", "title", "content_hash", "content_length")
@@ -70,7 +73,7 @@ _META = f"""SELECT url, CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END::BIGINT
 
 @register(_META + " FROM pages")
 def response_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.response_rows(D.responses(spark, sf_dir), AS_OF)
+    rows = R.response_rows(D.responses(spark, sf_dir), _as_of())
     return rows.select("url", "http_status", "content_type", "page_size", "language", "page_specific_cookies",
                        "redirection_info", "link_headers")
 
@@ -78,8 +81,8 @@ def response_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_META + f", {SECURE} AS kept_tags FROM pages")
 def webpages_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = spark.createDataFrame([], T.TABLES["webpages"].schema)
-    known = R.new_webpages(nothing, _existing(spark, sf_dir), AS_OF).withColumn("meta_tags", F.lit("kept"))
-    merged = R.upsert(known, R.response_rows(D.responses(spark, sf_dir), AS_OF), ["url"], R.WEBPAGE_UPDATES)
+    known = R.new_webpages(nothing, _existing(spark, sf_dir), _as_of()).withColumn("meta_tags", F.lit("kept"))
+    merged = R.upsert(known, R.response_rows(D.responses(spark, sf_dir), _as_of()), ["url"], R.WEBPAGE_UPDATES)
     return merged.select("url", "http_status", "content_type", "page_size", "language", "page_specific_cookies",
                          "redirection_info", "link_headers", F.col("meta_tags").isNotNull().alias("kept_tags"))
 
@@ -88,8 +91,8 @@ def webpages_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM pages GROUP BY 1""")
 def domain_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = spark.createDataFrame([], T.TABLES["domains"].schema)
-    known = R.new_domains(nothing, _existing(spark, sf_dir), AS_OF)
-    source = R.domain_rows(D.responses(spark, sf_dir), AS_OF)
+    known = R.new_domains(nothing, _existing(spark, sf_dir), _as_of())
+    source = R.domain_rows(D.responses(spark, sf_dir), _as_of())
     merged = R.upsert(known, source, ["url"], R.DOMAIN_UPDATES, order=["server_type"])
     return merged.select("url", "server_type", "rate_limit_info")
 
@@ -100,9 +103,9 @@ def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "store")
     T.create_store(spark, path)
     urls = pages(spark, sf_dir).select("url")
-    R.merge_into(path, "webpages", R.new_webpages(T.read_table(spark, path, "webpages"), urls, AS_OF), update=(), buckets=4)
+    R.merge_into(path, "webpages", R.new_webpages(T.read_table(spark, path, "webpages"), urls, _as_of()), update=(), buckets=4)
     for items in (_existing(spark, sf_dir), C.crawl_items(pages(spark, sf_dir))):
-        R.merge_into(path, "scrape_results", R.result_rows(items, AS_OF), R.RESULT_UPDATES, buckets=4)
+        R.merge_into(path, "scrape_results", R.result_rows(items, _as_of()), R.RESULT_UPDATES, buckets=4)
     names = T.read_table(spark, path, "webpages").select(F.col("id").alias("webpage_id"), "url")
     return T.read_table(spark, path, "scrape_results").join(names, "webpage_id").select("url", "title", "content_hash")
 
@@ -170,8 +173,8 @@ def null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store with the domains of the https pages only, all webpages, and the https ones twice."""
     none = {t: spark.createDataFrame([], T.TABLES[t].schema) for t in ("domains", "webpages")}
-    domains = R.new_domains(none["domains"], _existing(spark, sf_dir), AS_OF)
-    webpages = R.new_webpages(none["webpages"], pages(spark, sf_dir), AS_OF)
+    domains = R.new_domains(none["domains"], _existing(spark, sf_dir), _as_of())
+    webpages = R.new_webpages(none["webpages"], pages(spark, sf_dir), _as_of())
     twice = webpages.unionByName(webpages.where(SECURE))
     return R.audit({"domains": domains, "webpages": twice})
 
@@ -201,7 +204,7 @@ def set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'tasks_linked', count(*) FILTER ({SECURE}) FROM pages UNION ALL SELECT 'tasks', count(*) FROM pages""")
 def delete_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleting the http pages takes their links along and clears the tasks' references."""
-    webpages = R.new_webpages(spark.createDataFrame([], T.TABLES["webpages"].schema), pages(spark, sf_dir), AS_OF)
+    webpages = R.new_webpages(spark.createDataFrame([], T.TABLES["webpages"].schema), pages(spark, sf_dir), _as_of())
     store = {"webpages": webpages, "links": R.link_store_rows(C.crawl_items(pages(spark, sf_dir))), "scrape_tasks": _tasks(spark, sf_dir)}
     left = R.delete_rows(store, "webpages", webpages.where(f"NOT ({SECURE})"))
     tasks = left["scrape_tasks"]
@@ -218,7 +221,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task per page: forced for plain http, pending unless the URL carries a query."""
     return T.fill("scrape_tasks", pages(spark, sf_dir).select(
         F.col("page_id").alias("id"), F.col("url").alias("url_to_scrape"), F.when(F.expr(f"NOT ({SECURE})"), True).alias("force_new_scrape"),
-        F.when(F.col("url").contains("?"), "completed").alias("scrape_status"), T.row_key("url").alias("webpage_id")), AS_OF)
+        F.when(F.col("url").contains("?"), "completed").alias("scrape_status"), T.row_key("url").alias("webpage_id")), _as_of())
 
 
 @register(f"""SELECT page_id AS id, 5 AS priority, 'pending' AS preprocess_status, {STAMP} AS date_added FROM pages WHERE url NOT LIKE '%?%'""")
@@ -235,7 +238,7 @@ def task_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
     done = R.pending(tasks).select("id")
-    history = R.history_rows(done, AS_OF).groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias("n_history"))
+    history = R.history_rows(done, _as_of()).groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias("n_history"))
     return R.complete(tasks, done).join(history, "id", "left").select("id", "scrape_status", F.coalesce("n_history", F.lit(0)).alias("n_history"))
 
 
@@ -279,7 +282,7 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _saved_at():
-    return F.timestamp_add("DAY", F.pmod(F.length("url"), F.lit(5)), AS_OF)
+    return F.timestamp_add("DAY", F.pmod(F.length("url"), F.lit(5)), _as_of())
 
 
 @register("SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, md5(html) AS html_md5 FROM pages")
@@ -403,7 +406,7 @@ def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through the stream into a stored store, then read back."""
     path = run_dir(spark, "stream")
     stream = I.page_stream(spark, sf_dir, pattern="pages.parquet")
-    I.ingest(stream, f"{path}/store", f"{path}/checkpoint", AS_OF, {"availableNow": True}).awaitTermination()
+    I.ingest(stream, f"{path}/store", f"{path}/checkpoint", _as_of(), {"availableNow": True}, buckets=4).awaitTermination()
     webpages = T.read_table(spark, f"{path}/store", "webpages").select(F.col("id").alias("webpage_id"), "url", "domain_id")
     domains = T.read_table(spark, f"{path}/store", "domains").select(F.col("id").alias("domain_id"), F.col("url").alias("domain"))
     results = T.read_table(spark, f"{path}/store", "scrape_results").select("webpage_id", "title", "content_hash")
@@ -413,7 +416,7 @@ def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS canonical_url FROM pages")
 def frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "frontier")
-    urls = I.page_stream(spark, sf_dir, pattern="pages.parquet").select("url", AS_OF.alias("seen_at"))
+    urls = I.page_stream(spark, sf_dir, pattern="pages.parquet").select("url", _as_of().alias("seen_at"))
     query = (I.new_urls(urls, "seen_at").select("canonical_url").writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out"))
     query.awaitTermination()

@@ -19,18 +19,19 @@ URL_IN_TEXT = (
     r"|(?:www\.[a-zA-Z0-9.-]+(?:\.[a-zA-Z]{2,4})))"
 )
 
-# Python's str.isspace also covers U+001C..U+001F.
-SPACE = r"[\s\x1C-\x1F]"
+# Unicode whitespace as Python's str.isspace has it, spelled out: a class Java matches without
+# property lookups.
+SPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace, Unicode included."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def collapse(c: Column) -> Column:
     """Each whitespace run becomes one space; no whitespace at the ends."""
-    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, rf"{SPACE}+", " "))
 
 
 def sanitize(c: Column) -> Column:
@@ -45,9 +46,9 @@ def ascii_text(c: Column) -> Column:
     """
     c = F.regexp_replace(c, r"<[^>]+>", " ")
     c = F.translate(c, "\u201c\u201d\u2013\u2014\u00a0\u2018\u2019", "\"\"-- ''")
-    c = F.regexp_replace(c, r"[^\x00-\x7F]+", " ")
-    c = F.trim(F.regexp_replace(c, r"[\s\x1C-\x1F]+", " "))
-    return F.when(c.isin("-", "/"), F.lit("")).otherwise(c)
+    # Runs of whitespace and non-ASCII alike become one space.
+    c = F.trim(F.regexp_replace(c, r"[^\x00-\x08\x0E-\x1B\x21-\x7F]+", " "))
+    return F.regexp_replace(c, r"\A[-/]\z", "")
 
 
 @F.pandas_udf(T.StringType())
@@ -65,7 +66,7 @@ def scrape_cleanup(c: Column) -> Column:
     c = F.replace(c, F.lit("\u00a0"), F.lit(" "))
     for entity, char in (("&amp;", "&"), ("&gt;", ">"), ("&lt;", "<")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    c = F.regexp_replace(c, rf"(?U){SPACE}+", " ")
+    c = F.regexp_replace(c, rf"{SPACE}+", " ")
     return F.regexp_replace(c, r"[^\x00-\x7F]", "")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pageloom.session import tune
+from pageloom.session import spread, tune
 
 # HTML's void elements, and elements whose strings are not page text.
 VOID = frozenset(
@@ -241,7 +241,8 @@ def shred(
     * `decode_twice`: decode entities once more, for text that goes through a clean-up which does.
 
     A page without html, or one the tokenizer refuses, keeps its row with a NULL `dom`.
-    Filter pages before this call: predicates do not move below it.
+    Filter pages before this call: predicates do not move below it. A small input is first dealt
+    out to all cores (`session.spread`).
     """
     tune(pages.sparkSession)
     want = {
@@ -265,4 +266,4 @@ def shred(
                     start = row + 1
                     reader.new_batch()
 
-    return pages.mapInArrow(run, schema)
+    return spread(pages).mapInArrow(run, schema)

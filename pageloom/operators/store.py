@@ -32,14 +32,15 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] =
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None,
-           order: Sequence[str] = ()) -> DataFrame:
+           order: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """`target` after inserting new keys and updating known ones.
 
     Only the columns in `update` change on known keys (None: all but the keys); columns the
     source lacks are kept, or NULL in new rows. Of several source rows with a key the greatest
-    by `order` counts. A source of unchanged rows changes nothing, so repeating is safe.
+    by `order` counts; `unique` says there is but one. A source of unchanged rows changes
+    nothing, so repeating is safe.
     """
-    new = latest_per_key(source, keys, order)
+    new = source if unique else latest_per_key(source, keys, order)
     update = [c for c in source.columns if c not in keys] if update is None else [c for c in update if c in source.columns]
     t = target.select(*keys, F.struct(*target.columns).alias("_t"))
     s = new.select(*keys, F.struct(*new.columns).alias("_s"))
@@ -131,7 +132,7 @@ def merge_into(path: str, table: str, source: DataFrame, update: Sequence[str] |
     # At most `buckets` small integers.
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
     old = read_table(spark, path, table).where(F.col("bucket").isin(touched))
-    upsert(old, new, [key, "bucket"], update, order).write.parquet(f"{staged}-merged")
+    upsert(old, new, [key, "bucket"], update, unique=True).write.parquet(f"{staged}-merged")
     (spark.read.parquet(f"{staged}-merged").repartition("bucket").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}"))
 

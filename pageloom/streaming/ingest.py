@@ -23,25 +23,25 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 64, pat
     return reader.parquet(path)
 
 
-def store_pages(store: str, pages: DataFrame, as_of: Column) -> None:
+def store_pages(store: str, pages: DataFrame, as_of: Column, buckets: int = 64) -> None:
     """Crawl items of a batch of pages, upserted: domains, webpages, scrape_results."""
     spark = pages.sparkSession
     items = crawl_items(pages)
     urls = pages.select("url")
-    merge_into(store, "domains", new_domains(read_table(spark, store, "domains"), urls, as_of), update=())
-    merge_into(store, "webpages", new_webpages(read_table(spark, store, "webpages"), urls, as_of), update=())
-    merge_into(store, "scrape_results", result_rows(items, as_of), update=RESULT_UPDATES)
+    merge_into(store, "domains", new_domains(read_table(spark, store, "domains"), urls, as_of), update=(), buckets=buckets)
+    merge_into(store, "webpages", new_webpages(read_table(spark, store, "webpages"), urls, as_of), update=(), buckets=buckets)
+    merge_into(store, "scrape_results", result_rows(items, as_of), update=RESULT_UPDATES, buckets=buckets)
 
 
 def ingest(pages: DataFrame, store: str, checkpoint: str, as_of: Column | None = None,
-           trigger: dict | None = None) -> StreamingQuery:
+           trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
     """Start writing a page stream into the store at `store`.
 
     Every write is keyed, so a batch repeated after a failure leaves the same rows.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
     create_store(pages.sparkSession, store)
-    write: Callable[[DataFrame, int], None] = lambda batch, _: store_pages(store, batch, stamp)
+    write: Callable[[DataFrame, int], None] = lambda batch, _: store_pages(store, batch, stamp, buckets)
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
 
