@@ -271,13 +271,39 @@ def scrape_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- sections, lists, whole-page text
-@register()
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = shred(pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
-    return S.section_rows(page).select("page_id", "pos", "header", "kind", "text", F.array_join("items", "\n").alias("items"))
+# In these pages an article is a heading and then paragraphs, of which some open `<p><b>` and are
+# never closed: those reach to the article's end and hold the ones after them.
+_NAV_ITEMS = "regexp_extract_all(html, '(?s)<li><a href=\"[^\"]*\">(.*?)</a></li>', 1)"
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_PARAGRAPHS = f"""SELECT *, list_transform(range(1, len(ps) + 1), lambda i:
+   CASE WHEN starts_with(ps[i], '<b>') THEN array_to_string(ps[i:], '') ELSE ps[i] END) AS raws
+ FROM (SELECT *, string_split({_ARTICLE}, '<p>')[2:] AS ps FROM pages)"""
 
 
-_NAV_ITEMS = "regexp_extract_all(html, '(?s)<li><a href=\"[^\"]*\">(.*?)</a></li>', 1)"
+_ARTICLE_H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+
+
+def without_tags(expr: str) -> str:
+    return decoded(f"regexp_replace({expr}, '<[^>]*>', '', 'g')")
+
+
+def pieces_sql(expr: str, separator: str) -> str:
+    """SQL: the strings between tags, each stripped, blank ones dropped."""
+    stripped = f"regexp_replace({decoded('t')}, '^{WS}+|{WS}+$', '', 'g')"
+    return (f"array_to_string(list_filter(list_transform(regexp_extract_all('>' || {expr} || '<', '>([^<]+)', 1), "
+            f"lambda t: {stripped}), lambda t: t <> ''), '{separator}')")
+
+
+@register(f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, header, kind, text, items FROM (
+ SELECT page_id, 1 AS k, 'unassociated' AS header, 'list' AS kind, CAST(NULL AS VARCHAR) AS text,
+   array_to_string(list_transform({_NAV_ITEMS}, lambda t: {clean_sql(decoded('t'))}), chr(10)) AS items FROM pages WHERE len({_NAV_ITEMS}) > 1
+ UNION ALL SELECT page_id, 2, 'unassociated', 'text', {clean_sql(decoded("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)"))}, NULL FROM pages
+ UNION ALL SELECT page_id, 3, 'H1: ' || {clean_sql(_H1)}, 'text', {clean_sql(without_tags('raws[1]'))}, NULL FROM ({_PARAGRAPHS})
+ UNION ALL SELECT page_id, 4, 'H1: ' || {clean_sql(_H1)}, 'text', {clean_sql(decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"))}, NULL FROM pages
+ ) WHERE text IS NULL OR text <> ''""")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = shred(pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
+    return S.section_rows(page).select("page_id", F.col("pos").cast("long").alias("pos"), "header", "kind", "text", F.array_join("items", "\n").alias("items"))
 
 
 @register(f"""SELECT page_id, pos - 1 AS pos, item FROM (SELECT page_id,
@@ -289,20 +315,27 @@ def lists_ul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(found, "page_id", F.col("l.items"), "item")
 
 
-@register()
+@register(f"""SELECT page_id, 0 AS pos, 1 AS level, trim({_H1}) AS header, {pieces_sql('raws[1]', ' ')} AS content
+ FROM ({_PARAGRAPHS})""")
 def content_by_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(pages(spark, sf_dir), parts_of=HEADINGS, text_nodes=True, attrs=())
     rows = page.select("page_id", F.posexplode(S.content_by_headers(F.col("dom"))).alias("pos", "c"))
-    return rows.select("page_id", "pos", "c.level", "c.header", "c.content")
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("c.level").cast("long").alias("level"), "c.header", "c.content")
 
 
-@register()
+@register(f"""SELECT page_id, array_to_string(texts, chr(10)) AS clean_data,
+ list_sum(list_transform(texts, lambda t: length(t)))::BIGINT AS char_count, {SOURCE_TITLE} AS title FROM (
+ SELECT *, list_filter(all_texts, lambda t, i: t <> '' AND NOT list_contains(all_texts[:i - 1], t)) AS texts FROM (
+ SELECT *, list_concat([{pieces_sql(_ARTICLE_H1, '')}], list_transform(raws, lambda r: {pieces_sql('r', '')})) AS all_texts
+ FROM ({_PARAGRAPHS})))""")
 def clean_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(pages(spark, sf_dir), parts_of=("title", "p", "li", *HEADINGS), attrs=("id",))
-    return page.select("page_id", S.clean_scrape(F.col("dom")).alias("c")).select("page_id", "c.*")
+    return page.select("page_id", S.clean_scrape(F.col("dom")).alias("c")).select(
+        "page_id", "c.clean_data", F.col("c.char_count").cast("long").alias("char_count"), "c.title")
 
 
-@register()
+@register(f"""SELECT page_id, unnest(list_transform(raws, lambda r: {without_tags('r')})) AS text,
+ generate_subscripts(raws, 1) - 1 AS pos FROM ({_PARAGRAPHS})""")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(pages(spark, sf_dir), parts_of=("p",), attrs=())
     return matches(page, "page_id", S.paragraphs(F.col("dom")), "text")
