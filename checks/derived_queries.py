@@ -33,7 +33,7 @@ def long(name: str):
 SELECT c_custkey AS page_id, 0 AS pos, {PHOTO} AS src, 'Photo of ' || c_name AS alt, 'pic big' AS class_attr, 'i' || c_custkey AS id_attr FROM customer
 UNION ALL SELECT c_custkey, 1, {CDN}, {ALT}, '', NULL FROM customer
 UNION ALL SELECT c_custkey, 2, {C_URL}, 'Lazy', '', NULL FROM customer
-UNION ALL SELECT c_custkey, 3, {C_URL}, 'none', '', NULL FROM customer""")
+UNION ALL SELECT c_custkey, 3, {C_URL}, 'none', '', NULL FROM customer""", longs="pos")
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.image_rows(shred(D.customer_pages(spark, sf_dir), attrs=("src", "alt", "class", "id")))
     return rows.withColumn("pos", F.col("pos").cast("long"))
@@ -45,7 +45,7 @@ _IMAGE_ATTRS = ("src", "data-src", "nitro-lazy-src", "style", "alt")
 @register(f"""
 SELECT c_custkey AS page_id, 0 AS pos, {PHOTO} AS image FROM customer UNION ALL SELECT c_custkey, 1, {CDN} FROM customer
 UNION ALL SELECT c_custkey, 2, {LAZY} FROM customer
-UNION ALL SELECT c_custkey, 3, {C_HOST} || '/bg/' || c_nationkey || '.webp' FROM customer""")
+UNION ALL SELECT c_custkey, 3, {C_HOST} || '/bg/' || c_nationkey || '.webp' FROM customer""", longs="pos")
 def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), attrs=_IMAGE_ATTRS)
     return E.explode_strings(page, E.image_links(F.col("dom"), F.col("url")), "image").withColumn("pos", F.col("pos").cast("long"))
@@ -60,7 +60,7 @@ def image_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT c_custkey AS page_id, 0 AS pos, '/v/' || c_custkey || '.mp4' AS src FROM customer
-UNION ALL SELECT c_custkey, 1, 'https://video.example.com/' || c_nationkey FROM customer""")
+UNION ALL SELECT c_custkey, 1, 'https://video.example.com/' || c_nationkey FROM customer""", longs="pos")
 def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), attrs=("src",))
     return E.explode_strings(page, E.video_links(F.col("dom")), "src").withColumn("pos", F.col("pos").cast("long"))
@@ -81,7 +81,7 @@ UNION ALL SELECT c_custkey, 2, 'After' FROM customer UNION ALL SELECT c_custkey,
 UNION ALL SELECT c_custkey, 4, 'Table' FROM customer UNION ALL SELECT c_custkey, 5, 'Key values' FROM customer
 UNION ALL SELECT c_custkey, 6, 'KeyValuename' || c_name || 'xcutsegment' FROM customer
 UNION ALL SELECT c_custkey, 7, 'More' FROM customer UNION ALL SELECT c_custkey, 8, 'other' FROM customer
-UNION ALL SELECT c_custkey, 9, 'cdn' FROM customer""")
+UNION ALL SELECT c_custkey, 9, 'cdn' FROM customer""", longs="pos")
 def section_after_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=("p", "ol", "ul", "table", "a", *HEADINGS), text_nodes=True, attrs=())
     return E.explode_strings(page, E.section_after(F.col("dom"), "Facts"), "text").withColumn("pos", F.col("pos").cast("long"))
@@ -112,7 +112,7 @@ def lists_ol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT c_custkey AS page_id, 0 AS table_pos, r AS row_idx, c AS col_idx, col, value FROM customer,
  (VALUES (0, 0, 'Key'), (0, 1, 'Value'), (1, 0, 'Key')) v(r, c, col),
- LATERAL (SELECT CASE WHEN r = 1 THEN 'segment' WHEN c = 0 THEN 'name' ELSE c_name || chr(10) || 'x' END AS value)""")
+ LATERAL (SELECT CASE WHEN r = 1 THEN 'segment' WHEN c = 0 THEN 'name' ELSE c_name || chr(10) || 'x' END AS value)""", longs="table_pos row_idx col_idx")
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
     return S.table_rows(page).select("page_id", long("table_pos"), long("row_idx"), long("col_idx"), "col", "value")
@@ -127,7 +127,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
  (4, 'H2: Facts', 'list', NULL, 'one' || chr(10) || 'two ' || c_custkey || 'three' || chr(10) || 'three'),
  (5, 'H2: Table', 'text', 'Key values', NULL), (6, 'H2: Table', 'table', NULL, NULL),
  (7, 'H3: More', 'text', 'other', NULL), (8, 'H3: More', 'text', 'cdn', NULL), (9, 'H3: More', 'text', 'tail', NULL)
- ) b(pos, header, kind, text, items))""")
+ ) b(pos, header, kind, text, items))""", longs="pos")
 def sections_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
     return S.section_rows(page).select("page_id", long("pos"), "header", "kind", "text", F.array_join("items", "\n").alias("items"))
@@ -223,7 +223,7 @@ def clean_scrape_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT s_suppkey AS page_id, 0 AS table_pos, 0 AS column_pos, pair_pos, key, value FROM supplier,
- (VALUES (0, 'Name'), (1, 'Nation')) v(pair_pos, key), LATERAL (SELECT CASE pair_pos WHEN 0 THEN s_name ELSE s_nationkey::VARCHAR END AS value)""")
+ (VALUES (0, 'Name'), (1, 'Nation')) v(pair_pos, key), LATERAL (SELECT CASE pair_pos WHEN 0 THEN s_name ELSE s_nationkey::VARCHAR END AS value)""", longs="table_pos column_pos pair_pos")
 def div_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.supplier_pages(spark, sf_dir), parts_of_class=P.DIV_TABLE_PARTS, attrs=("role", "class", "scope"))
     return P.div_table_rows(page).select("page_id", long("table_pos"), long("column_pos"), long("pair_pos"), "key", "value")
@@ -232,7 +232,7 @@ def div_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT s_suppkey AS page_id, pos, type, title, description, url FROM supplier, LATERAL (SELECT * FROM (VALUES
  (0, NULL, s_name, 'About ' || s_name, '/s/' || s_suppkey), (1, NULL, s_name, 'About ' || s_name, '/t/' || s_suppkey),
  (2, 'People also ask', 'Why ' || s_suppkey || '?', NULL, NULL), (3, 'YouTube Videos', NULL, NULL, '/v/' || s_suppkey),
- (4, 'Discussions and forums', 'Forum ' || s_nationkey, NULL, '/f/' || s_suppkey)) r(pos, type, title, description, url))""")
+ (4, 'Discussions and forums', 'Forum ' || s_nationkey, NULL, '/f/' || s_suppkey)) r(pos, type, title, description, url))""", longs="pos")
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.supplier_pages(spark, sf_dir), attrs=("class", "href"), **P.serp_parts())
     return P.search_result_rows(page).withColumn("pos", F.col("pos").cast("long"))
@@ -264,7 +264,7 @@ def _reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @register(_TREE + """ SELECT 'https://maps.example.com/robots.txt' AS url, 0 AS depth
- UNION ALL SELECT 'https://maps.example.com/sitemap' || k || '.xml', depth FROM walk""")
+ UNION ALL SELECT 'https://maps.example.com/sitemap' || k || '.xml', depth FROM walk""", longs="depth")
 def sitemap_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reached(spark, sf_dir)[0].select("url", long("depth"))
 
@@ -287,7 +287,7 @@ def item_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT c_custkey AS page_id, {C_URL} AS url, c_name || ' page' AS title, 3 AS n_links, 4 AS n_images,
  CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS n_json_ld,
  CASE WHEN c_custkey % 3 = 0 THEN {C_HOST} || '/maps/sitemap' || c_nationkey || '.xml' ELSE {C_HOST} || '/robots.txt' END AS sitemap_entry
- FROM customer""")
+ FROM customer""", longs="n_links n_images n_json_ld")
 def crawl_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = crawl_items(D.customer_pages(spark, sf_dir))
     return items.select("page_id", "url", "title", *[F.size(c).cast("long").alias(f"n_{n}") for c, n in (

@@ -165,7 +165,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.page_title(E.title(dom)).alias("page_title"))
 
 
-@register(f"SELECT page_id, 'h1' AS tag, 0 AS pos, trim({_H1}) AS text FROM pages WHERE html LIKE '%<h1>%'")
+@register(f"SELECT page_id, 'h1' AS tag, 0 AS pos, trim({_H1}) AS text FROM pages WHERE html LIKE '%<h1>%'", longs="pos")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.heading_rows(shred(pages(spark, sf_dir), parts_of=HEADINGS, attrs=()))
     return rows.withColumn("pos", F.col("pos").cast("long"))
@@ -316,7 +316,7 @@ def lists_ul(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""SELECT page_id, 0 AS pos, 1 AS level, trim({_H1}) AS header, {pieces_sql('raws[1]', ' ')} AS content
- FROM ({_PARAGRAPHS})""")
+ FROM ({_PARAGRAPHS})""", longs="pos level")
 def content_by_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(pages(spark, sf_dir), parts_of=HEADINGS, text_nodes=True, attrs=())
     rows = page.select("page_id", F.posexplode(S.content_by_headers(F.col("dom"))).alias("pos", "c"))

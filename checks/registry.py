@@ -12,13 +12,15 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+def register(sql: str | None = None, longs: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL; `longs` names integer columns to widen there."""
     def add(query: Query) -> Query:
-        key = name or query.__name__
+        key = query.__name__
         assert key not in _QUERIES, key
         _QUERIES[key] = query
         if sql is not None:
-            _SQL[key] = sql
+            wide = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in longs.split())
+            _SQL[key] = f"SELECT * REPLACE ({wide}) FROM ({sql})" if wide else sql
         return query
 
     return add

@@ -119,7 +119,7 @@ def fanout_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.link_store_rows(items).join(urls, "page_id").select("url", "text", "href")
 
 
-@register("SELECT c_custkey AS page, 4 AS n FROM customer")
+@register("SELECT c_custkey AS page, 4 AS n FROM customer", longs="n")
 def fanout_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = D.customer_pages(spark, sf_dir)
     counts = R.image_store_rows(C.crawl_items(source)).groupBy("page_id").agg(F.count("*").alias("n"))
@@ -127,7 +127,7 @@ def fanout_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT c_custkey AS page, '{"title":"' || c_name || ' page","meta_tags":[{"name":"segment","content":"' || c_mktsegment
- || '"},{"name":"empty"}]}' AS data, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS n_documents FROM customer""")
+ || '"},{"name":"empty"}]}' AS data, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS n_documents FROM customer""", longs="n_documents")
 def fanout_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = D.customer_pages(spark, sf_dir)
     items = C.crawl_items(source)
@@ -224,7 +224,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("url").contains("?"), "completed").alias("scrape_status"), T.row_key("url").alias("webpage_id")), _as_of())
 
 
-@register(f"""SELECT page_id AS id, 5 AS priority, 'pending' AS preprocess_status, {STAMP} AS date_added FROM pages WHERE url NOT LIKE '%?%'""")
+@register(f"""SELECT page_id AS id, 5 AS priority, 'pending' AS preprocess_status, {STAMP} AS date_added FROM pages WHERE url NOT LIKE '%?%'""", longs="priority")
 def pending_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pending(_tasks(spark, sf_dir)).select("id", "priority", "preprocess_status", "date_added")
 
@@ -234,7 +234,7 @@ def task_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.route(_tasks(spark, sf_dir)).select("id", "method")
 
 
-@register(f"""SELECT page_id AS id, 'completed' AS scrape_status, CASE WHEN url LIKE '%?%' THEN 0 ELSE 1 END AS n_history FROM pages""")
+@register(f"""SELECT page_id AS id, 'completed' AS scrape_status, CASE WHEN url LIKE '%?%' THEN 0 ELSE 1 END AS n_history FROM pages""", longs="n_history")
 def task_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
     done = R.pending(tasks).select("id")
@@ -359,7 +359,7 @@ def _options(results: DataFrame) -> DataFrame:
             ("extract_emails", "n_emails"), ("get_tables", "n_tables"))])
 
 
-@register(_OPTION_SQL)
+@register(_OPTION_SQL, longs="n_external n_tables")
 def extract_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _options(extract(pages(spark, sf_dir), _ALL))
 
@@ -373,7 +373,7 @@ def batch_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_in_order(urls, source, ["get_h1"]).select("pos", "url", F.col("processed_values.get_h1").alias("h1"))
 
 
-@register(_OPTION_SQL.replace("processing,", "processing, url,"))
+@register(_OPTION_SQL.replace("processing,", "processing, url,"), longs="n_external n_tables")
 def reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = Z.snapshots(_named(spark, sf_dir), _saved_at())
     keyed = _named(spark, sf_dir).select("page_id", "url", Z.snapshot_text(F.col("url"), F.col("html")).alias("content"))
@@ -393,7 +393,7 @@ def simple_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT c_custkey AS page_id, c_name AS h1, 3 AS n_h2, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS n_json_ld,
  c_name || chr(10) || 'Pictures' || chr(10) || 'Facts' || chr(10) || 'Table' || chr(10) || 'More' || chr(10) || 'In' || c_mktsegment || '& nation ' || c_nationkey
  || chr(10) || 'Before ' || c_nationkey || chr(10) || 'After' || chr(10) || 'Key values' || chr(10) || c_mktsegment || chr(10) || 'Nation' || c_nationkey
- || chr(10) || 'one' || chr(10) || 'two ' || c_custkey || 'three' || chr(10) || 'three' AS content FROM customer""")
+ || chr(10) || 'one' || chr(10) || 'two ' || c_custkey || 'three' || chr(10) || 'three' AS content FROM customer""", longs="n_h2 n_json_ld")
 def parse_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.parse_data(D.customer_pages(spark, sf_dir))
     return rows.select("page_id", F.get(F.col("headings")["h1"], F.lit(0)).alias("h1"), F.size(F.col("headings")["h2"]).cast("long").alias("n_h2"),
