@@ -14,6 +14,7 @@ from pageloom.operators import sections as S
 from pageloom.operators import sitemaps as M
 from pageloom.operators import special as P
 from pageloom.operators.shred import HEADINGS, shred
+from pageloom.plans.options import extract
 from pageloom.plans.crawl import crawl_items, item_sitemap_contents, item_sitemap_links
 from pageloom.sources import sinks
 
@@ -244,12 +245,14 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN c_nationkey % 2 = 0 THEN 'https://m.example.com/' || c_nationkey WHEN c_custkey % 2 = 0 THEN '/feed/' || c_custkey END AS sitemap_link
  FROM customer""")
 def sitemap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = shred(D.customer_pages(spark, sf_dir), attrs=("href", "rel"))
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0")
-    robots = nations.select(D.template("https://shop{n_nationkey}.example.com/robots.txt").alias("robots"),
+    robots = nations.select(D.template("https://shop{n_nationkey}.example.com/robots.txt").alias("url"),
                             D.template("# n\nSitemap: https://m.example.com/{n_nationkey}\n").alias("body"))
-    joined = page.join(robots, M.robots_url(F.col("url")) == F.col("robots"), "left")
-    return joined.select("page_id", M.sitemap_entry(F.col("dom"), F.col("url")).alias("sitemap_entry"), M.page_sitemap_link(F.col("dom"), F.col("body")).alias("sitemap_link"))
+    source = M.with_robots(D.customer_pages(spark, sf_dir), robots)
+    links = extract(source, ["find_sitemap_link"]).select("page_id", F.col("processed_values.find_sitemap_link").alias("sitemap_link"))
+    entries = shred(D.customer_pages(spark, sf_dir), attrs=("href", "rel")).select(
+        "page_id", M.sitemap_entry(F.col("dom"), F.col("url")).alias("sitemap_entry"))
+    return entries.join(links, "page_id")
 
 
 _TREE = f"""WITH RECURSIVE files AS (SELECT p_partkey AS k FROM part),

@@ -101,7 +101,7 @@ def domain_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice into stored tables: first the earlier crawl, then all pages."""
     path = run_dir(spark, "store")
-    T.create_store(spark, path)
+    T.create_store(spark, path, ("webpages", "scrape_results"))
     urls = pages(spark, sf_dir).select("url")
     R.merge_into(path, "webpages", R.new_webpages(T.read_table(spark, path, "webpages"), urls, _as_of()), update=(), buckets=4)
     for items in (_existing(spark, sf_dir), C.crawl_items(pages(spark, sf_dir))):

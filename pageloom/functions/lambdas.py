@@ -30,5 +30,14 @@ def span(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
-def zip_at(pairs: Column, field: str) -> Column:
-    return F.transform(pairs, lambda p: p[field])
+def count_before(marks: Column, items: Column) -> Column:
+    """array<int>: for each of `items`, how many `marks` sort before it. Both sorted, no ties between them.
+
+    An item's place in the merged order, less its place among the items, is that count: a sort
+    instead of comparing every item with every mark.
+    """
+    both = F.array_sort(F.concat(
+        F.transform(marks, lambda m: F.struct(m.alias("v"), F.lit(False).alias("item"))),
+        F.transform(items, lambda m: F.struct(m.alias("v"), F.lit(True).alias("item")))))
+    places = F.filter(F.transform(both, lambda b, i: F.when(b["item"], i)), lambda i: i.isNotNull())
+    return F.transform(places, lambda place, j: place - j)

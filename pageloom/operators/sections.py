@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import nodes as N
-from pageloom.functions.lambdas import first, last, let, span
+from pageloom.functions.lambdas import count_before, first, last, let, span
 from pageloom.functions.text import ascii_text, collapse, strip
 from pageloom.operators.elements import NO_TITLE, title
 from pageloom.operators.shred import HEADINGS
@@ -29,14 +29,29 @@ def clean(n: Column) -> Column:
     return ascii_text(N.text(n))
 
 
-def _paragraph(dom: Column, hits: Column) -> Column:
-    return F.coalesce(let(hits, clean), F.lit(""))
+def _paragraph(dom: Column, i: Column) -> Column:
+    return F.coalesce(let(F.get(dom, i), clean), F.lit(""))
 
 
-def _sibling_paragraphs(ps: Column, n: Column) -> tuple[Column, Column]:
-    before = last(F.filter(ps, lambda p: (p["parent"] == n["parent"]) & (p["id"] < n["id"])))
-    after = first(F.filter(ps, lambda p: (p["parent"] == n["parent"]) & (p["id"] > n["id"])))
-    return before, after
+def _place(n: Column) -> Column:
+    return F.struct(n["parent"].alias("parent"), n["id"].alias("id"))
+
+
+def _paragraphs_around(ps: Column, lists: Column) -> Column:
+    """map<list id, struct<before, after>>: ids of the nearest sibling p on either side."""
+    def body(env: Column) -> Column:
+        def around(at: Column, n: Column) -> Column:
+            before, after = F.get(env["ps"], n - 1), F.get(env["ps"], n)
+            return F.struct(at["id"].alias("id"), F.struct(
+                F.when(before["parent"] == at["parent"], before["id"]).alias("before"),
+                F.when(after["parent"] == at["parent"], after["id"]).alias("after")).alias("around"))
+
+        counts = count_before(env["ps"], env["lists"])
+        return F.map_from_entries(let(counts, lambda ns: F.transform(
+            env["lists"], lambda at, j: around(at, F.get(ns, j)))))
+
+    return let(F.struct(F.array_sort(F.transform(ps, lambda n: _place(n))).alias("ps"),
+                        F.array_sort(F.transform(lists, lambda n: _place(n))).alias("lists")), body)
 
 
 def list_items(dom: Column, n: Column) -> Column:
@@ -49,17 +64,17 @@ def numbered(items: Column) -> Column:
 
 
 def _lists(dom: Column, shown: Column, tag: str) -> Column:
-    def body(ps: Column) -> Column:
+    def body(around: Column) -> Column:
         def one(n: Column) -> Column:
-            before, after = _sibling_paragraphs(ps, n)
             items = list_items(dom, n)
             return F.struct(
-                n["id"].alias("id"), _paragraph(dom, before).alias("pre"),
-                (numbered(items) if tag == "ol" else items).alias("items"), _paragraph(dom, after).alias("post"))
+                n["id"].alias("id"), _paragraph(dom, around[n["id"]]["before"]).alias("pre"),
+                (numbered(items) if tag == "ol" else items).alias("items"),
+                _paragraph(dom, around[n["id"]]["after"]).alias("post"))
 
         return F.transform(F.filter(N.tagged(dom, tag), lambda n: _list_counts(dom, n, tag) & shown_at(shown, n)), one)
 
-    return let(N.tagged(dom, "p"), body)
+    return let(_paragraphs_around(N.tagged(dom, "p"), N.tagged(dom, tag)), body)
 
 
 def _list_counts(dom: Column, n: Column, tag: str) -> Column:
@@ -142,7 +157,8 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
     def with_body(body_node: Column) -> Column:
         taken = N.spread(dom, lambda n: N.inside(n, body_node) & (N.is_tag(n, *_BLOCKS) | _is_heading(n)))
         return let(F.struct(taken.alias("taken"), N.hidden(dom, dropped).alias("hid"),
-                            N.tagged(dom, "p").alias("ps"), N.tagged(dom, "div").alias("divs")),
+                            N.tagged(dom, "p").alias("ps"), N.tagged(dom, "div").alias("divs"),
+                            _paragraphs_around(N.tagged(dom, "p"), N.tagged(dom, "ul", "ol")).alias("around")),
                    lambda env: with_env(body_node, env))
 
     def with_env(body_node: Column, env: Column) -> Column:
@@ -158,8 +174,13 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
                 n["id"].alias("id"), n["tag"].alias("tag"), clean(n).alias("clean"), strip(N.text(n)).alias("raw"))),
                 lambda h: h["clean"] != "")
             blocks = F.filter(F.transform(F.filter(found, lambda n: ~_is_heading(n)), block), lambda b: b["kind"].isNotNull())
-            return let(F.struct(heads.alias("heads"), blocks.alias("blocks")), lambda e: F.transform(
-                e["blocks"], lambda b: let(last(F.filter(e["heads"], lambda h: h["id"] < b["id"])), lambda h: F.struct(
+            return let(F.struct(heads.alias("heads"), blocks.alias("blocks")), headed)
+
+        def headed(e: Column) -> Column:
+            # The heading in force is the last of those before the block.
+            counts = count_before(F.transform(e["heads"], lambda h: h["id"]), F.transform(e["blocks"], lambda b: b["id"]))
+            return let(counts, lambda ns: F.transform(e["blocks"], lambda b, j: let(
+                F.get(e["heads"], F.get(ns, j) - 1), lambda h: F.struct(
                     b["id"].alias("id"),
                     F.coalesce(F.concat(F.upper(h["tag"]), F.lit(": "), h["clean"]), F.lit(NO_HEADING)).alias("header"),
                     h["raw"].alias("raw_header"),
@@ -168,7 +189,7 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
 
         def block(n: Column) -> Column:
             tag = n["tag"]
-            before, after = _sibling_paragraphs(env["ps"], n)
+            around = env["around"][n["id"]]
             holder = last(F.filter(env["divs"], lambda d: N.inside(n, d)))
             coded = N.attr(n, "lang").isNotNull() | F.coalesce(
                 let(holder, lambda d: F.arrays_overlap(N.classes(d), F.array(*map(F.lit, _CODE_CLASSES)))), F.lit(False))
@@ -184,8 +205,8 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
                 F.when(tag == "pre", collapse(N.text(n))).when(F.coalesce(tag, F.lit("")) != "li", t).alias("text"),
                 F.when(tag == "ul", list_items(dom, n)).when(tag == "ol", numbered(list_items(dom, n)))
                 .when(tag == "li", F.array(t)).otherwise(none.cast(strings)).alias("items"),
-                F.when(tag.isin("ul", "ol"), _paragraph(dom, before)).alias("pre"),
-                F.when(tag.isin("ul", "ol"), _paragraph(dom, after)).alias("post"),
+                F.when(tag.isin("ul", "ol"), _paragraph(dom, around["before"])).alias("pre"),
+                F.when(tag.isin("ul", "ol"), _paragraph(dom, around["after"])).alias("post"),
                 F.when(tag == "table", _table(dom, env["ps"], n).cast(table_type)).alias("table")))
 
         return let(F.filter(dom, visited), with_nodes)
@@ -217,11 +238,26 @@ def content_by_headers(dom: Column) -> Column:
     def level(n: Column) -> Column:
         return F.substring(n["tag"], 2, 1).cast("int")
 
+    def stops(heads: Column) -> Column:
+        """For each heading, in order, the next sibling heading of its rank or above (NULL if none).
+
+        Among the headings of a rank or above, sorted by parent and position, that is the next
+        one, if it has the same parent.
+        """
+        def of_rank(rank: int) -> Column:
+            ranked = F.array_sort(F.transform(F.filter(heads, lambda h: level(h) <= rank), lambda h: F.struct(
+                h["parent"].alias("parent"), h["id"].alias("id"), level(h).alias("level"))))
+            return F.filter(let(ranked, lambda hs: F.transform(hs, lambda h, i: F.struct(
+                h["id"].alias("id"), h["level"].alias("level"),
+                F.when(F.get(hs, i + 1)["parent"] == h["parent"], F.get(hs, i + 1)["id"]).alias("stop")))),
+                lambda h: h["level"] == rank)
+
+        return F.array_sort(F.concat(*[of_rank(rank) for rank in range(1, 7)]))
+
     def with_heads(heads: Column) -> Column:
-        def one(h: Column) -> Column:
-            stops = F.filter(heads, lambda g: (g["parent"] == h["parent"]) & (g["id"] > h["id"]) & (level(g) <= level(h)))
+        def one(h: Column, next_id: Column) -> Column:
             parent_end = F.coalesce(F.get(dom, h["parent"])["end"], F.size(dom) - 1)
-            stop = F.coalesce(first(stops)["id"] - 1, parent_end)
+            stop = F.coalesce(next_id - 1, parent_end)
             siblings = F.filter(F.transform(span(h["end"] + 1, stop), lambda i: F.get(dom, i)),
                                 lambda n: n["parent"] == h["parent"])
             lines = F.filter(F.transform(siblings, line), lambda x: x != "")
@@ -234,7 +270,7 @@ def content_by_headers(dom: Column) -> Column:
             joined = F.array_join(words, " ")
             return F.when(N.is_tag(m, "a"), F.concat(F.lit("Link: "), joined)).otherwise(joined)
 
-        return F.transform(heads, one)
+        return let(stops(heads), lambda ends: F.transform(heads, lambda h, i: one(h, F.get(ends, i)["stop"])))
 
     return let(N.tagged(dom, *HEADINGS), with_heads)
 

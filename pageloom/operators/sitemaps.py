@@ -38,6 +38,12 @@ def robots_sitemaps(body: Column) -> Column:
     return F.transform(hits, lambda line: strip(F.regexp_replace(line, r"^[^:]*:", "")))
 
 
+def with_robots(pages: DataFrame, robots: DataFrame) -> DataFrame:
+    """Add `robots_body` to pages from fetched robots.txt files (url, body), one per site."""
+    files = robots.select(F.col("url").alias("_robots_url"), F.col("body").alias("robots_body"))
+    return pages.join(files, robots_url(F.col("url")) == F.col("_robots_url"), "left").drop("_robots_url")
+
+
 def page_sitemap_link(dom: Column, robots_body: Column | None = None) -> Column:
     """First sitemap of the robots.txt, else the first link, else the first alternate, that looks like one."""
     looks = "(?i)" + "|".join(SITEMAP_PATTERNS)

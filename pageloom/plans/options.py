@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,14 +79,19 @@ def extract(pages: DataFrame, options: Iterable[str], extra: dict[str, Option] |
     Unknown names are logged and skipped. `processing` is false in every row: a page without
     html ends like one without content, with NULL values, and the others are done. `extra` adds
     options of the caller's. All options share one shredding, made to deliver just what they use.
+    Pages with a `robots_body` (see `sitemaps.with_robots`) have it searched for sitemaps first.
     """
     known = {**OPTIONS, **(extra or {})}
+    robots = [c for c in pages.columns if c == "robots_body"]
+    if robots:
+        known["find_sitemap_link"] = replace(
+            known["find_sitemap_link"], build=lambda dom, url, html: page_sitemap_link(dom, F.col("robots_body")))
     asked = list(dict.fromkeys(options))
     for name in asked:
         if name not in known:
             logging.getLogger(__name__).warning("unknown option %r skipped", name)
     chosen = {name: known[name] for name in asked if name in known}
-    page = pages.select("page_id", "url", "html")
+    page = pages.select("page_id", "url", "html", *robots)
     if set(chosen) - _NO_DOM:
         every = None in [o.attrs for o in chosen.values()]
         page = shred(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,9 +119,11 @@ def bucket(table: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(BUCKETED[table]), F.lit(buckets)).cast("int")
 
 
-def create_store(spark: SparkSession, path: str) -> None:
-    """An empty Parquet table per schema where there is none yet."""
+def create_store(spark: SparkSession, path: str, only: Collection[str] | None = None) -> None:
+    """An empty Parquet table per schema (or for the named ones) where there is none yet."""
     for name, spec in TABLES.items():
+        if only is not None and name not in only:
+            continue
         spec_df = spark.createDataFrame([], spec.schema)
         writer = spec_df.withColumn("bucket", F.lit(None).cast("int")) if name in BUCKETED else spec_df
         writer = writer.write.mode("ignore")

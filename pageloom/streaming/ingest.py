@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,8 +38,15 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, as_of: Column | None =
     Every write is keyed, so a batch repeated after a failure leaves the same rows.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
-    create_store(pages.sparkSession, store)
-    write: Callable[[DataFrame, int], None] = lambda batch, _: store_pages(store, batch, stamp, buckets)
+    create_store(pages.sparkSession, store, ("domains", "webpages", "scrape_results"))
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.persist()  # read once for the three tables
+        try:
+            store_pages(store, batch, stamp, buckets)
+        finally:
+            batch.unpersist()
+
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
 
