@@ -110,7 +110,7 @@ HIDING_STYLES = ("display: none", "visibility: hidden", "opacity: 0")
 OFF_SCREEN = ("left: -9999px", "top: -9999px")
 
 
-def _any_in(text_column: Column, needles: Collection[str]) -> Column:
+def contains_any(text_column: Column, needles: Collection[str]) -> Column:
     hits = [text_column.contains(x) for x in needles]
     total = hits[0]
     for h in hits[1:]:
@@ -123,8 +123,8 @@ def _hides_itself(n: Column, relaxed: bool) -> Column:
     if relaxed:  # tolerate any spacing around the colon
         style = F.regexp_replace(style, r"\s*:\s*", ": ")
     return (
-        _any_in(style, HIDING_STYLES)
-        | (style.contains("position: absolute") & _any_in(style, OFF_SCREEN))
+        contains_any(style, HIDING_STYLES)
+        | (style.contains("position: absolute") & contains_any(style, OFF_SCREEN))
         | (F.lower(attr_or_empty(n, "aria-hidden")) == "true")
         | attr(n, "hidden").isNotNull()
         | F.lower(attr_or_empty(n, "class")).contains("hidden")

@@ -13,7 +13,7 @@ from pageloom.functions import nodes as N
 from pageloom.functions.lambdas import first, let
 from pageloom.functions.text import sanitize, strip
 from pageloom.functions.urls import domain_url, resolve_url
-from pageloom.operators.shred import HEADINGS
+from pageloom.operators.shred import HEADINGS, VOID
 
 # Fixed values.
 IMAGE_TAGS = ("img", "div", "span", "a")
@@ -67,9 +67,7 @@ def pretty_html(dom: Column) -> Column:
     return let(els, lambda e: F.array_join(F.filter(ordered(e), lambda s: s.isNotNull()), "\n"))
 
 
-_VOID = tuple(sorted(
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
-    "menuitem meta nextid param source spacer track wbr".split()))
+_VOID = tuple(sorted(VOID))
 
 
 def _escape(c: Column, quotes: bool = False) -> Column:
@@ -211,7 +209,7 @@ def image_links(dom: Column, url: Column) -> Column:
 
     tags = N.tagged(dom, *IMAGE_TAGS)
     raw = F.flatten(F.transform(tags, lambda n: F.array(*[candidate(N.attr(n, a)) for a in IMAGE_ATTRS])))
-    pictures = F.filter(raw, lambda v: N._any_in(v, IMAGE_EXTENSIONS))
+    pictures = F.filter(raw, lambda v: N.contains_any(v, IMAGE_EXTENSIONS))
     return F.array_distinct(F.transform(pictures, lambda v: resolve_url(url, v)))
 
 
@@ -247,7 +245,7 @@ def images_with_alt(dom: Column, url: Column) -> Column:
 
 def filtered_images(dom: Column, url: Column) -> Column:
     """`images_with_alt` without those whose alt text names an icon, logo and the like."""
-    return F.filter(images_with_alt(dom, url), lambda i: ~N._any_in(F.lower(i["alt"]), DULL_ALT_WORDS))
+    return F.filter(images_with_alt(dom, url), lambda i: ~N.contains_any(F.lower(i["alt"]), DULL_ALT_WORDS))
 
 
 def hrefs(dom: Column) -> Column:

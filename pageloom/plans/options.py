@@ -18,7 +18,7 @@ from pageloom.operators.sitemaps import page_sitemap_link
 from pageloom.operators.special import DIV_TABLE_PARTS, div_tables
 from pageloom.sources.snapshots import snapshot_text
 
-SIGNATURE = "QuickScraper"
+SIGNATURE = "QuickScraper"  # fixed value of the results
 
 
 @dataclass(frozen=True)
