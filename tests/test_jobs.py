@@ -167,6 +167,14 @@ def test_link_text_is_the_first_direct_string(page):
     assert got == [("a", "http://h/d/1", "", None), ("w", "http://h/d/p", "k l", "q"), ("y", "http://h/d/3", "", None), ("z", "http://h/d/p", "", None)]
 
 
+def test_pretty_html_closes_what_the_page_left_open(page):
+    html = "<!DOCTYPE html><html><body><p id=x>a &amp; <b>b</b><br><!-- c --><div><script>1 < 2</script></body></html>"
+    got = shred(page(html), text_nodes=True).select(E.pretty_html(F.col("dom"))).first()[0]
+    assert got.split("\n") == [
+        "<!DOCTYPE html>", "<html>", " <body>", '  <p id="x">', "   a &amp;", "   <b>", "    b", "   </b>", "   <br/>", "   <!-- c -->",
+        "   <div>", "    <script>", "     1 < 2", "    </script>", "   </div>", "  </p>", " </body>", "</html>"]
+
+
 def test_json_ld_good_two_comment_and_malformed(page):
     html = """<script type="application/ld+json">{"a": 1}</script><script type="application/ld+json"><!-- x -->[2]</script>
       <script type="application/ld+json">{bad</script><script>{"c": 3}</script>"""
