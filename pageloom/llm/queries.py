@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import exact, mixing, simhash
+import public_tokenizers
+from pageloom.llm import bpe, exact, langid, mixing, simhash
 from pageloom.llm.common import Steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def hex_digest(column: pa.Array, as_bytes: Callable[[object], bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(as_bytes(x)).hexdigest() for x in column], pa.string())
+
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+@register()
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)
+    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id",))
+    back = bpe.decode(tokens, path, keep=("doc_id", "ids"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numerals: dict[int, str] = Numerals()
+        for batch in batches:
+            ids, text = batch.column(1), batch.column(2)
+            decimal = lambda x: " ".join(map(numerals.__getitem__, x.values.to_numpy().tolist())).encode()
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(x) for x in ids], pa.int64()), hex_digest(ids, decimal),
+                hex_digest(text, lambda t: t.as_py().encode())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return back.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+class Numerals(dict):
+    """The decimal text of each number asked for."""
+
+    def __missing__(self, number: int) -> str:
+        self[number] = text = str(number)
+        return text
+
+
+@register()
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc.doc_id", langid.held_out(F.col("doc.doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 @register()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
