@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from pageloom.llm import bpe, exact, langid, mixing, simhash
+from pageloom.llm import bpe, exact, langid, mixing, quality, simhash, urlfilter
 from pageloom.llm.common import Steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+STOP_SQL = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+
+@register(rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, pos, [words[pos], words[pos + 1], words[pos + 2]] AS w FROM (
+  SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM t WHERE len(words) > 2)),
+again AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM (SELECT doc_id, pos, unnest([0, 1, 2]) AS k FROM again) GROUP BY doc_id),
+counted AS (
+  SELECT t.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(words, lambda w: lower(regexp_replace(w, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g')) IN ({STOP_SQL}))) AS n_stop
+  FROM t LEFT JOIN covered USING (doc_id)),
+based AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1::DOUBLE AND n_stop / n_words >= 0.06::DOUBLE
+       AND n_dup_lines / len(lines) <= 0.4::DOUBLE AS kept
+FROM based""")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def hex_digest(column: pa.Array, as_bytes: Callable[[object], bytes]) -> pa.Array:
     return pa.array([hashlib.sha256(as_bytes(x)).hexdigest() for x in column], pa.string())
 
@@ -79,6 +105,40 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", langid.held_out(F.col("doc.doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+URL_RULES = (
+    urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"),
+    urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/"))
+# The list: URLs of hosts with one of these in a label.
+UNWANTED = "(adult|casino|bets|spam|ads-)"
+HOST_SQL = ASCII_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
+PATH_SQL = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+@register(rf"""
+WITH p AS (
+  SELECT page_id, url, {HOST_SQL} AS host, {PATH_SQL} AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: NOT regexp_matches(x, '(?s)^(utm_[^=]*|ref)(=|$)') AND x <> '')) AS params FROM pages),
+k AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '/+$', '')
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS key,
+         '.' || host AS h FROM p),
+listed AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '{UNWANTED}') AND key IS NOT NULL),
+r AS (
+  SELECT *, CASE WHEN h LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN h LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN h LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN h LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM k)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM r""")
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(urlfilter.host_of(F.col("url")).rlike(UNWANTED))
+    return urlfilter.judge(pages, listed, URL_RULES).drop("possible")
+
+
 @register()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
