@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from pageloom.llm import bpe, exact, langid, mixing, quality, simhash, urlfilter
+from pageloom.llm import bpe, exact, langid, mixing, pii, quality, simhash, urlfilter, warc
 from pageloom.llm.common import Steps
+from pageloom.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +39,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@register()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.pageloom.pii.key", "a key for tests only").encode()
+    done = pii.pseudonymise(table(spark, sf_dir, "documents"), key)
+    return done.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"))
+
+
+@register("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), payload.alias("payload"))
+    pages = pages.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    records = warc.with_revisits(pages).select(
+        name("id").alias("record_id"), "uri", "record_type", "digest",
+        F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes",
+        name("refers_to").alias("refers_to"))
+    path = run_dir(spark, "warc")
+    warc.write_bundles(records, path)
+    number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
+    return warc.read_records(spark, path).select(
+        number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+        number("refers_to").alias("refers_to"))
+
+
 STOP_SQL = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
 
