@@ -22,13 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 
 # Deterministic states, remembered pieces and remembered pairs kept before starting over; all only save time.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 100_000, 250_000, 500_000
+MOST_STATES, MOST_PIECES, MOST_PAIRS = 200_000, 250_000, 500_000
 # Characters of a text up to which its pieces are listed at once.
 LISTED = 1 << 22
 # Token ids decoded at a time.
 BLOCK = 1 << 16
 
-Hypothesis = tuple[tuple[int, ...], int | None, bytes]
+# Tokens complete but not emitted, the last complete token, and the place in the trie of the next.
+Hypothesis = tuple[tuple[int, ...], int, int]
+NONE = -1
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -41,15 +43,27 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.never = ranks, len(ranks) + max(ranks.values(), default=0)
-        self.open = {token[:k] for token in ranks for k in range(1, len(token))}
         self.tokens = {rank: token for token, rank in ranks.items()}
+        # The trie: the node after a byte, the token that ends at a node, and whether others go on from it.
+        self.next: dict[int, int] = {}
+        self.ends, self.goes_on = [NONE], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.goes_on[node] = True
+                step = self.next.setdefault(node << 8 | byte, len(self.ends))
+                if step == len(self.ends):
+                    self.ends.append(NONE)
+                    self.goes_on.append(False)
+                node = step
+            self.ends[node] = rank
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
-        self.beside: dict[tuple[int | None, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start: tuple[Hypothesis, ...] = (((), None, b""),)
+        start: tuple[Hypothesis, ...] = (((), NONE, 0),)
         self.states, self.numbers = [start], {start: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         if len(self.beside) > MOST_PAIRS:
@@ -84,14 +98,14 @@ class Transducer:
             self.edges[key] = edge
         return self.edges[key]
 
-    def _fits(self, last: int | None, token: int) -> bool:
+    def _fits(self, last: int, token: int) -> bool:
         """Whether the merges leave `last` and `token` whole side by side.
 
         Merges go by rising rank. The parts at the touching ends grow in turn; the two stay apart
         unless some pair of ends merges across before either grows. Of equal ranks the left goes first.
         """
         right = self._edge(token, False)
-        left = self._edge(last, True) if last is not None else []
+        left = self._edge(last, True) if last != NONE else []
         if right is None or left is None:
             return False
         if not left:
@@ -111,20 +125,22 @@ class Transducer:
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Build the arc for `byte`: the next state and the tokens emitted on the way."""
-        step, moved, ended, beside = bytes((byte,)), [], None, self.beside
-        for hypothesis in self.states[state]:
-            pending, last, begun = hypothesis
-            grown = begun + step
-            if grown in self.open:
-                moved.append((pending, last, grown))
-            token = self.ranks.get(grown)
-            if token is not None:
-                fits = beside.get((last, token))
+        moved, ended, beside, step = [], None, self.beside, self.next
+        for pending, last, node in self.states[state]:
+            node = step.get(node << 8 | byte)
+            if node is None:
+                continue
+            if self.goes_on[node]:
+                moved.append((pending, last, node))
+            token = self.ends[node]
+            if token != NONE:
+                pair = (last + 1) << 32 | token
+                fits = beside.get(pair)
                 if fits is None:
-                    fits = beside[last, token] = self._fits(last, token)
+                    fits = beside[pair] = self._fits(last, token)
                 if fits:
                     assert ended is None, "the rank table allows two encodings"
-                    ended = ((*pending, token), token, b"")
+                    ended = ((*pending, token), token, 0)
         assert ended is not None, "the rank table lacks a byte"
         moved.append(ended)
         emitted: tuple[int, ...] = ()
@@ -136,7 +152,7 @@ class Transducer:
                 shared += 1
             if shared:
                 emitted = moved[0][0][:shared]
-                moved = [(pending[shared:], last, begun) for pending, last, begun in moved]
+                moved = [(pending[shared:], last, node) for pending, last, node in moved]
         key = tuple(moved)
         number = self.numbers.setdefault(key, len(self.states))
         if number == len(self.states):
@@ -266,28 +282,41 @@ def _raw(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
+# Rows put into one output batch.
+ROWS = 256
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] | None = None,
+    decoded: str | None = None,
+) -> DataFrame:
     """The columns `keep` of `docs` (all by default) and `ids`, an array of token ids of the whole text.
 
     Null and empty texts give an empty array. Strings that look like special tokens are ordinary
-    text. A column named like `ids` is replaced. Rows neither move nor change their number.
+    text. With `decoded`, a column of that name has the text decoded from the ids, in the same pass.
+    Columns with the names of the new ones are replaced. Rows neither move nor change their number.
     """
     raw = _raw(path)
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c != ids)
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw, pattern)
         for batch in batches:
-            parts = [encoder.encode(t.as_py() or "") for t in batch.column(len(keep))]
-            ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
-            for lo, hi in _cuts(ends):
-                flat = np.concatenate(parts[lo:hi]) if hi > lo else np.empty(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo], pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), lists], [*names, "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = [encoder.encode(t.as_py() or "") for t in part.column(len(keep))]
+                ends = np.cumsum([0, *map(len, lists)], dtype=np.int64)
+                for lo, hi in _cuts(ends):
+                    columns = [c.slice(lo, hi - lo) for c in part.columns[: len(keep)]]
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo], pa.int32()), pa.array(np.concatenate(lists[lo:hi]), pa.int32())))
+                    if decoded:
+                        columns.append(_texts(columns[-1], _decoder(raw)))
+                    yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "decoded"][: len(columns)])
 
     names = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "ids array<int>"])
-    return docs.select(*keep, text).mapInArrow(run, schema).toDF(*keep, ids)
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
+    schema = ", ".join([*kinds, "ids array<int>", *(["decoded string"] if decoded else [])])
+    return docs.select(*keep, text).mapInArrow(run, schema).toDF(*keep, ids, *([decoded] if decoded else []))
 
 
 def _cuts(ends: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
@@ -299,6 +328,13 @@ def _cuts(ends: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _texts(lists: pa.ListArray, decoder: Decoder) -> pa.Array:
+    flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return pa.array([
+        "".join(decoder.stream(flat[lo:hi].tolist())) if valid else None
+        for lo, hi, valid in zip(starts, starts[1:], lists.is_valid().to_pylist(), strict=False)], pa.string())
+
+
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns `keep` of `tokens` (all by default) and `text`, decoded from the ids; a null array gives null."""
     raw = _raw(path)
@@ -307,11 +343,9 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(raw)
         for batch in batches:
-            column = batch.column(len(keep))
-            flat, starts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [None if not valid else "".join(decoder.stream(flat[lo:hi].tolist()))
-                     for lo, hi, valid in zip(starts, starts[1:], column.is_valid().to_pylist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*names, "text"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _texts(part.column(len(keep)), decoder)], [*names, "text"])
 
     names = [f"k{i}" for i in range(len(keep))]
     schema = ", ".join([*(f"{n} {tokens.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "text string"])

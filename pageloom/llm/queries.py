@@ -140,37 +140,17 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.mapInArrow(digests, schema)
 
 
-def hex_digest(column: pa.Array, as_bytes: Callable[[object], bytes]) -> pa.Array:
-    return pa.array([hashlib.sha256(as_bytes(x)).hexdigest() for x in column], pa.string())
-
-
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 @register()
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)
-    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id",))
-    back = bpe.decode(tokens, path, keep=("doc_id", "ids"))
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numerals: dict[int, str] = Numerals()
-        for batch in batches:
-            ids, text = batch.column(1), batch.column(2)
-            decimal = lambda x: " ".join(map(numerals.__getitem__, x.values.to_numpy().tolist())).encode()
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in ids], pa.int64()), hex_digest(ids, decimal),
-                hex_digest(text, lambda t: t.as_py().encode())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return back.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-class Numerals(dict):
-    """The decimal text of each number asked for."""
-
-    def __missing__(self, number: int) -> str:
-        self[number] = text = str(number)
-        return text
+    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id",), decoded="back")
+    numerals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numerals, 256).alias("ids_sha256"),
+        F.sha2(F.col("back"), 256).alias("decoded_sha256"))
 
 
 @register()

@@ -46,15 +46,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) for every row; null and blank texts get 0."""
+def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc: a struct of the row, fp: its fingerprint as a signed long); null and blank texts get 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc", "fp"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", doc_id)
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("doc"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, fp long")
 
 
 # --- Bit statistics and partitions
@@ -201,20 +201,27 @@ def links(prints: DataFrame, probes: list[Probe], steps: Steps, distance: int =
     return found.unionByName(via).filter("a <> b")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fingerprint as a signed long, component_id) for every row of `docs`.
+def near_groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, the columns `carry`, fingerprint (a signed long), component_id and kept for every row of `docs`.
 
-    Rows whose fingerprints differ in at most `distance` bits are linked; component_id is the
-    smallest id reachable. Null and blank texts have fingerprint 0 and are linked like any other; rows
-    that repeat an id keep their own row; a component whose ids are all null has a null id; an empty
-    table gives an empty result. Other columns are ignored.
+    Rows whose fingerprints differ in at most `distance` bits are linked; component_id is the smallest
+    id reachable and one row that has it is kept. Null and blank texts have fingerprint 0 and are linked like any
+    other; null ids come last; an empty table gives an empty result.
     """
     steps = Steps(docs, "simhash")
-    prints = with_fingerprint(docs, doc_id, text, shingle).select(F.col(doc_id).alias("id"), F.col("fingerprint").alias("fp"))
-    prints = steps.keep(prints)
-    distinct = steps.keep(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(distinct, plan(distinct, distance), steps, distance), steps)
+    columns = [F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)]
+    rows = with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), *columns), "body", shingle)
+    rows = steps.keep(rows.select("doc.*", "fp", F.monotonically_increasing_id().alias("row")))
+    lowest = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "row"))
+    distinct = steps.keep(rows.groupBy("fp").agg(lowest.alias("low")))
+    prints = distinct.select("fp")
+    roots = components(links(prints, plan(prints, distance), steps, distance), steps)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = attach(rooted, ["root"], {"component_id": (F.min("low"), F.min)}, ["fp"]).select("fp", "component_id")
-    out = look_up(prints, ["fp"], named, ["id"])
-    return out.select(F.col("id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id")
+    named = attach(rooted, ["root"], {"top": (F.min("low"), F.min)}, ["fp"]).select("fp", "top")
+    out = look_up(rows, ["fp"], named, ["row"])
+    back = [F.col(f"c_{i}").alias(c) for i, c in enumerate(carry) if c != doc_id]
+    return out.select(
+        F.col("id").alias(doc_id), *back, F.col("fp").alias("fingerprint"), F.col("top.id").alias("component_id"),
+        (F.col("row") == F.col("top.row")).alias("kept"))
