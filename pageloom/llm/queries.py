@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 import public_tokenizers
 from pageloom.llm import bpe, chat, exact, langid, mixing, pii, quality, simhash, urlfilter, warc
@@ -233,7 +234,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # an object: a name would need a session when the module is imported
 def lower_sha256(texts: pd.Series) -> pd.Series:
     """SHA-256 of each text with A-Z lower-cased; null counts as empty."""
     return texts.map(lambda t: hashlib.sha256((t or "").encode().lower()).hexdigest())
