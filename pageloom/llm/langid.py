@@ -93,14 +93,16 @@ class Model:
 def constant(scores: np.ndarray, top: int, penalty: float) -> bool:
     """Whether staying with `top` throughout is a best labelling.
 
-    It is when no other language gains more than the penalty on any stretch: a detour over k
-    languages gains at most k penalties and pays for k switches at least.
+    It is when no other language gains more than the penalty on any stretch, and the best gains on a
+    first and a last stretch together do not either: a labelling of k stretches pays for k - 1 changes,
+    and gains on k - 1 of them, or on all with only the first and the last at the ends.
     """
     gain = np.cumsum(scores - scores[:, top : top + 1], axis=0)
     lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
     lowest[1:] = lowest[:-1].copy()
     lowest[0] = 0.0
-    return bool((gain - lowest).max() <= penalty)
+    ends = max(gain.max(), 0.0) + max((gain[-1] - lowest).max(), 0.0)
+    return bool((gain - lowest).max() <= penalty and ends <= penalty)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:

@@ -9,6 +9,7 @@ written through Spark's commit protocol: a lost or repeated task leaves no half
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import urllib.parse
 from collections.abc import Iterator
@@ -34,9 +35,10 @@ RECORD = "record_id string, uri string, record_type string, digest string, paylo
 
 # --- One record
 
-def _field(value: str) -> str:
-    """A header value without line ends: control characters are percent-encoded."""
-    return urllib.parse.quote(value, safe="".join(chr(c) for c in range(32, 127)))
+def _target(uri: str) -> list[str]:
+    """The target's header lines: percent-encoded where it must be, and then also as it was."""
+    encoded = urllib.parse.quote(uri, safe="".join(chr(c) for c in range(33, 127)))
+    return [f"WARC-Target-URI: {encoded}", *([f"X-Original-Target: {json.dumps(uri)}"] if encoded != uri else [])]
 
 
 def record_bytes(record_id: str, uri: str | None, kind: str, digest: str, payload: bytes, payload_bytes: int, refers_to: str | None, date: str) -> bytes:
@@ -44,7 +46,7 @@ def record_bytes(record_id: str, uri: str | None, kind: str, digest: str, payloa
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{urllib.parse.quote(record_id)}>", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {_field(uri)}"] if uri is not None else []
+    head += _target(uri) if uri is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
@@ -68,9 +70,9 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     payload, digest, kind = block[http + 4 :], fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
-    uri = fields.get("WARC-Target-URI")
+    uri, original = fields.get("WARC-Target-URI"), fields.get("X-Original-Target")
     return {
-        "record_id": _name(fields["WARC-Record-ID"]), "uri": None if uri is None else urllib.parse.unquote(uri) if "%" in uri else uri,
+        "record_id": _name(fields["WARC-Record-ID"]), "uri": json.loads(original) if original else uri,
         "record_type": kind, "digest": digest, "payload": payload if kind == "response" else None,
         "payload_bytes": payload_bytes, "refers_to": _name(fields.get("WARC-Refers-To"))}, body + length + 4
 
