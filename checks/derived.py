@@ -28,8 +28,13 @@ def maybe(condition: str, text: str, otherwise: str = "") -> Column:
     return F.when(F.expr(condition), template(text)).otherwise(template(otherwise) if otherwise else F.lit(""))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: the test tables are one file each, so a scan would be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 CUSTOMER_URL = "https://shop{c_nationkey}.example.com/c/{c_custkey}/index.html"

@@ -16,6 +16,7 @@ from pageloom.operators import special as P
 from pageloom.operators.shred import HEADINGS, shred
 from pageloom.plans.options import extract
 from pageloom.plans.crawl import crawl_items, item_sitemap_contents, item_sitemap_links
+from pageloom.session import run_dir
 from pageloom.sources import sinks
 
 C_URL = "'https://shop' || c_nationkey || '.example.com/c/' || c_custkey || '/index.html'"
@@ -184,11 +185,14 @@ _SECTION_TEXTS = f"""SELECT p_partkey AS page_id, header, kind, text FROM part,
      {{'header': 'H2: Details', 'kind': 'text', 'text': 'Foot ' || p_partkey, 'drop': true}}], recursive := true))"""
 
 
+def _with_rules(source: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pages with their site's rules, before they are shredded."""
+    return B.with_site_filters(source.withColumn("website", F.regexp_extract(F.col("url"), r"([a-z]+\.com)/", 1)), rules)
+
+
 def _sections_of_parts(spark: SparkSession, sf_dir: str, filters: B.Filters) -> DataFrame:
-    page = shred(D.part_pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
-    site = F.regexp_extract(F.col("url"), r"([a-z]+\.com)/", 1)
-    rules = spark.createDataFrame([], B.SITE_FILTERS)
-    ready = B.with_site_filters(page.withColumn("website", site), rules)
+    source = _with_rules(D.part_pages(spark, sf_dir), spark.createDataFrame([], B.SITE_FILTERS))
+    ready = shred(source, parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
     rows = S.section_rows(ready, B.dropped_test(F.col("dom"), F.col("site"), F.col("website"), filters))
     return rows.select("page_id", "header", "kind", F.coalesce("text", F.get("items", F.lit(0))).alias("text"))
 
@@ -207,11 +211,38 @@ def boilerplate_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
  ('div', 'class'), ('div', 'role'), ('a', 'tabindex'), ('footer', 'name'), ('p', 'parent_name')) v(tag, rule)
  UNION ALL SELECT p_partkey, 'div', 'site' FROM part WHERE p_partkey % 3 = 0""")
 def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = shred(D.part_pages(spark, sf_dir)).withColumn("website", F.regexp_extract(F.col("url"), r"([a-z]+\.com)/", 1))
-    ready = B.with_site_filters(page, spark.createDataFrame([], B.SITE_FILTERS))
+    ready = shred(_with_rules(D.part_pages(spark, sf_dir), spark.createDataFrame([], B.SITE_FILTERS)))
     return B.dropped_rows(ready, B.Filters(content=True, by_class=True)).select("page_id", "tag", "rule")
 
 
+_OWN_RULES = """SELECT p_partkey AS page_id, tag, rule FROM part, (VALUES ('head', 'name'), ('nav', 'name'), ('p', 'parent_name'),
+ ('div', 'class'), ('div', 'role'), ('a', 'tabindex'), ('p', 'parent_name')) v(tag, rule)"""
+
+
+@register(_OWN_RULES + """ UNION ALL SELECT p_partkey, 'div', 'site' FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT p_partkey, 'h2', 'name' FROM part, (VALUES (1), (2)) twice(i)""")
+def site_rules_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the pages' own sites, written as JSON and read again: footers are kept, second headings dropped."""
+    sites = _with_rules(D.part_pages(spark, sf_dir), spark.createDataFrame([], B.SITE_FILTERS)).select(F.col("website").alias("site_name")).distinct()
+    path = f"{run_dir(spark, 'rules')}/rules"
+    sites.select("site_name", F.array(F.lit("footer")).alias("include"), F.array(F.lit("h2")).alias("name")).write.option("maxRecordsPerFile", 1).json(path)
+    rules = B.read_site_filters(spark, path)
+    ready = shred(_with_rules(D.part_pages(spark, sf_dir), rules))
+    return B.dropped_rows(ready, B.Filters(content=True, by_class=True)).select("page_id", "tag", "rule")
+
+
+@register("SELECT p_partkey AS page_id, 'H2: Details' AS kept, false AS menu FROM part")
+def heading_keys_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings in a dropped element are no sections: a menu with a heading of its own is put before each page's text."""
+    menu = F.replace(F.col("html"), F.lit("<h2>"), F.lit("<nav><h2>Menu</h2></nav><h2>"))
+    source = _with_rules(D.part_pages(spark, sf_dir).withColumn("html", menu), spark.createDataFrame([], B.SITE_FILTERS))
+    page = shred(source, parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
+    dropped = B.dropped_test(F.col("dom"), F.col("site"), F.col("website"), B.Filters(content=True))
+    keys = page.select("page_id", S.section_keys(F.col("dom"), dropped).alias("keys"))
+    kept = F.get(F.filter("keys", lambda k: k == "H2: Details"), F.lit(0))
+    return keys.select("page_id", kept.alias("kept"), F.array_contains("keys", "H2: Menu").alias("menu"))
+
+
 @register("""SELECT p_partkey AS page_id, p_name || chr(10) || 'Details' || chr(10) || 'Maybe ' || p_size || chr(10) || 'Share ' || p_brand
  || chr(10) || 'Dialog ' || p_type || chr(10) || 'By ' || p_brand || chr(10) || 'Kept ' || p_type || chr(10) || 'Shown ' || p_name
  || chr(10) || 'Type ' || p_type || chr(10) || 'Item ' || p_size AS clean_data,

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.derived import dealt
 from checks.registry import register
 from pageloom.functions import text as X
 from pageloom.functions import urls as U
 from pageloom.operators import elements as E
 from pageloom.operators import sections as S
-from pageloom.operators.shred import HEADINGS, shred
+from pageloom.operators.shred import HEADINGS, malformed, shred
 from pageloom.operators.websites import with_website
-from pageloom.session import spread
 from pageloom.sources.pages import read_pages
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return dealt(read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def decoded(expr: str) -> str:
@@ -66,6 +66,20 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("body").cast("long").alias("content_length"))
 
 
+@register(f"""
+SELECT page_id, {SOURCE_TITLE} AS title, 1 AS n_malformed,
+       len(list_filter(regexp_extract_all(html, '(?s)<a href="[^"]*">([^<]*)', 1),
+                       lambda t: {squeezed(decoded('t'))} <> '')) AS n_links
+FROM pages WHERE contains(html, '<article>')""", longs="n_links n_malformed")
+def page_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a marked section no parser knows: it is counted, read as a comment, and nothing behind it is lost."""
+    source = pages(spark, sf_dir).where(F.col("html").contains("<article>"))
+    source = source.withColumn("html", F.regexp_replace("html", "<body>", "<body><![foo x]>"))
+    page = shred(source, parts_of=("a", "title"), attrs=())
+    rows = page.select("page_id", E.title(F.col("dom")).alias("title"), F.size(E.links(F.col("dom"), F.lit("http://a/"))).cast("long").alias("n_links"))
+    return rows.join(malformed(source), "page_id")
+
+
 # --- URLs
 @register(f"SELECT page_id, {DOMAIN} AS domain, regexp_extract(url, '^[a-z]+://[^/?#]*') AS domain_url FROM pages")
 def url_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +109,24 @@ s AS (SELECT *, CASE WHEN l[-1] = 'net' THEN 2 ELSE 1 END AS k FROM h),
 w AS (SELECT page_id, url, array_to_string(l[-(k + 1):], '.') AS website, array_to_string(l[-k:], '.') AS suffix FROM s)"""
 
 
+@register(f"""
+WITH h AS (SELECT page_id, {_HOST} AS host FROM pages),
+s AS (SELECT *, CASE WHEN host LIKE 'blog.%' THEN 2 WHEN host LIKE 'm.%' THEN 1 ELSE 0 END AS more, string_split(host, '.') AS l FROM h)
+SELECT page_id, CASE more WHEN 2 THEN 'v.k.u.t.' || host WHEN 1 THEN 'v.k.u.t.' || host
+       ELSE array_to_string(l[-(CASE WHEN l[-1] = 'net' THEN 3 ELSE 2 END):], '.') END AS website,
+       CASE more WHEN 2 THEN 'k.u.t.' || host WHEN 1 THEN 'k.u.t.' || host
+       ELSE array_to_string(l[-(CASE WHEN l[-1] = 'net' THEN 2 ELSE 1 END):], '.') END AS suffix
+FROM s""")
+def url_website_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix rules of six labels and more: plain ones for blogs, wildcards for mobile hosts."""
+    rows = pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"))
+    rule = F.when(F.col("host").startswith("blog."), F.concat(F.lit("k.u.t."), "host")).when(
+        F.col("host").startswith("m."), F.concat(F.lit("*.u.t."), "host"))
+    rules = rows.select(rule.alias("suffix")).where("suffix is not null").distinct().unionByName(suffix_list(spark, sf_dir))
+    deep = rows.select("page_id", F.concat(F.lit("http://w.v.k.u.t."), "host", F.lit("/x")).alias("url"))
+    return with_website(deep, rules).drop("url")
+
+
 @register(_WEBSITE_SQL + " SELECT page_id, website, suffix FROM w")
 def url_website(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_website(pages(spark, sf_dir).select("page_id", "url"), suffix_list(spark, sf_dir)).drop("url")
@@ -267,7 +299,7 @@ def cleanup_sql(expr: str) -> str:
 
 @register(f"SELECT page_id, {cleanup_sql('html')} AS clean FROM pages")
 def scrape_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(pages(spark, sf_dir)).select("page_id", X.scrape_cleanup(F.col("html")).alias("clean"))
+    return pages(spark, sf_dir).select("page_id", X.scrape_cleanup(F.col("html")).alias("clean"))
 
 
 # --- sections, lists, whole-page text

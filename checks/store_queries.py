@@ -101,11 +101,11 @@ def domain_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice into stored tables: first the earlier crawl, then all pages."""
     path = run_dir(spark, "store")
-    T.create_store(spark, path, ("webpages", "scrape_results"))
+    T.create_store(spark, path, ("webpages", "scrape_results"), buckets=4)
     urls = pages(spark, sf_dir).select("url")
-    R.merge_into(path, "webpages", R.new_webpages(T.read_table(spark, path, "webpages"), urls, _as_of()), update=(), buckets=4)
+    R.merge_into(path, "webpages", R.new_webpages(T.read_table(spark, path, "webpages"), urls, _as_of()), update=())
     for items in (_existing(spark, sf_dir), C.crawl_items(pages(spark, sf_dir))):
-        R.merge_into(path, "scrape_results", R.result_rows(items, _as_of()), R.RESULT_UPDATES, buckets=4)
+        R.merge_into(path, "scrape_results", R.result_rows(items, _as_of()), R.RESULT_UPDATES)
     names = T.read_table(spark, path, "webpages").select(F.col("id").alias("webpage_id"), "url")
     return T.read_table(spark, path, "scrape_results").join(names, "webpage_id").select("url", "title", "content_hash")
 
@@ -413,6 +413,70 @@ def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.join(webpages, "webpage_id").join(domains, "domain_id").select("url", "title", "content_hash", "domain")
 
 
+def _streamed(spark: SparkSession, source: DataFrame) -> str:
+    """A store that `source` was streamed into twice: the second run replays every file."""
+    path = run_dir(spark, "stream")
+    source.select("page_id", "url", "html").write.parquet(f"{path}/in")
+    for run in ("first", "again"):
+        stream = I.page_stream(spark, f"{path}/in")
+        I.ingest(stream, f"{path}/store", f"{path}/{run}", _as_of(), {"availableNow": True}, buckets=4).awaitTermination()
+    return f"{path}/store"
+
+
+_LINKS_SQL = f"""SELECT url, {decoded("regexp_extract(a, '(?s)>(.*)', 1)")} AS text, {DOMAIN} || {decoded("regexp_extract(a, '\"([^\"]*)\"', 1)")} AS href
+ FROM (SELECT url, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">[^<]*', 0)) AS a FROM pages) WHERE {squeezed("regexp_extract(a, '(?s)>(.*)', 1)")} <> ''"""
+
+
+@register(_LINKS_SQL)
+def pages_stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _streamed(spark, pages(spark, sf_dir))
+    names = T.read_table(spark, store, "webpages").select(F.col("id").alias("page_id"), "url")
+    return T.read_table(spark, store, "links").join(names, "page_id").select("url", "text", "href")
+
+
+@register("""SELECT c_custkey AS page, alt FROM customer, (SELECT unnest(['photo', 'other', 'Lazy', 'none']) AS kind) k, LATERAL (SELECT CASE kind
+ WHEN 'photo' THEN 'Photo of ' || c_name WHEN 'other' THEN CASE WHEN c_custkey % 4 = 0 THEN 'Company LOGO' ELSE 'Product ' || c_custkey END ELSE kind END AS alt)""")
+def pages_stream_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = D.customer_pages(spark, sf_dir)
+    keys = source.select(F.col("page_id").alias("page"), T.row_key("url").alias("page_id"))
+    return T.read_table(spark, _streamed(spark, source), "images").join(keys, "page_id").select("page", "alt")
+
+
+@register("""SELECT c_custkey AS page, '{"title":"' || c_name || ' page","meta_tags":[{"name":"segment","content":"' || c_mktsegment
+ || '"},{"name":"empty"}]}' AS data, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS n_documents FROM customer""", longs="n_documents")
+def pages_stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading structures and JSON-LD documents."""
+    source = D.customer_pages(spark, sf_dir)
+    store = _streamed(spark, source)
+    keys = source.select(F.col("page_id").alias("page"), T.row_key(T.row_key("url")).alias("result_id"))
+    both = T.read_table(spark, store, "heading_structures").join(T.read_table(spark, store, "structured_data").drop("id", "bucket"), "result_id")
+    return both.join(keys, "result_id").select("page", "data", F.json_array_length("schema_org_data").cast("long").alias("n_documents"))
+
+
+@register("SELECT url FROM pages GROUP BY url")
+def store_rebucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store copied into one with more buckets; asking the old one for more is refused."""
+    path = run_dir(spark, "store")
+    urls = pages(spark, sf_dir).select("url")
+    for name, buckets in (("old", 2), ("new", 8)):
+        T.create_store(spark, f"{path}/{name}", ("webpages",), buckets)
+    nothing = T.read_table(spark, f"{path}/old", "webpages")
+    R.merge_into(f"{path}/old", "webpages", R.new_webpages(nothing, urls, _as_of()))
+    R.merge_into(f"{path}/new", "webpages", T.read_table(spark, f"{path}/old", "webpages"), writers=2)
+    R.merge_into(f"{path}/new", "webpages", T.read_table(spark, f"{path}/old", "webpages"))
+    return T.read_table(spark, f"{path}/new", "webpages").select("url")
+
+
+@register(f"SELECT {DOMAIN} AS value, count(*) AS n_rows FROM pages WHERE {SECURE} GROUP BY 1")
+def delete_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages that forbid the deletion of the https sites."""
+    none = {t: spark.createDataFrame([], T.TABLES[t].schema) for t in ("domains", "webpages")}
+    domains = R.new_domains(none["domains"], pages(spark, sf_dir), _as_of())
+    store = {"domains": domains, "webpages": R.new_webpages(none["webpages"], pages(spark, sf_dir), _as_of())}
+    held = R.restricted(store, "domains", domains.where(SECURE))
+    return held.join(domains.select(F.col("id").alias("value"), "url"), "value").select(F.col("url").alias("value"), "n_rows")
+
+
 @register("SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS canonical_url FROM pages")
 def frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "frontier")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.functions import nodes as N
+from pageloom.operators.groups import look_up_small
 
 # Fixed values.
 KEPT_TAGS = ("html", "body", "title")
@@ -52,10 +53,16 @@ def read_site_filters(spark, path: str) -> DataFrame:
 
 
 def with_site_filters(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add the struct `site` (NULL without rules) by `website`; of repeated sites one row is kept."""
+    """Add the struct `site` (NULL without rules) by `website`; of repeated sites one row is kept.
+
+    Give it pages before they are shredded: few rules are broadcast, and where there are too many,
+    pages move, hot sites in parts.
+    """
     names = [f.name for f in SITE_FILTERS if f.name != "site_name"]
     site = rules.groupBy("site_name").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("site"))
-    return pages.join(site, pages["website"] == site["site_name"], "left").drop("site_name")
+    site = site.withColumnRenamed("site_name", "_site").filter("_site is not null")
+    keyed = pages.withColumn("_site", F.coalesce("website", F.lit("")))
+    return look_up_small(keyed, ["_site"], site, ["url"] if "url" in pages.columns else ["_site"]).select(*pages.columns, "site")
 
 
 def _listed(site: Column, field: str, value: Column) -> Column:

@@ -221,10 +221,22 @@ def section_rows(shredded: DataFrame, dropped: N.NodeTest | None = None) -> Data
         "header", "raw_header", "kind", "text", "items", "pre", "post", "table")])
 
 
-def section_keys(dom: Column) -> Column:
-    """array<string>: the distinct heading keys of a page, h1s first, empty sections included."""
-    keys = [F.transform(N.tagged(dom, t), lambda n: F.concat(F.lit(f"{t.upper()}: "), clean(n))) for t in HEADINGS]
-    return F.array_distinct(F.concat(*keys))
+def section_keys(dom: Column, dropped: N.NodeTest | None = None) -> Column:
+    """array<string>: the distinct heading keys of a page, h1s first, empty sections included.
+
+    Headings that `dropped` drops, or that stand in an element it drops, are left out.
+    """
+    def named(out: Column | None) -> Column:
+        def kept(tag: str) -> Column:
+            nodes = N.tagged(dom, tag)
+            return nodes if out is None else F.filter(nodes, lambda n: ~N.flag(out, n["id"]))
+
+        return F.array_distinct(F.concat(*(
+            F.transform(kept(t), lambda n: F.concat(F.lit(f"{t.upper()}: "), clean(n))) for t in HEADINGS)))
+
+    if dropped is None:
+        return named(None)
+    return let(N.spread(dom, lambda n: (n["kind"] == "element") & dropped(n)), named)
 
 
 # --- text until the next heading of the same or a higher rank

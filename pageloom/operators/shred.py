@@ -17,15 +17,13 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.session import spread, tune
-
 # HTML's void elements, and elements whose strings are not page text.
-VOID = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
-    "menuitem meta nextid param source spacer track wbr".split()
-)
+VOID = frozenset((
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex",
+    "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"))
 RAW_TEXT = frozenset("rp rt script style template".split())
 KEEP_SPACE = frozenset(("pre", "textarea"))
 
@@ -62,7 +60,7 @@ class _TreeReader(HTMLParser):
 
     def new_batch(self) -> None:
         self.page_ends: list[int] = [0]
-        self.refused: list[bool] = []
+        self.absent: list[bool] = []
         self.parent, self.end, self.depth, self.lo, self.hi = [], [], [], [], []
         self.kind, self.tag, self.text, self.lead, self.parts = [], [], [], [], []
         self.attr_keys, self.attr_values, self.attr_ends = [], [], [0]
@@ -81,22 +79,25 @@ class _TreeReader(HTMLParser):
         self.raw_pieces: list[str] = []
         self.buffer: list[str] = []
         self.at = self.shift = self.buffer_at = self.raw_depth = self.pre_depth = 0
-        refused = source is None
-        if not refused:
+        if source is not None:
             self.reset()
             self.size = len(source)
-            try:
-                self.feed(source)
-                self.shift = self.size - len(self.rawdata)
-                self.close()
-            except AssertionError:  # the tokenizer's refusal of a malformed declaration
-                refused = True
+            self.feed(source)
+            self.shift = self.size - len(self.rawdata)
+            self.close()
             self._flush()
             while self.open:
                 self._pop(self.size)
-        self.refused.append(refused)
+        self.absent.append(source is None)
         self.page_ends.append(len(self.parent))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section the tokenizer refuses, such as `<![foo x]>`, is a comment, and reading goes on after it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     # Tokenizer callbacks
     def handle_data(self, data: str) -> None:
         if not self.buffer:
@@ -218,7 +219,7 @@ class _TreeReader(HTMLParser):
         }
         return pa.ListArray.from_arrays(
             pa.array(self.page_ends, int32), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)),
-            mask=pa.array(self.refused, pa.bool_()))
+            mask=pa.array(self.absent, pa.bool_()))
 
 
 def shred(
@@ -230,6 +231,7 @@ def shred(
     attrs: Collection[str] | None = None,
     decode_twice: bool = False,
     keep_html: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add `dom` to pages having `html`; other columns pass through, `html` only if `keep_html`.
 
@@ -240,11 +242,10 @@ def shred(
     * `attrs`: attribute names to keep (None for all).
     * `decode_twice`: decode entities once more, for text that goes through a clean-up which does.
 
-    A page without html, or one the tokenizer refuses, keeps its row with a NULL `dom`.
-    Filter pages before this call: predicates do not move below it. A small input is first dealt
-    out to all cores (`session.spread`).
+    A page without html keeps its row with a NULL `dom`. Malformed declarations are comments; see
+    `malformed`. Filter pages before this call: predicates do not move below it. With `partitions`
+    the pages are first dealt out, for an input whose files are fewer than the cores.
     """
-    tune(pages.sparkSession)
     want = {
         "parts_of": frozenset(parts_of), "parts_of_class": frozenset(parts_of_class),
         "text_nodes": text_nodes, "attrs": None if attrs is None else frozenset(attrs),
@@ -266,4 +267,14 @@ def shred(
                     start = row + 1
                     reader.new_batch()
 
-    return spread(pages).mapInArrow(run, schema)
+    return (pages.repartition(partitions) if partitions else pages).mapInArrow(run, schema)
+
+
+# The words that may open a marked section.
+MARKED = ("temp", "cdata", "ignore", "include", "rcdata", "if", "else", "endif")
+
+
+def malformed(pages: DataFrame) -> DataFrame:
+    """(page_id, n_malformed): pages with marked sections that no word known opens, which are read as comments."""
+    bad = rf"(?i)<!\[(?!\s*(?:{'|'.join(MARKED)})\b)"
+    return pages.select("page_id", F.regexp_count("html", F.lit(bad)).cast("long").alias("n_malformed")).where("n_malformed > 0")

@@ -9,6 +9,7 @@ from pageloom.functions import nodes as N
 from pageloom.functions.lambdas import first
 from pageloom.functions.text import strip
 from pageloom.functions.urls import domain_of, resolve_url
+from pageloom.operators.groups import look_up_small
 from pageloom.session import run_dir
 
 # What a link to a sitemap or feed looks like.
@@ -18,6 +19,10 @@ SITEMAP_PATTERNS = (
 )
 
 
+# Files of robots.txt up to which they are broadcast; they are limited to 500 KB by their standard and mostly far below.
+ROBOTS_ROWS = 5_000
+
+
 def robots_url(url: Column) -> Column:
     return F.concat(domain_of(url), F.lit("/robots.txt"))
 
@@ -40,8 +45,9 @@ def robots_sitemaps(body: Column) -> Column:
 
 def with_robots(pages: DataFrame, robots: DataFrame) -> DataFrame:
     """Add `robots_body` to pages from fetched robots.txt files (url, body), one per site."""
-    files = robots.select(F.col("url").alias("_robots_url"), F.col("body").alias("robots_body"))
-    return pages.join(files, robots_url(F.col("url")) == F.col("_robots_url"), "left").drop("_robots_url")
+    files = robots.select(F.col("url").alias("_robots_url"), F.col("body").alias("robots_body")).filter("_robots_url is not null")
+    keyed = pages.withColumn("_robots_url", F.coalesce(robots_url(F.col("url")), F.lit("")))
+    return look_up_small(keyed, ["_robots_url"], files, ["url"], ROBOTS_ROWS).drop("_robots_url")
 
 
 def page_sitemap_link(dom: Column, robots_body: Column | None = None) -> Column:

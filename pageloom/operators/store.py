@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import content_hash
 from pageloom.functions.urls import domain_of, domain_url
 from pageloom.session import run_dir
-from pageloom.sources.tables import BUCKETED, TABLES, bucket, fill, read_table, row_key
+from pageloom.sources.tables import BUCKETED, TABLES, bucket, bucket_count, fill, read_table, row_key
 
 RESULT_UPDATES = ("content", "content_hash", "title")
 WEBPAGE_UPDATES = ("domain_id", "http_status", "access_timestamp", "content_type", "page_size", "language",
@@ -116,27 +116,50 @@ def domain_rows(responses: DataFrame, as_of: Column) -> DataFrame:
         header("Content-Security-Policy").alias("security_policies"))
 
 
-def merge_into(path: str, table: str, source: DataFrame, update: Sequence[str] | None = None,
-               order: Sequence[str] = (), buckets: int = 64) -> None:
-    """Upsert into a stored table, reading and rewriting only the buckets the source falls in.
+def _rewrite(path: str, table: str, new: DataFrame, combine, writers: int) -> None:
+    """Replace the buckets that `new` falls in by `combine(old rows, new rows)`.
 
-    The merged buckets are written aside in the shared folder first, then over the old ones: a
-    failure in between leaves the old or the new rows, and the job can be repeated.
+    New rows and merged buckets are written aside in the shared folder first, then over the old ones:
+    a failure in between leaves the old or the new rows, and the job can be repeated.
     """
-    spark = source.sparkSession
-    key = BUCKETED[table]
+    spark, key = new.sparkSession, BUCKETED[table]
     staged = f"{run_dir(spark, 'merge')}/{table}"
-    rows = latest_per_key(source.select(*TABLES[table].schema.names), [key], order)
-    rows.withColumn("bucket", bucket(table, buckets)).write.parquet(f"{staged}-new")
+    new.withColumn("bucket", bucket(table, bucket_count(spark, path))).write.parquet(f"{staged}-new")
     new = spark.read.parquet(f"{staged}-new")
-    # At most `buckets` small integers.
+    # At most as many small integers as the store has buckets.
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
     old = read_table(spark, path, table).where(F.col("bucket").isin(touched))
-    upsert(old, new, [key, "bucket"], update, unique=True).write.parquet(f"{staged}-merged")
-    (spark.read.parquet(f"{staged}-merged").repartition("bucket").write.mode("overwrite")
+    combine(old, new).write.parquet(f"{staged}-merged")
+    part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(writers))
+    (spark.read.parquet(f"{staged}-merged").repartition("bucket", part).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}"))
 
 
+def merge_into(path: str, table: str, source: DataFrame, update: Sequence[str] | None = None,
+               order: Sequence[str] = (), writers: int = 1) -> None:
+    """Upsert into a stored table, reading and rewriting only the buckets the source falls in.
+
+    `writers` tasks write a bucket.
+    """
+    key = BUCKETED[table]
+    rows = latest_per_key(source.select(*TABLES[table].schema.names), [key], order)
+    _rewrite(path, table, rows, lambda old, new: upsert(old, new, [key, "bucket"], update, unique=True), writers)
+
+
+def replace_into(path: str, table: str, rows: DataFrame, keys: DataFrame, writers: int = 1) -> None:
+    """Put `rows` in place of all stored rows of the pages or results in `keys`, which may have no rows now."""
+    key = BUCKETED[table]
+    # A key without rows is a row of NULLs, so that its bucket is touched too.
+    marked = rows.select(*TABLES[table].schema.names).withColumn("_row", F.lit(True))
+    marked = marked.unionByName(keys.select(key).distinct().withColumn("_row", F.lit(False)), allowMissingColumns=True)
+
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        gone = new.where("not _row").select(key, "bucket")
+        return old.join(gone, [key, "bucket"], "left_anti").select(*old.columns).unionByName(new.where("_row").select(*old.columns))
+
+    _rewrite(path, table, marked, combine, writers)
+
+
 # --- fan-out
 def link_store_rows(items: DataFrame) -> DataFrame:
     """links rows of crawl items."""
@@ -169,9 +192,10 @@ def sitemap_url_rows(links: DataFrame) -> DataFrame:
 
 
 def sitemap_content_rows(contents: DataFrame, as_of: Column) -> DataFrame:
-    """sitemap_contents rows from (sitemap_entry, url, content)."""
+    """sitemap_contents rows from (sitemap_entry, url, content); of one file reached twice, one row."""
     domain = row_key(domain_of(F.col("sitemap_entry")))
-    return fill("sitemap_contents", contents.select(row_key(domain, "url").alias("id"), domain.alias("domain_id"), "content"), as_of)
+    rows = contents.select(row_key(domain, "url").alias("id"), domain.alias("domain_id"), "content")
+    return fill("sitemap_contents", latest_per_key(rows, ["id"]), as_of)
 
 
 def replace_pages(table: DataFrame, rows: DataFrame, key: str = "page_id") -> DataFrame:
@@ -213,11 +237,12 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
                 found.append((name, "foreign key", column, bad.agg(F.sum("n_rows").alias("n"))))
         for key in spec.unique:
             found.append((name, "unique", ", ".join(key), duplicates(df, key).agg(F.sum("n_rows").alias("n"))))
-        for column in spec.not_null:
-            found.append((name, "not null", column, df.agg(F.count_if(F.col(column).isNull()).alias("n"))))
+        if spec.not_null:  # all of a table in one pass
+            nulls = null_counts(df, spec.not_null).select("column", F.col("n_nulls").alias("n"))
+            found.append((name, "not null", F.col("column"), nulls))
     result = None
     for name, check, detail, n in found:
-        row = n.where("n > 0").select(F.lit(name).alias("table"), F.lit(check).alias("check"), F.lit(detail).alias("detail"), "n")
+        row = n.where("n > 0").select(F.lit(name).alias("table"), F.lit(check).alias("check"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"), "n")
         result = row if result is None else result.unionByName(row)
     return result
 
@@ -243,8 +268,25 @@ def set_null(child: DataFrame, column: str, deleted: DataFrame, deleted_column:
         F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in child.columns])
 
 
-def delete_rows(tables: dict[str, DataFrame], table: str, deleted: DataFrame) -> dict[str, DataFrame]:
-    """All given tables after deleting rows of one by `id`, following the declared rules down."""
+def restricted(tables: dict[str, DataFrame], table: str, deleted: DataFrame) -> DataFrame:
+    """(table, column, value, n_rows): references that forbid the deletion of rows of `table` by `id`."""
+    result = deleted.sparkSession.createDataFrame([], "table string, column string, value long, n_rows long")
+    for name, spec in TABLES.items():
+        for column, (parent, parent_column, rule) in spec.foreign.items():
+            if name in tables and (parent, parent_column, rule) == (table, "id", "restrict"):
+                held = tables[name].join(deleted.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+                counted = held.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n_rows"))
+                result = result.unionByName(counted.select(F.lit(name).alias("table"), F.lit(column).alias("column"), "value", "n_rows"))
+    return result
+
+
+def delete_rows(tables: dict[str, DataFrame], table: str, deleted: DataFrame, check: bool = True) -> dict[str, DataFrame]:
+    """All given tables after deleting rows of one by `id`, following the declared rules down.
+
+    Rows that others refer to under a `restrict` rule forbid it: a ValueError, unless `check` is off.
+    """
+    if check and not restricted(tables, table, deleted).isEmpty():
+        raise ValueError(f"rows of {table} are still referred to; see restricted()")
     result = dict(tables)
     result[table] = cascade(tables[table], "id", deleted)
     for name, spec in TABLES.items():
@@ -256,7 +298,7 @@ def delete_rows(tables: dict[str, DataFrame], table: str, deleted: DataFrame) ->
             elif rule == "cascade":
                 gone = result[name].join(deleted.select(F.col("id").alias(column)).distinct(), column, "left_semi")
                 if "id" in spec.columns:
-                    result.update(delete_rows(result, name, gone.select("id")))
+                    result.update(delete_rows(result, name, gone.select("id"), check))
                 else:
                     result[name] = cascade(result[name], column, deleted)
     return result

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.urls import host
+from pageloom.operators.groups import look_up
 
 
 def suffix_rules(suffixes: DataFrame) -> DataFrame:
@@ -20,38 +21,42 @@ def suffix_rules(suffixes: DataFrame) -> DataFrame:
     )
 
 
-def with_website(urls: DataFrame, suffixes: DataFrame, levels: int = 5, url: str = "url") -> DataFrame:
-    """Add `website` (registrable domain) and `suffix`; a host without a known suffix keeps its last label.
+def suffixes_of(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, size): the number of labels in each host's suffix, 0 when no rule fits.
 
-    The suffix of each length is looked up by its own equality join, longest match winning, so
-    URLs are neither exploded nor regrouped. The rules are the small side; whether they are
-    broadcast is left to the size checks of the planner. `levels` bounds the labels in a
-    suffix; the public list has at most five.
+    Each host asks for all its tails, however long the rules are; a tail such as `com`, which
+    half of the hosts share, is looked up in parts.
     """
-    rules = suffix_rules(suffixes)
-    labels = F.split(F.lower(host(F.col(url))), r"\.")
-    df = urls.withColumn("_host", host(F.col(url))).withColumn("_labels", labels)
+    labels = F.split(F.lower("host"), r"\.")
     # An IPv4 address has no suffix.
-    df = df.withColumn("_n", F.when(F.col("_host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), 0).otherwise(F.size("_labels")))
-    for k in range(1, levels + 1):
-        tail = F.when(F.col("_n") >= k, F.array_join(F.slice("_labels", F.greatest(F.col("_n") - k + 1, F.lit(1)), k), "."))
-        level = rules.select(
-            F.col("name").alias(f"_name{k}"), F.struct("plain", "wildcard", "exception").alias(f"_rule{k}"))
-        df = df.withColumn(f"_tail{k}", tail).join(level, F.col(f"_tail{k}") == F.col(f"_name{k}"), "left")
-
-    def rule(k: int, kind: str) -> Column:
-        return F.coalesce(F.col(f"_rule{k}")[kind], F.lit(False)) if 0 < k <= levels else F.lit(False)
-
-    size = F.lit(0)
-    for k in range(1, levels + 2):  # later wins: longer
-        known = (F.col("_n") >= k) & (rule(k, "plain") | rule(k - 1, "wildcard"))
-        size = F.when(rule(k, "exception"), F.lit(k - 1)).when(known, F.lit(k)).otherwise(size)
-    parts = F.split("_host", r"\.")
-    df = df.withColumn("_size", size).withColumn(
-        "suffix", F.when(F.col("_size") == 0, "").otherwise(F.array_join(
-            F.slice(parts, F.greatest(F.size(parts) - F.col("_size") + 1, F.lit(1)), F.greatest(F.col("_size"), F.lit(1))), ".")))
-    name = F.coalesce(F.get(parts, F.size(parts) - F.col("_size") - 1), F.lit(""))
-    website = (
-        F.when(F.col("_n") == 0, F.col("_host")).when(F.col("_size") == 0, name)
-        .otherwise(F.concat(name, F.lit("."), "suffix")))
-    return df.select(*urls.columns, website.alias("website"), "suffix")
+    named = hosts.filter(~F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$")).select("host", labels.alias("labels"))
+    place = F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k")
+    tails = named.select("host", "labels", place).select(
+        "host", "k", F.size("labels").alias("n"), F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), ".").alias("name"))
+    found = look_up(tails, ["name"], rules, ["host"])
+    size = (
+        F.when(F.col("exception"), F.struct(F.lit(1).alias("final"), (F.col("k") - 1).alias("size")))
+        .when(F.col("wildcard") & (F.col("n") > F.col("k")), F.struct(F.lit(0).alias("final"), (F.col("k") + 1).alias("size")))
+        .when(F.col("plain"), F.struct(F.lit(0).alias("final"), F.col("k").alias("size"))))
+    return found.groupBy("host").agg(F.coalesce(F.max(size)["size"], F.lit(0)).alias("size"))
+
+
+def with_website(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
+    """Add `website` (registrable domain) and `suffix`; a host without a known suffix keeps its last label.
+
+    Suffixes are looked up once per distinct host, rules of any number of labels; the longest match
+    wins, an exception before all. Only the host's answer then meets the URLs, in parts where a host is hot.
+    """
+    taken = {c.lower() for c in urls.columns}
+    name = next(n for n in ("_host", "__host", "___host") if n not in taken)
+    rows = urls.withColumn(name, F.coalesce(host(F.col(url)), F.lit("")))
+    sizes = suffixes_of(rows.select(F.col(name).alias("host")).distinct(), suffix_rules(suffixes))
+    parts, size = F.split("host", r"\."), F.col("size")
+    suffix = F.when(size == 0, "").otherwise(F.array_join(F.slice(parts, F.greatest(F.size(parts) - size + 1, F.lit(1)), F.greatest(size, F.lit(1))), "."))
+    label = F.coalesce(F.get(parts, F.size(parts) - size - 1), F.lit(""))
+    known = sizes.withColumn("suffix", suffix).select(
+        F.col("host").alias(name), F.when(size == 0, label).otherwise(F.concat(label, F.lit("."), "suffix")).alias("website"), "suffix")
+    joined = look_up(rows, [name], known, [url])
+    missing = F.col(name).rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    return joined.select(
+        *urls.columns, F.when(missing, F.col(name)).otherwise(F.col("website")).alias("website"), F.when(missing, "").otherwise(F.col("suffix")).alias("suffix"))

@@ -1,40 +1,23 @@
-"""Session settings the jobs rely on, and where they may write intermediate tables."""
+"""Where jobs may write intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-# Rows per Arrow batch sent to the shredder. Spark's default (10,000) is sized for narrow
-# rows; a row here is a whole page, so a batch must stay at some tens of megabytes.
-ARROW_ROWS = 256
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: `spark.checkpoint.dir`.
 
-# Nested lambdas are resolved a level at a time; the default bound of 100 rounds is tight for
-# the deepest expressions wrapped in a user's own.
-ANALYZER_ROUNDS = 500
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Make room for what the jobs need, where the session allows less.
-
-    Arrow batches become small enough for page-sized rows, and the analyzer may take more rounds.
+    Unset, a new local folder will do where driver and executors are one process; on a cluster it
+    is an error, as each machine would write to its own disk.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
-        spark.conf.set(rows, str(ARROW_ROWS))
-    rounds = "spark.sql.analyzer.maxIterations"
-    if int(spark.conf.get(rounds, "100")) < ANALYZER_ROUNDS:
-        spark.conf.set(rounds, str(ANALYZER_ROUNDS))
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a new local one when unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pageloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -43,19 +26,3 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run under the shared folder; Spark creates it on first write."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores; leave a large one as its files split it.
-
-    Parsing and pattern matching cost far more per byte than reading, and a small input may come
-    in fewer splits than there are cores. Only one that fills less than a quarter of the cores
-    is shuffled, so what moves is bounded by cores / 4 splits. Unknown sizes count as large.
-    """
-    if df.isStreaming or not hasattr(df, "_jdf"):
-        return df
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size * 4 <= split * cores else df

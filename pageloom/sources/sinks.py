@@ -57,7 +57,7 @@ def overview(url: Column, website: Column, unique_page_name: Column, dom: Column
 
 def organized(dom: Column, about: Column, dropped=None) -> Column:
     """struct<about, title, keys, blocks>: what the page documents are made from."""
-    return F.struct(about.alias("about"), title(dom).alias("title"), S.section_keys(dom).alias("keys"),
+    return F.struct(about.alias("about"), title(dom).alias("title"), S.section_keys(dom, dropped).alias("keys"),
                     S.sections(dom, dropped).alias("blocks"))
 
 

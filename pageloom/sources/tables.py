@@ -94,8 +94,12 @@ TABLES: dict[str, Table] = {
 
 
 def row_key(*natural: Column | str) -> Column:
-    """Surrogate key from a natural key: the same on every run and every executor."""
-    return F.xxhash64(*natural)
+    """Surrogate key from a natural key: the same on every run and every executor; NULL when all of it is NULL."""
+    columns = [F.col(n) if isinstance(n, str) else n for n in natural]
+    known = columns[0].isNotNull()
+    for column in columns[1:]:
+        known = known | column.isNotNull()
+    return F.when(known, F.xxhash64(*columns))
 
 
 def fill(table: str, rows: DataFrame, as_of: Column) -> DataFrame:
@@ -111,16 +115,32 @@ def fill(table: str, rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(*columns)
 
 
-# Tables laid out by a hash of their key, so that an upsert rewrites only the buckets it touches.
-BUCKETED = {"domains": "url", "webpages": "url", "scrape_results": "webpage_id"}
+# Tables laid out by a hash of one column, so that a write rewrites only the buckets it touches.
+BUCKETED = {
+    "domains": "url", "webpages": "url", "scrape_results": "webpage_id", "links": "page_id", "images": "page_id",
+    "heading_structures": "result_id", "structured_data": "result_id"}
+BUCKETS = 64
 
 
 def bucket(table: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(BUCKETED[table]), F.lit(buckets)).cast("int")
 
 
-def create_store(spark: SparkSession, path: str, only: Collection[str] | None = None) -> None:
-    """An empty Parquet table per schema (or for the named ones) where there is none yet."""
+def bucket_count(spark: SparkSession, path: str) -> int:
+    """The number of buckets the store at `path` was made with."""
+    return spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
+
+
+def create_store(spark: SparkSession, path: str, only: Collection[str] | None = None, buckets: int | None = None) -> None:
+    """An empty Parquet table per schema (or for the named ones) where there is none yet.
+
+    The number of buckets is kept with the store; asking for another one later is an error.
+    """
+    layout = spark.createDataFrame([(buckets or BUCKETS,)], "buckets int")
+    layout.write.mode("ignore").parquet(f"{path}/layout")
+    there = bucket_count(spark, path)
+    if buckets is not None and buckets != there:
+        raise ValueError(f"the store has {there} buckets, not {buckets}: copy it into a new one")
     for name, spec in TABLES.items():
         if only is not None and name not in only:
             continue

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pageloom.functions.urls import canonical_url
-from pageloom.operators.store import RESULT_UPDATES, merge_into, new_domains, new_webpages, result_rows
+from pageloom.operators.store import (
+    RESULT_UPDATES, heading_structure_rows, image_store_rows, latest_per_key, link_store_rows, merge_into, new_domains, new_webpages,
+    replace_into, result_rows, structured_data_rows,
+)
 from pageloom.plans.crawl import crawl_items
 from pageloom.sources.pages import PAGES
-from pageloom.sources.tables import create_store, read_table
+from pageloom.session import run_dir
+from pageloom.sources.tables import create_store, fill, read_table, row_key
 
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 64, pattern: str | None = None) -> DataFrame:
@@ -21,31 +25,41 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 64, pat
     return reader.parquet(path)
 
 
-def store_pages(store: str, pages: DataFrame, as_of: Column, buckets: int = 64) -> None:
-    """Crawl items of a batch of pages, upserted: domains, webpages, scrape_results."""
+# The tables a page's item goes into. Sitemaps are files of a site, not of a page: see `sitemap_url_rows`.
+ITEM_TABLES = ("domains", "webpages", "scrape_results", "links", "images", "heading_structures", "structured_data")
+
+
+def store_pages(store: str, pages: DataFrame, as_of: Column, writers: int = 1) -> None:
+    """Crawl items of a batch of pages in all of ITEM_TABLES: keyed rows upserted, a page's fan-out replaced.
+
+    Items are made once, written to the shared folder and read from there for every table. Of two
+    versions of a page in a batch one counts, the same in all tables.
+    """
     spark = pages.sparkSession
-    items = crawl_items(pages)
-    urls = pages.select("url")
-    merge_into(store, "domains", new_domains(read_table(spark, store, "domains"), urls, as_of), update=(), buckets=buckets)
-    merge_into(store, "webpages", new_webpages(read_table(spark, store, "webpages"), urls, as_of), update=(), buckets=buckets)
-    merge_into(store, "scrape_results", result_rows(items, as_of), update=RESULT_UPDATES, buckets=buckets)
+    folder = f"{run_dir(spark, 'items')}/items"
+    latest_per_key(pages.select("page_id", "url", "html"), ["url"]).transform(crawl_items).write.parquet(folder)
+    items = spark.read.parquet(folder)
+    urls = items.select("url")
+    merge_into(store, "domains", new_domains(read_table(spark, store, "domains"), urls, as_of), update=(), writers=writers)
+    merge_into(store, "webpages", new_webpages(read_table(spark, store, "webpages"), urls, as_of), update=(), writers=writers)
+    merge_into(store, "scrape_results", result_rows(items, as_of), update=RESULT_UPDATES, writers=writers)
+    for table, rows in (("links", link_store_rows), ("images", image_store_rows)):
+        replace_into(store, table, fill(table, rows(items), as_of), items.select(row_key("url").alias("page_id")), writers)
+    for table, rows in (("heading_structures", heading_structure_rows), ("structured_data", structured_data_rows)):
+        replace_into(store, table, fill(table, rows(items), as_of), items.select(row_key(row_key("url")).alias("result_id")), writers)
 
 
 def ingest(pages: DataFrame, store: str, checkpoint: str, as_of: Column | None = None,
-           trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
+           trigger: dict | None = None, buckets: int | None = None) -> StreamingQuery:
     """Start writing a page stream into the store at `store`.
 
     Every write is keyed, so a batch repeated after a failure leaves the same rows.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
-    create_store(pages.sparkSession, store, ("domains", "webpages", "scrape_results"))
+    create_store(pages.sparkSession, store, ITEM_TABLES, buckets)
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.persist()  # read once for the three tables
-        try:
-            store_pages(store, batch, stamp, buckets)
-        finally:
-            batch.unpersist()
+        store_pages(store, batch, stamp)
 
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
@@ -54,7 +68,15 @@ def ingest(pages: DataFrame, store: str, checkpoint: str, as_of: Column | None =
 def new_urls(urls: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
     """A stream of (url, event_time, ..) with URLs seen within the watermark dropped, by canonical form.
 
-    State holds one key per URL for as long as `delay`, then lets it go.
+    State holds one key per URL for as long as `delay`, then lets it go: a URL that comes again later
+    is given out again, and a row older than the watermark is dropped, as its key may be gone. `unseen`
+    finds both against all URLs ever given out.
     """
     keyed = urls.withColumn("canonical_url", canonical_url(F.col("url")))
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["canonical_url"])
+
+
+def unseen(urls: DataFrame, given_out: DataFrame) -> DataFrame:
+    """The rows of `urls` (a batch) whose canonical URL is not in `given_out` (canonical_url), one per URL."""
+    keyed = urls.withColumn("canonical_url", canonical_url(F.col("url")))
+    return keyed.dropDuplicates(["canonical_url"]).join(given_out.select("canonical_url"), "canonical_url", "left_anti")

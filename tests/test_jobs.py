@@ -43,13 +43,13 @@ def test_upsert_new_changed_unchanged_and_repeated(spark):
 
 def test_merge_into_touches_only_its_buckets(spark):
     path = run_dir(spark, "merge-test")
-    T.create_store(spark, path)
+    T.create_store(spark, path, buckets=8)
     first = T.fill("scrape_results", spark.range(40).select(F.col("id").alias("webpage_id"), F.lit("c").alias("content")), as_of())
-    R.merge_into(path, "scrape_results", first, buckets=8)
+    R.merge_into(path, "scrape_results", first)
     stamps = {d: os.path.getmtime(f"{path}/scrape_results/{d}") for d in os.listdir(f"{path}/scrape_results") if d.startswith("bucket")}
     assert len(stamps) > 4
     change = T.fill("scrape_results", spark.range(1).select(F.lit(7).cast("long").alias("webpage_id"), F.lit("d").alias("content")), as_of())
-    R.merge_into(path, "scrape_results", change, R.RESULT_UPDATES, buckets=8)
+    R.merge_into(path, "scrape_results", change, R.RESULT_UPDATES)
     after = {d: os.path.getmtime(f"{path}/scrape_results/{d}") for d in stamps}
     assert sum(after[d] != stamps[d] for d in stamps) == 1
     stored = T.read_table(spark, path, "scrape_results")
@@ -202,7 +202,6 @@ def plan(df):
 
 
 def test_extraction_shreds_once_and_needs_no_shuffle(spark):
-    # A size above the threshold of `spread`, so that no small-input shuffle is added.
     big = spark.range(10**9).select(F.col("id").alias("page_id"), F.lit("http://a/b").alias("url"), F.lit("<p>x</p>").alias("html"))
     for df in (extract(big, list(OPTIONS)), C.crawl_items(big), E.link_rows(shred(big, parts_of=("a",))), C.simple_pages(big)):
         text = plan(df)
