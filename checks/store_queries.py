@@ -185,6 +185,12 @@ def key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.key_collisions(keyed, "id", ["url"]).agg(F.count("*").alias("n_collisions"))
 
 
+@register("SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1")
+def key_collisions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that is none: customers stand for several orders."""
+    return R.key_collisions(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"])
+
+
 @register("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     broke = table(spark, sf_dir, "customer").where("c_acctbal < 0")
