@@ -1,24 +1,24 @@
 """Language spans: scripts narrow the candidates of a word, Viterbi with a switching penalty labels words.
 
-A word's score for a language is its log posterior under character n-grams and the word itself,
-hashed into a table of fixed size. Only languages seen in the word's script are candidates. The best
-labelling pays a penalty for every change of language between words; the language with most letters
-is the text's.
+A word's score for a language is its log posterior under character n-grams, hashed into a table of
+fixed size. Only languages seen in the word's script are candidates. The best labelling pays a
+penalty for every change of language between words; the language with most letters is the text's.
+Texts are scored many at a time as arrays of code points, so no step looks at words one by one.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from zlib import crc32
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import held
+
 UNKNOWN = "und"
 # Hashed features per language: with the number of languages, a bound on the size of the model.
 BUCKETS = 1 << 16
@@ -27,10 +27,10 @@ MOST_LANGUAGES = 1000
 SAMPLE = 4000
 # Log cost of a change of language between two words, and the least log posterior of one word.
 PENALTY, FLOOR = 12.0, -8.0
-# Words remembered with their scores before starting over.
-MOST_WORDS = 300_000
-
-WORDS = re.compile(r"[^\W\d_]+")
+# Lengths of the n-grams; the ends of a word count as characters.
+ORDERS = (2, 3, 4)
+# Characters scored at a time, times languages: bounds memory.
+BLOCK = 1 << 19
 
 # First and last code point of the main blocks of each script.
 SCRIPTS = (
@@ -44,50 +44,93 @@ SCRIPTS = (
     (0x20000, 0x3134F, "Han"),
 )
 _FIRST = [first for first, _, _ in SCRIPTS]
+_NAMES = ["other", *dict.fromkeys(name for _, _, name in SCRIPTS)]
+CODE_POINTS = 0x110000
+
+
+class Alphabet:
+    """What is known of code points, looked up by array: filled in as they are met."""
 
+    def __init__(self) -> None:
+        self.known = np.zeros(CODE_POINTS, bool)
+        self.letter = np.zeros(CODE_POINTS, bool)
+        self.lower = np.zeros(CODE_POINTS, np.uint32)
+        self.script = np.zeros(CODE_POINTS, np.uint8)
 
-def script(char: str) -> str:
-    at = bisect_right(_FIRST, ord(char)) - 1
-    return SCRIPTS[at][2] if at >= 0 and ord(char) <= SCRIPTS[at][1] else "other"
+    def read(self, text: str) -> np.ndarray:
+        """The code points of `text`."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for point in np.unique(points[~self.known[points]]).tolist():
+            char = chr(point)
+            at = bisect_right(_FIRST, point) - 1
+            inside = at >= 0 and point <= SCRIPTS[at][1]
+            self.known[point], self.letter[point] = True, char.isalpha()
+            self.lower[point] = ord(char.lower()) if len(char.lower()) == 1 else point
+            self.script[point] = _NAMES.index(SCRIPTS[at][2]) if inside else 0
+        return points
 
 
-def word_script(word: str) -> str:
-    """The script of a word's first letter."""
-    return script(word[0])
+def alphabet() -> Alphabet:
+    return held("alphabet", Alphabet)
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the n-grams of 1 to 4 characters of a lower-cased word with its ends marked, and of the word."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [crc32(g.encode()) % BUCKETS for g in (*grams, f"={word}")]
+@dataclass
+class Words:
+    """The letter runs of a text: where they begin and end, their script, and the features of each.
+
+    `buckets[k]` holds a feature per place in `owner`; places that have none of that order hold BUCKETS.
+    """
+
+    starts: np.ndarray
+    ends: np.ndarray
+    scripts: np.ndarray
+    firsts: np.ndarray  # of each word, its first place
+    owner: np.ndarray  # of each place, its word
+    buckets: list[np.ndarray]
+
+
+def words_of(text: str) -> Words:
+    known = alphabet()
+    points = known.read(text)
+    letter = np.zeros(len(points) + 2 + max(ORDERS), bool)  # position i of the text is at i + 1
+    letter[1 : len(points) + 1] = known.letter[points]
+    codes = np.zeros(len(letter), np.uint32)
+    codes[1 : len(points) + 1] = np.where(letter[1 : len(points) + 1], known.lower[points], 0)
+    after = letter[1:]
+    before = np.flatnonzero(after & ~letter[:-1])  # the place before each word's first letter
+    last = np.flatnonzero(letter[:-1] & ~after)
+    places = np.flatnonzero(letter[:-1] | after)
+    begins = after[places] & ~letter[places]
+    buckets, inside = [], np.ones(len(places), bool)
+    for order in ORDERS:
+        if order > 2:  # only the ends of a gram may lie outside the word
+            inside = inside & letter[places + order - 2]
+        mixed = np.full(len(places), order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+        for k in range(order):
+            mixed = (mixed ^ codes[np.minimum(places + k, len(codes) - 1)]) * np.uint32(0x85EBCA6B)
+            mixed ^= mixed >> np.uint32(13)
+        buckets.append(np.where(inside, mixed % np.uint32(BUCKETS), BUCKETS))
+    return Words(before, last, known.script[points[before]], np.flatnonzero(begins), np.cumsum(begins) - 1, buckets)
 
 
 @dataclass
 class Model:
-    """Log likelihood of each bucket by language, and the languages seen in each script."""
+    """Log likelihood of each bucket by language (a last row of zeros), and the languages seen in each script."""
 
     languages: list[str]
     table: np.ndarray
-    scripts: dict[str, list[int]]
-    numbers: dict[str, int] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {"languages": self.languages, "table": self.table, "scripts": self.scripts}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__init__(**state)
-
-    def score(self, word: str) -> np.ndarray:
-        """Log posterior of the candidate languages, FLOOR at least; others get FLOOR."""
-        lower = word.lower()
-        fit = self.table[features(lower)].sum(axis=0, dtype=np.float64)
-        candidates = self.scripts.get(word_script(lower)) or range(len(self.languages))
-        among = fit[candidates := list(candidates)]
-        out = np.full(len(self.languages), FLOOR)
-        peak = among.max()
-        out[candidates] = np.maximum(among - peak - np.log(np.exp(among - peak).sum()), FLOOR)
-        return out
+    seen: np.ndarray
+
+    def scores(self, words: Words) -> np.ndarray:
+        """Log posterior of the candidate languages of each word, FLOOR at least; others get FLOOR."""
+        if not len(words.firsts) or not self.languages:
+            return np.empty((len(words.firsts), len(self.languages)))
+        fit = sum(self.table[b] for b in words.buckets)
+        fit = np.add.reduceat(fit, words.firsts, axis=0, dtype=np.float64)
+        seen = self.seen[words.scripts]
+        fit = np.where(seen | ~seen.any(axis=1, keepdims=True), fit, -np.inf)
+        fit -= fit.max(axis=1, keepdims=True)
+        return np.maximum(fit - np.log(np.exp(fit).sum(axis=1, keepdims=True)), FLOOR)
 
 
 def constant(scores: np.ndarray, top: int, penalty: float) -> bool:
@@ -124,49 +167,69 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-class Labeller(dict):
-    """Labels texts; as a dict it numbers the words whose scores it holds."""
-
-    def __init__(self, model: Model, penalty: float = PENALTY) -> None:
-        super().__init__()
-        self.model, self.penalty = model, penalty
-        self.scores = np.empty((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        if number >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-        self.scores[number] = self.model.score(word)
-        return number
-
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """(language, share of the letters in its spans, spans of (start, end, language) in characters)."""
-        words = [w for w in WORDS.findall(text or "") if w.isalpha()] if text else []
-        if not words or not self.model.languages:
+@dataclass
+class Labeller:
+    """Labels texts, many at a time."""
+
+    model: Model
+    penalty: float = PENALTY
+
+    def _pieces(self, text: str) -> Iterator[tuple[int, str]]:
+        """`text` in pieces of bounded size that cut no word, with their offsets."""
+        size, at = max(1024, BLOCK // max(1, len(self.model.languages))), 0
+        while at < len(text):
+            end = min(len(text), at + size)
+            while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+                end += 1
+            yield at, text[at:end]
+            at = end
+
+    def _decide(self, text: str, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
+        if not len(starts) or not self.model.languages:
             return UNKNOWN, 0.0, []
-        if len(self) > MOST_WORDS:
-            self.clear()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        scores = self.scores[numbers]
+        names = self.model.languages
         top = int(scores.sum(axis=0).argmax())
         if constant(scores, top, self.penalty):
-            return self.model.languages[top], 1.0, [(0, len(text), self.model.languages[top])]
+            return names[top], 1.0, [(0, len(text), names[top])]
         path = viterbi(scores, self.penalty)
-        letters = np.bincount(path, lengths, len(self.model.languages))
+        letters = np.bincount(path, lengths, len(names))
+        turns = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
+        cuts = [0, *starts[turns[1:]].tolist(), len(text)]
+        spans = [(lo, hi, names[path[t]]) for lo, hi, t in zip(cuts, cuts[1:], turns, strict=False)]
         best = int(letters.argmax())
-        return self.model.languages[best], float(letters[best] / letters.sum()), self._spans(text, path)
+        return names[best], float(letters[best] / letters.sum()), spans
+
+    def _long(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
+        parts = []
+        for at, piece in self._pieces(text):
+            words = words_of(piece)
+            parts.append((words.starts + at, words.ends - words.starts, self.model.scores(words)))
+        return self._decide(text, *(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, share of the letters in its spans, spans of (start, end, language) in characters) of each text."""
+        out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+        size, group, length = max(1024, BLOCK // max(1, len(self.model.languages))), [], 0
+        for i, text in enumerate([*texts, None]):
+            if group and (i == len(texts) or length + len(text or "") > size):
+                self._group(texts, group, out)
+                group, length = [], 0
+            if text and len(text) > size:
+                out[i] = self._long(text)
+            elif text:
+                group.append(i)
+                length += len(text) + 1
+        return out
 
-    def _spans(self, text: str, path: np.ndarray) -> list[tuple[int, int, str]]:
-        turns = {0, *(np.flatnonzero(np.diff(path)) + 1).tolist()}
-        starts, names, i = [], [], 0
-        for m in WORDS.finditer(text):
-            if m.group().isalpha():
-                if i in turns:
-                    starts.append(m.start() if i else 0)
-                    names.append(self.model.languages[path[i]])
-                i += 1
-        return list(zip(starts, [*starts[1:], len(text)], names, strict=True))
+    def _group(self, texts: list[str | None], group: list[int], out: list) -> None:
+        """Score the texts as one, parted by line ends, and decide each."""
+        words = words_of("\n".join(texts[i] for i in group))
+        scores, at = self.model.scores(words), 0
+        offsets = np.cumsum([0, *(len(texts[i]) + 1 for i in group)])
+        bounds = np.searchsorted(words.starts, offsets)
+        for n, i in enumerate(group):
+            lo, hi = bounds[n], bounds[n + 1]
+            out[i] = self._decide(texts[i], words.starts[lo:hi] - offsets[n], words.ends[lo:hi] - words.starts[lo:hi], scores[lo:hi])
 
 
 # --- Spark
@@ -187,7 +250,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     assert len(sizes) <= MOST_LANGUAGES, "more languages than the model may hold"
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.empty((BUCKETS, 0), np.float32), {})
+        return Model([], np.empty((BUCKETS + 1, 0), np.float32), np.empty((len(_NAMES), 0), bool))
     shares = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, sample / sizes[name]))))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.filter(chance < F.element_at(shares, F.col("lang")))
@@ -196,34 +259,27 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     number = {name: i for i, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros((BUCKETS, len(languages))), {}
+        counts, seen = np.zeros((len(languages), BUCKETS + 1)), np.zeros((len(languages), len(_NAMES)))
         for batch in batches:
-            for name, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                counts[features(word), number[name]] += n
-                key = (number[name], word_script(word))
-                seen[key] = seen.get(key, 0) + n
-        bucket, column = np.nonzero(counts)
-        kinds = list(seen.items())
-        yield pa.RecordBatch.from_arrays([
-            pa.array([*column.tolist(), *(k[0] for k, _ in kinds)], pa.int32()),
-            pa.array([*bucket.tolist(), *([-1] * len(kinds))], pa.int32()),
-            pa.array([*([None] * len(bucket)), *(k[1] for k, _ in kinds)], pa.string()),
-            pa.array([*counts[bucket, column].tolist(), *(float(n) for _, n in kinds)], pa.float64())], ["lang", "bucket", "script", "n"])
-
-    facts = words.mapInArrow(run, "lang int, bucket int, script string, n double")
-    found = facts.groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
-    lang_no, bucket = (found.column(c).to_numpy() for c in ("lang", "bucket"))
-    n, plain = found.column("n").to_numpy(), bucket >= 0
-    counts = np.zeros((BUCKETS, len(languages)))
-    counts[bucket[plain], lang_no[plain]] = n[plain]
-    table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
-    scripts: dict[str, list[int]] = {}
-    for i, name in zip(lang_no[~plain].tolist(), found.column("script").filter(pa.array(~plain)).to_pylist(), strict=True):
-        scripts.setdefault(name, []).append(i)
-    return Model(languages, table, {name: sorted(numbers) for name, numbers in scripts.items()})
-
-
-_labellers: dict[bytes, Labeller] = {}
+            name = np.array([number[x] for x in batch.column(0).to_pylist()])
+            words, weight = words_of("\n".join(batch.column(1).to_pylist())), batch.column(2).to_numpy()
+            for language in range(len(languages)):
+                own = name == language
+                seen[language] += np.bincount(words.scripts[own], weight[own], len(_NAMES))
+                here = own[words.owner]
+                for buckets in words.buckets:
+                    counts[language] += np.bincount(buckets[here], weight[words.owner[here]], BUCKETS + 1)
+        table = np.concatenate([counts[:, :BUCKETS], seen], axis=1)
+        column, cell = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(column, pa.int32()), pa.array(cell, pa.int32()), pa.array(table[column, cell])], ["lang", "cell", "n"])
+
+    found = words.mapInArrow(run, "lang int, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((len(languages), BUCKETS + len(_NAMES)))
+    table[found.column("lang").to_numpy(), found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    counts = table[:, :BUCKETS].T
+    likelihood = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS))
+    likelihood = np.concatenate([likelihood, np.zeros((1, len(languages)))]).astype(np.float32)
+    return Model(languages, likelihood, table[:, BUCKETS:].T > 0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -232,15 +288,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     `lang` is the language with most letters, `und` for null texts and those without a letter;
     `score` its share of the letters, 0 for `und`; `spans` cover the text by (start, end, lang).
     """
-    key = np.random.default_rng().bytes(8)  # names this model in the workers
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(model, penalty)
-        labeller = _labellers[key]
+        labeller = Labeller(model, penalty)
         for batch in batches:
-            found = [labeller.label(t.as_py()) for t in batch.column(1)]
+            found = labeller.label(batch.column(1).to_pylist())
             spans = pa.array([[{"start": a, "end": b, "lang": name} for a, b, name in f[2]] for f in found],
                              pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
             yield pa.RecordBatch.from_arrays([

@@ -46,16 +46,17 @@ def small_model(spark):
 
 def test_spans_of_mixed_text(spark):
     model = small_model(spark)
-    assert model.languages == ["de", "en", "ru", "zh"] and model.scripts["Cyrillic"] == [2] and model.scripts["Latin"] == [0, 1]
+    seen = {name: np.flatnonzero(model.seen[i]).tolist() for i, name in enumerate(langid._NAMES)}
+    assert model.languages == ["de", "en", "ru", "zh"] and seen["Cyrillic"] == [2] and seen["Latin"] == [0, 1]
     english, german = "the dog and the cat went to the house with the dog ", "der Hund und die Katze gehen in das Haus und die Katze"
-    name, score, spans = langid.Labeller(model, 3.0).label(english + german)
+    name, score, spans = langid.Labeller(model, 3.0).label([english + german])[0]
     assert name in ("de", "en") and 0.4 < score < 0.7
     assert spans == [(0, len(english), "en"), (len(english), len(english + german), "de")]
-    assert langid.Labeller(model).label("собака")[0] == "ru" and langid.Labeller(model).label("猫 狗")[0] == "zh"
+    assert [f[0] for f in langid.Labeller(model).label(["собака", None, "猫 狗", "", "12"])] == ["ru", "und", "zh", "und", "und"]
 
 
 def test_scripts_leave_out_other_languages(spark):
-    scores = small_model(spark).score("собака")
+    [scores] = small_model(spark).scores(langid.words_of("собака"))
     assert scores[2] > langid.FLOOR and (np.delete(scores, 2) == langid.FLOOR).all()
 
 
@@ -68,7 +69,30 @@ def test_odd_documents(spark):
     assert langid.identify(no_docs(spark), model).collect() == []
     nothing = langid.fit(no_docs(spark))
     assert nothing.languages == [] and {r["lang"] for r in langid.identify(odd_docs(spark), nothing).collect()} == {langid.UNKNOWN}
-    assert langid.Labeller(model).label("²³ _ 5")[0] == langid.UNKNOWN
+    assert langid.Labeller(model).label(["²³ _ 5"])[0][0] == langid.UNKNOWN
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Texts are decided alike whether scored together, alone or in pieces."""
+    model = small_model(spark)
+    texts = ["the dog and the cat went to the house with the dog der Hund und die Katze gehen in das Haus " * 30, None, "İé ab", "x", "", "der Hund", "собака the"] * 3
+    whole = langid.Labeller(model, 3.0).label(texts)
+    monkeypatch.setattr(langid, "BLOCK", 4)
+    assert langid.Labeller(model, 3.0).label(texts) == whole == [langid.Labeller(model, 3.0).label([t])[0] for t in texts]
+
+
+@given(st.text(alphabet="aBé1 \n²İ中", max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_words(text):
+    import re
+
+    words = langid.words_of(text)
+    want = [(m.start(), m.end()) for m in re.finditer(r"[aBéİ中]+", text)]
+    assert list(zip(words.starts.tolist(), words.ends.tolist(), strict=True)) == want
+    lengths = [hi - lo for lo, hi in want]
+    for order, buckets in zip(langid.ORDERS, words.buckets, strict=True):
+        kept = words.owner[buckets < langid.BUCKETS]
+        assert np.bincount(kept, minlength=len(want)).tolist() == [max(0, n + 3 - order) for n in lengths]
 
 
 def test_held_out_rule(spark):
