@@ -21,8 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from pageloom.llm.common import held
+
 # Deterministic states, remembered pieces and remembered pairs kept before starting over; all only save time.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 200_000, 250_000, 500_000
+MOST_STATES, MOST_PIECES, MOST_PAIRS = 120_000, 150_000, 300_000
 # Characters of a text up to which its pieces are listed at once.
 LISTED = 1 << 22
 # Token ids decoded at a time.
@@ -266,12 +268,11 @@ class Decoder:
         yield out.finish()
 
 
-@lru_cache(maxsize=2)
 def _encoder(raw: bytes, pattern: str) -> Encoder:
-    return Encoder(read_ranks(raw), pattern)
+    return held(("encoder", hash(raw), pattern), lambda: Encoder(read_ranks(raw), pattern))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _decoder(raw: bytes) -> Decoder:
     return Decoder(read_ranks(raw))
 

@@ -1,51 +1,27 @@
-"""Helpers the operators share: group facts on every row without hot tasks, and tables between steps.
-
-A plain join of rows with the facts of their group sends a whole group to one task, and a group
-may hold a third of all rows. Here rows are salted, groups are aggregated per salt first, and the
-facts come back once for each salt that occurs, so one task gets at most a salt's share.
-"""
+"""Helpers the operators share: tables between steps, and what Python workers keep between tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from pageloom.operators.groups import attach, look_up  # noqa: F401
 from pageloom.session import run_dir
 
-# Into how many parts a group is split at most.
-WAYS = 256
-
 WORD = r"[^\x20\x09-\x0D]+"
 
+Thing = TypeVar("Thing")
+_held: dict[Hashable, object] = {}
+
 
-def attach(
-    rows: DataFrame, keys: list[str], facts: dict[str, tuple[Column, Callable[[Column], Column]]],
-    spread_by: list[str], ways: int = WAYS,
-) -> DataFrame:
-    """`rows` with aggregates over their group as new columns.
-
-    `facts` maps a column name to the aggregate over rows and the function that merges two of
-    them. `keys` must not be null. `spread_by` names columns that differ within a group.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
-    parts = salted.groupBy(*keys, "_salt").agg(*(part.alias(name) for name, (part, _) in facts.items()))
-    whole = parts.groupBy(*keys).agg(
-        *(merge(F.col(name)).alias(name) for name, (_, merge) in facts.items()), F.collect_list("_salt").alias("_salts"))
-    per_salt = whole.select(*keys, *facts, F.explode("_salts").alias("_salt"))
-    return salted.join(per_salt, [*keys, "_salt"]).drop("_salt")
-
-
-def look_up(rows: DataFrame, keys: list[str], table: DataFrame, spread_by: list[str], ways: int = WAYS) -> DataFrame:
-    """`rows` left-joined with `table`, which has one row per key; hot keys are split as in `attach`.
-
-    `keys` must not be null.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
-    used = salted.select(*keys, "_salt").distinct().groupBy(*keys).agg(F.collect_list("_salt").alias("_salts"))
-    per_salt = table.join(used, keys).withColumn("_salt", F.explode("_salts")).drop("_salts")
-    return salted.join(per_salt, [*keys, "_salt"], "left").drop("_salt")
+def held(key: Hashable, make: Callable[[], Thing]) -> Thing:
+    """What a Python worker keeps from task to task: one thing at a time, so that stages do not add up their memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 class Steps:
