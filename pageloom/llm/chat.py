@@ -131,16 +131,16 @@ def placed(rows: DataFrame) -> DataFrame:
 
     Summed per stretch of turns first, so a long conversation is not one task's work.
     """
-    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1)).cast("long"))
-    sums = rows.groupBy("conv", "stretch").agg(F.sum("tokens").alias("n"))
-    ahead = Window.partitionBy("conv").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    # A struct is a key that may hold a null; the join and the window share one shuffle by it.
+    rows = rows.withColumns({"key": F.struct("conv"), "stretch": F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1)).cast("long")})
+    sums = rows.groupBy("key", "stretch").agg(F.sum("tokens").alias("n"))
+    ahead = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
-        F.col("conv").alias("c"), F.col("stretch").alias("s"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"),
-        F.sum("n").over(Window.partitionBy("conv")).alias("whole"))
-    rows = rows.join(starts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).drop("c", "s")
-    along = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("start") + F.sum("tokens").over(along)
-    return rows.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("tokens")).drop("start", "stretch")
+        "key", "stretch", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("key")).alias("whole"))
+    along = Window.partitionBy("key", "stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("so_far", F.sum("tokens").over(along)).join(starts, ["key", "stretch"])
+    rows = rows.withColumn("upto", F.col("start") + F.col("so_far")).withColumn("before", F.col("upto") - F.col("tokens"))
+    return rows.drop("key", "stretch", "start", "so_far")
 
 
 def format_windows(
