@@ -119,11 +119,14 @@ def mix(
     aims = targets(known, total, most, steps).withColumnRenamed("source", "given")
     ahead = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    # A struct is a key that may hold a null; the window and the join share one shuffle of the rows by it.
+    whose = F.struct("source").alias("whose")
     starts = starts.join(aims, F.col("source").eqNullSafe(F.col("given"))).select(
-        "given", F.col("stretch").alias("of"), "before", "source_size", "target", "knots")
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("given")) & (F.col("stretch") == F.col("of")))
-    along = Window.partitionBy("source", "stretch").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("middle", F.col("before") + F.coalesce(F.sum("size").over(along), F.lit(0)) + F.col("size") / 2)
+        whose, "stretch", "before", "source_size", "target", "knots")
+    rows = rows.select("doc", "id", "size", "key", whose, "stretch")
+    along = Window.partitionBy("whose", "stretch").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("so_far", F.coalesce(F.sum("size").over(along), F.lit(0))).join(starts, ["whose", "stretch"])
+    rows = rows.withColumn("middle", F.col("before") + F.col("so_far") + F.col("size") / 2)
     again = F.when(F.col("source_size") > 0, F.ceil((F.col("target") - F.col("middle")) / F.col("source_size"))).otherwise(0)
     readings = F.when(F.col("middle") < F.col("target"), again).otherwise(0).cast("int")
     due = lambda e: (F.col("middle") + e * F.col("source_size")) / F.col("target")
