@@ -130,8 +130,14 @@ def _rewrite(path: str, table: str, new: DataFrame, combine, writers: int) -> No
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
     old = read_table(spark, path, table).where(F.col("bucket").isin(touched))
     combine(old, new).write.parquet(f"{staged}-merged")
+    merged = spark.read.parquet(f"{staged}-merged")
+    # Only buckets with rows are overwritten: one left empty gets a row of NULLs, which `read_table` leaves out.
+    emptied = sorted(set(touched) - {r["bucket"] for r in merged.select("bucket").distinct().collect()})
+    if emptied:
+        marks = spark.createDataFrame([(b,) for b in emptied], "bucket int")
+        merged = merged.unionByName(marks, allowMissingColumns=True)
     part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(writers))
-    (spark.read.parquet(f"{staged}-merged").repartition("bucket", part).write.mode("overwrite")
+    (merged.repartition("bucket", part).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}"))
 
 

@@ -154,4 +154,6 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     schema = TABLES[table].schema
     if table in BUCKETED:
         schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+        # A row without a key only marks a bucket that has been emptied.
+        return spark.read.schema(schema).parquet(f"{path}/{table}").where(F.col(BUCKETED[table]).isNotNull())
     return spark.read.schema(schema).parquet(f"{path}/{table}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.operators import elements as E
 from pageloom.operators import sitemaps as M
 from pageloom.operators import store as R
-from pageloom.operators.shred import shred
+from pageloom.operators.shred import malformed, shred
 from pageloom.operators.websites import with_website
 from pageloom.plans import crawl as C
 from pageloom.plans.options import OPTIONS, extract, extract_page
@@ -217,3 +217,63 @@ def test_hot_keys_are_reduced_before_the_shuffle(spark):
     hot = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
     for df in (R.latest_per_key(hot, ["k"], ["v"]), R.orphans(hot, "k", hot.limit(0), "k"), R.exact_duplicates(hot.select("v", F.col("k").cast("string").alias("t")), "v", "t")):
         assert "partial_" in plan(df)
+
+
+# --- what used to be lost in silence
+def test_a_store_keeps_its_number_of_buckets(spark, tmp_path):
+    T.create_store(spark, str(tmp_path), ("webpages",), buckets=3)
+    T.create_store(spark, str(tmp_path), ("links",))
+    assert T.bucket_count(spark, str(tmp_path)) == 3
+    with pytest.raises(ValueError, match="3 buckets"):
+        T.create_store(spark, str(tmp_path), ("images",), buckets=4)
+
+
+def test_replaced_rows_of_pages_without_any_go_too(spark, tmp_path):
+    path = str(tmp_path)
+    T.create_store(spark, path, ("links",), buckets=2)
+    make = lambda data: T.fill("links", spark.createDataFrame(data, "id long, page_id long, href string"), as_of())
+    pages = lambda *ids: spark.createDataFrame([(i,) for i in ids], "page_id long")
+    R.replace_into(path, "links", make([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")]), pages(1, 2))
+    R.replace_into(path, "links", make([(4, 3, "d")]), pages(1, 3))
+    assert rows(T.read_table(spark, path, "links").select("id", "page_id")) == [(3, 2), (4, 3)]
+
+
+def test_restricted_rows_are_not_deleted(spark):
+    make = lambda name, data, schema: T.fill(name, spark.createDataFrame(data, schema), as_of())
+    store = {"domains": make("domains", [(5, "d"), (6, "e")], "id long, url string"),
+             "webpages": make("webpages", [(1, "a", 5), (2, "b", 5)], "id long, url string, domain_id long")}
+    assert rows(R.restricted(store, "domains", store["domains"])) == [("webpages", "domain_id", 5, 2)]
+    with pytest.raises(ValueError, match="domains"):
+        R.delete_rows(store, "domains", store["domains"].where("id = 5"))
+    assert rows(R.delete_rows(store, "domains", store["domains"].where("id = 6"))["domains"].select("id")) == [(5,)]
+
+
+def test_a_url_without_a_site_has_no_site_key(spark):
+    urls = spark.createDataFrame([("ftp://f/x",), ("http://a/x",)], "url string")
+    made = R.new_webpages(spark.createDataFrame([], T.TABLES["webpages"].schema), urls, as_of())
+    assert {r["url"]: r["domain_id"] is None for r in made.collect()} == {"ftp://f/x": True, "http://a/x": False}
+
+
+def test_late_urls_are_found_in_batch(spark):
+    urls = spark.createDataFrame([("http://a/x?q",), ("http://a/x#y",), ("http://a/z",)], "url string")
+    given = spark.createDataFrame([("http://a/z",)], "canonical_url string")
+    assert rows(I.unseen(urls, given).select("canonical_url")) == [("http://a/x",)]
+
+
+def test_malformed_markup_is_read_on(spark, page):
+    source = page("<p>ok</p><![foo x]><p>more</p><![CDATA[y]]>")
+    dom = shred(source, parts_of=("p",)).first()["dom"]
+    assert [n["parts"] for n in dom if n["tag"] == "p"] == [["ok"], ["more"]]
+    assert rows(malformed(source)) == [(1, 1)]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from pageloom import session
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = type("Conf", (dict,), {"set": dict.__setitem__})(conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.run_dir(Session(**{"spark.master": "spark://host:7077"}), "x")
+    assert session.run_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///c/"}), "x").startswith("hdfs:///c/x-")
