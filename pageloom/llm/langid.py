@@ -255,14 +255,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.filter(chance < F.element_at(shares, F.col("lang")))
     words = chosen.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    words = words.groupBy("lang", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))  # words_of() lower-cases as in scoring
     number = {name: i for i, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros((len(languages), BUCKETS + 1)), np.zeros((len(languages), len(_NAMES)))
         for batch in batches:
-            name = np.array([number[x] for x in batch.column(0).to_pylist()])
-            words, weight = words_of("\n".join(batch.column(1).to_pylist())), batch.column(2).to_numpy()
+            rows = batch.column(1).to_pylist()
+            words, ends = words_of("\n".join(rows)), np.cumsum([len(x) + 1 for x in rows])
+            row = np.searchsorted(ends, words.starts, "right")  # of each word, also where a row has none or several
+            name, weight = np.array([number[x] for x in batch.column(0).to_pylist()])[row], batch.column(2).to_numpy()[row]
             for language in range(len(languages)):
                 own = name == language
                 seen[language] += np.bincount(words.scripts[own], weight[own], len(_NAMES))

@@ -100,3 +100,11 @@ def test_held_out_rule(spark):
 
     rows = spark.range(200).select("id", langid.held_out(F.col("id")).alias("held")).collect()
     assert all(r["held"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_fit_on_letters_that_lower_case_to_two(spark):
+    rows = [(i, "İstanbul ve İzmir güzel", "tr") for i in range(8)] + [(10 + i, "the cat and the dog", "en") for i in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [f[0] for f in langid.Labeller(model).label(["İstanbul", "the dog"])] == ["tr", "en"]
+    [tr] = langid.words_of("İstanbul").buckets[0][:1]
+    assert model.table[tr, 1] > model.table[tr, 0]
