@@ -230,8 +230,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(docs, "mix")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(sized, mixing.cycling_schedules(docs, "source", steps), F.col("words"), steps=steps)
-    taken = (F.size("moments") * F.col("size")).cast("long")
-    return mixed.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    mixed = steps.keep(mixed.withColumn("doc", F.struct("doc.doc_id", F.monotonically_increasing_id().alias("row"))))
+    ordered = steps.keep(mixing.in_training_order(mixed))  # the training order, sorted by moment; readings are counted in it
+    readings = ordered.groupBy(F.col("doc.row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    rows = mixed.select("doc.*", "size", "source_size", "target").join(readings, "row", "left")
+    return rows.select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).cast("long").alias("taken"))
 
 
 @F.pandas_udf(StringType())  # an object: a name would need a session when the module is imported

@@ -4,7 +4,7 @@ import pytest
 from cases import no_docs, odd_docs
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing
+from pageloom.llm import mixing, queries
 from pageloom.llm.common import Steps
 
 KNOTS = "array<struct<at:double,weight:double>>"
@@ -71,3 +71,13 @@ def test_odd_documents(spark):
     assert mix(no_docs(spark)).collect() == [] and mixing.in_training_order(mix(no_docs(spark))).collect() == []
     unknown = mixing.mix(docs, spark.createDataFrame([], f"source string, knots {KNOTS}"), F.lit(5))
     assert all(r["moments"] == [] and r["target"] == 0 for r in unknown.collect())
+
+
+def test_query_goes_through_the_training_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mixing, "in_training_order", lambda mixed, f=mixing.in_training_order: seen.append(f(mixed)) or seen[-1])
+    found = queries.QUERIES["op9_mixing"](spark, "/root/testdata/sf0.001").collect()
+    [ordered] = seen
+    moments = [r["moment"] for r in ordered.collect()]
+    readings = collections.Counter(r["doc"]["doc_id"] for r in ordered.collect())
+    assert moments == sorted(moments) and all(r["taken"] == readings[r["doc_id"]] * r["size"] for r in found)
