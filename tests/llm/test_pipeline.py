@@ -57,3 +57,14 @@ def test_odd_tables(spark, tmp_path):
         frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert all(r["round_trip"] for r in rows) and (name == "odd" or rows == [])
+
+
+def test_language_drops_only_what_has_none(spark):
+    parts = {"en": "the dog and the cat went to the house with the dog ", "de": "der Hund und die Katze gehen in das Haus ", "ru": "это простой текст о собаке и кошке "}
+    rows = [(i, parts[name] * 3, name, "s") for i, name in enumerate(list(parts) * 12)]
+    rows.append((100, parts["en"] * 8 + parts["de"] * 8 + parts["ru"] * 8, None, "s"))
+    docs = spark.createDataFrame([*rows, (101, "12 34", None, "s"), (102, None, None, "s")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {*range(36), 100}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.language(spark, bare, "").collect()
+    assert {r["doc_id"] for r in found} == {*range(36), 100} and {r["lang"] for r in found} == {None}
