@@ -130,7 +130,10 @@ def _calendar(year: int, month: int, day: int) -> int | None:
 
 
 def _date(key: bytes, m: re.Match, step: int) -> str | None:
-    """Year first, or day first; month first only where the day could not be a month, which stays so."""
+    """Year first, or day first; month first only where the day could not be a month.
+
+    Days over 12 stay so in every notation, so that the image depends on the date alone.
+    """
     first, second, last = re.split(r"[-/.]", m[0])
     year_first = len(first) == 4
     at = _calendar(int(first), int(second), int(last)) if year_first else _calendar(int(last), int(second), int(first))
@@ -140,8 +143,7 @@ def _date(key: bytes, m: re.Match, step: int) -> str | None:
     if at is None:
         return None
     day_of = lambda v: datetime.date.fromordinal(v + FIRST_DAY)
-    good = (lambda v: day_of(v).day > 12) if month_first else (lambda v: True)
-    day = day_of(_moved(key, "date", LAST_DAY - FIRST_DAY + 1, at, step, good))
+    day = day_of(_moved(key, "date", LAST_DAY - FIRST_DAY + 1, at, step, lambda v: (day_of(v).day > 12) == (day_of(at).day > 12)))
     two = (lambda x: f"{x:02}") if all(len(p) > 1 for p in (first, second, last)) else str
     parts = [f"{day.year}", two(day.month), two(day.day)]
     parts = parts if year_first else [parts[1], parts[2], parts[0]] if month_first else parts[::-1]

@@ -79,3 +79,14 @@ def test_documents_and_back(spark):
         for old, new in zip(email.findall(before[r["doc_id"]]), email.findall(r["text"]), strict=True):
             assert old != new and seen.setdefault(old, new) == new
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(done, KEY, undo=True).collect()} == before
+
+
+def test_a_date_has_one_pseudonym_in_all_notations():
+    worker = pii.Pseudonymiser(KEY)
+    for n in range(0, 60000, 397):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+        new = datetime.date.fromisoformat(worker.replace(day.isoformat())[0])
+        assert (new.day > 12) == (day.day > 12)
+        assert worker.replace(f"{day:%d.%m.%Y}")[0] == f"{new:%d.%m.%Y}"
+        if day.day > 12:
+            assert worker.replace(f"{day:%m/%d/%Y}")[0] == f"{new:%m/%d/%Y}"
