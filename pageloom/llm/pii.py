@@ -199,6 +199,52 @@ def _secret(key: bytes, m: re.Match, step: int) -> str | None:
     return m["lead"] + _by_class(key, "hex", m["hex"], step, ((digits, 16),))
 
 
+# How long IBANs are, by country, and the most digits of a phone number after some country codes.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+PHONE_DIGITS = {"1": 10, "7": 10, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "46": 10, "47": 8, "48": 9, "52": 10, "55": 11, "61": 9, "81": 10, "91": 10, "351": 9}
+
+
+def _iban_end(m: re.Match) -> int:
+    """The end of the IBAN: where the country's length is reached, if groups end there."""
+    wanted, n = IBAN_LENGTHS.get(m[0][:2]), 0
+    for i, c in enumerate(m[0]):
+        n += c != " "
+        if n == wanted and m[0][i + 1 : i + 2] in ("", " "):
+            return m.start() + i + 1
+    return m.end()
+
+
+def _phone_end(m: re.Match) -> int:
+    """The end of the phone number: trailing numbers after a space that are too many for the country are not part of it."""
+    if not m["code"]:
+        return m.end()
+    digits = _digits(m[0])
+    code = next((digits[:k] for k in (3, 2, 1) if digits[:k] in PHONE_DIGITS), None)
+    end = len(m[0])
+    while code and len(_digits(m[0][:end])) > len(code) + PHONE_DIGITS[code] and " " in m[0][:end]:
+        end = m[0].rindex(" ", 0, end)
+    return m.start() + end if end > len(m["code"]) else m.end()
+
+
+ENDS: dict[str, Callable[[re.Match], int]] = {"iban": _iban_end, "phone": _phone_end}
+
+
+def _matches(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches from left to right, shortened to the end of the value; what a shorter one leaves is looked at again."""
+    if kind not in ENDS:
+        yield from pattern.finditer(text)
+        return
+    at = 0
+    while m := pattern.search(text, at):
+        end = ENDS[kind](m)
+        m = (pattern.fullmatch(text, m.start(), end) if end < m.end() else None) or m
+        yield m
+        at = m.end()
+
+
 # Tried in this order at every place. The formats of the values.
 KINDS: dict[str, tuple[str, Callable[[bytes, re.Match, int], str | None]]] = {
     "secret": (r"(?P<lead>(?i:token|secret|key|password)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<hex>[0-9a-fA-F]{32,128})(?![0-9a-zA-Z])", _secret),
@@ -224,7 +270,7 @@ class Pseudonymiser:
 
     def values(self, text: str) -> Iterator[tuple[int, int, str, re.Match, Callable]]:
         """Candidates from left to right: at a place, of overlapping ones that of the first kind."""
-        found = [(m.start(), rank, m.end(), kind, m, change) for rank, (kind, pattern, change) in enumerate(self.patterns) for m in pattern.finditer(text)]
+        found = [(m.start(), rank, m.end(), kind, m, change) for rank, (kind, pattern, change) in enumerate(self.patterns) for m in _matches(kind, pattern, text)]
         found.sort(key=lambda f: f[:2])
         for start, _, end, kind, m, change in found:
             yield start, end, kind, m, change

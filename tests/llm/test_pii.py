@@ -90,3 +90,14 @@ def test_a_date_has_one_pseudonym_in_all_notations():
         assert worker.replace(f"{day:%d.%m.%Y}")[0] == f"{new:%d.%m.%Y}"
         if day.day > 12:
             assert worker.replace(f"{day:%m/%d/%Y}")[0] == f"{new:%m/%d/%Y}"
+
+
+@pytest.mark.parametrize(("value", "after"), [
+    ("ES91 2100 0418 4502 0005 1332", "BIC CAIXESBB"), ("BE68 5390 0754 7034", "BIC X"), ("AT61 1904 3002 3457 3201", "2021"), ("SE45 5000 0000 0583 9825 7466", "OK"),
+    ("ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"), ("+1 (743) 555-3824", "2021"), ("+1 743 555 3824", "2021"), ("+34 912 345 678", "2021")])
+def test_what_follows_is_no_part_of_a_value(value, after):
+    worker = pii.Pseudonymiser(KEY)
+    [(kind, start, end)], alone = worker.replace(value)[1], worker.replace(value)[0]
+    changed, spans = worker.replace(f"to {value} {after} end")
+    assert changed == f"to {alone} {worker.replace(after)[0]} end" and spans[0] == (kind, 3 + start, 3 + end)
+    assert worker.replace(changed, -1)[0] == f"to {value} {after} end"
