@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 import public_tokenizers
-from pageloom.llm import bpe, chat, exact, langid, mixing, pii, quality, simhash, urlfilter, warc
-from pageloom.llm.common import Steps
+from pageloom.llm import bpe, chat, digest, exact, langid, mixing, pii, quality, repair, runs, simhash, urlfilter, warc
+from pageloom.functions.lambdas import let
+from pageloom.llm.common import WORD, Steps
 from pageloom.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,3 +252,102 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", lower_sha256("text").alias("text_sha256"))
     return exact.exact_groups(docs, carry=("text_sha256",))
+
+
+def spliced(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text) where about a tenth of the texts go on repeating a stretch of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        return let(g % n, lambda a: let((1 + F.floor((n - a) / (3 + g % 8))).cast("int"), lambda p: F.concat(
+            F.slice(words, 1, a.cast("int")),
+            F.transform(F.sequence(a.cast("int"), n - 1), lambda i: F.get(words, (a + (i - a) % p).cast("int"))))))
+
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    text = let(words, lambda w: F.when(F.size(w) > 0, F.array_join(repeated(w), " ")))
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@register()
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spliced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumns({"top": longest, "lines": F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))})
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# SQL: the CRC-32 of an ASCII string, bit by bit.
+CRC32_SQL = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)), lambda acc, b: "
+    "list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)")
+
+
+def add_sql(state: str, cost: str, letter: str, when: str = "true") -> str:
+    """SQL: a way (c, a) one edit longer, NULL where it is none."""
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': ({state}.c + {cost})::BIGINT, 'a': {state}.a || '{letter}'}} END"
+
+
+def kept_or_reroled_sql(states: tuple[str, ...], initial: str) -> str:
+    return ", ".join(f"{add_sql(s, 'extra', 'K', f'may AND initial = {initial!r}')}, {add_sql(s, 'extra + 1', 'R', 'may')}" for s in states)
+
+
+@register(rf"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32_SQL.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS chance FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN chance = 4 THEN 'user' ELSE role END AS role,
+         CASE chance WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE chance WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM told),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+seen AS (
+  SELECT *, role[1] AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+judged AS (SELECT *, NOT is_blank AND NOT again AS may, CASE WHEN cut AND NOT is_blank AND NOT again THEN 5 ELSE 0 END AS extra FROM seen),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(is_blank)::BIGINT AS blank,
+         count_if(again AND NOT is_blank)::BIGINT AS duplicate, count_if(extra > 0)::BIGINT AS truncated,
+         count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n FROM judged GROUP BY conv_id),
+ways(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, NULL::STRUCT(c BIGINT, a VARCHAR), {{'c': 5::BIGINT, 'a': 'I'}}, {{'c': 10::BIGINT, 'a': 'II'}} FROM hurt
+  UNION ALL
+  SELECT conv_id, i, s0, s1, m2, list_min([n3, {add_sql("m2", "5", "I")}]) FROM (
+    SELECT *, n0 AS s0, n1 AS s1, list_min([n2, {add_sql("n0", "5", "I")}, {add_sql("n1", "5", "I")}, {add_sql("n3", "5", "I")}]) AS m2 FROM (
+      SELECT w.conv_id, j.i, {add_sql("s0", "2", "D")} AS n0, list_min([{add_sql("s1", "2", "D")}, {add_sql("s0", "extra", "K", "may AND initial = 's'")}]) AS n1,
+             list_min([{add_sql("s2", "2", "D")}, {kept_or_reroled_sql(("s0", "s1", "s3"), "u")}]) AS n2,
+             list_min([{add_sql("s3", "2", "D")}, {kept_or_reroled_sql(("s2",), "a")}]) AS n3
+      FROM ways w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1))),
+best AS (SELECT f.*, list_min([s0, s3]) AS way FROM facts f JOIN ways w ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i),
+letters AS (
+  SELECT conv_id, p, letter, count_if(letter <> 'I') OVER w AS i, count_if(letter <> 'D') OVER w AS given FROM (
+    SELECT conv_id, unnest(string_split(way.a, '')) AS letter, unnest(range(length(way.a))) AS p FROM best WHERE way.a <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+edited AS (
+  SELECT l.*, role, text, max(CASE WHEN given = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+  FROM letters l LEFT JOIN judged j ON l.conv_id IS NOT DISTINCT FROM j.conv_id AND l.i = j.i),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role ELSE CASE WHEN (given - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':'
+           || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS t FROM edited WHERE letter <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(way.c, 0) AS cost, coalesce(way.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN texts t ON c.conv_id IS NOT DISTINCT FROM t.conv_id""")
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    convs = turns.select("conv_id").distinct()
+    found = repair.repair(repair.damaged(turns))
+    out = convs.join(found.withColumnRenamed("conv_id", "given"), F.col("conv_id").eqNullSafe(F.col("given")), "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return out.select("conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@register()
+def op13_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.against_edits(table(spark, sf_dir, "documents"))
