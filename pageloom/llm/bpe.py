@@ -4,7 +4,7 @@ The rank table is read as a transducer over bytes. While reading, several beginn
 open at once: each is a hypothesis of the tokens already complete before it, the last of them, and the bytes read of
 the next. Completing a token is allowed where the merges leave it beside the one before; then
 exactly one hypothesis ends at every byte. A set of hypotheses is a state of the deterministic
-machine, built when first reached. Tokens all hypotheses agree on are emitted at once, so output lags by at most
+machine, built when reached for the second time. Tokens all hypotheses agree on are emitted at once, so output lags by at most
 about a token's length.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pageloom.llm.common import held
 
 # Deterministic states, remembered pieces and remembered pairs kept before starting over; all only save time.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 120_000, 150_000, 300_000
+MOST_STATES, MOST_PIECES, MOST_PAIRS = 80_000, 400_000, 300_000
 # Characters of a text up to which its pieces are listed at once.
 LISTED = 1 << 22
 # Token ids decoded at a time.
@@ -40,6 +40,23 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
+class State(dict):
+    """A deterministic state: the arc of every byte met twice, which is the next state and the tokens emitted on the way."""
+
+    __slots__ = ("hypotheses",)
+
+    def __init__(self, hypotheses: tuple[Hypothesis, ...]) -> None:
+        self.hypotheses = hypotheses
+
+    def __missing__(self, byte: int) -> tuple[None, bool]:
+        self[byte] = MET
+        return NEW
+
+
+# In place of an arc: the byte was met once before, or never.
+MET, NEW = (None, False), (None, True)
+
+
 class Transducer:
     """Encodes pieces of bytes by rank, a state per byte."""
 
@@ -66,8 +83,8 @@ class Transducer:
 
     def _forget(self) -> None:
         start: tuple[Hypothesis, ...] = (((), NONE, 0),)
-        self.states, self.numbers = [start], {start: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.start = State(start)
+        self.states = {start: self.start}
         if len(self.beside) > MOST_PAIRS:
             self.beside.clear()
 
@@ -125,26 +142,43 @@ class Transducer:
             else:
                 j += 1
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Build the arc for `byte`: the next state and the tokens emitted on the way."""
-        moved, ended, beside, step = [], None, self.beside, self.next
-        for pending, last, node in self.states[state]:
+    def _read(self, hypotheses: Iterable[tuple], byte: int) -> list[tuple]:
+        """The hypotheses after `byte`; that with a complete token comes last, its pending tokens being a pair of those before and itself."""
+        moved, ended, beside, step, ends, goes_on = [], None, self.beside, self.next, self.ends, self.goes_on
+        for pending, last, node in hypotheses:
             node = step.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.goes_on[node]:
+            if goes_on[node]:
                 moved.append((pending, last, node))
-            token = self.ends[node]
-            if token != NONE:
+            token = ends[node]
+            if token != NONE and ended is None:  # exactly one hypothesis ends at a byte
                 pair = (last + 1) << 32 | token
                 fits = beside.get(pair)
                 if fits is None:
                     fits = beside[pair] = self._fits(last, token)
                 if fits:
-                    assert ended is None, "the rank table allows two encodings"
-                    ended = ((*pending, token), token, 0)
+                    ended = ((pending, token), token, 0)
         assert ended is not None, "the rank table lacks a byte"
         moved.append(ended)
+        return moved
+
+    def _finish(self, hypotheses: tuple[Hypothesis, ...], rest: bytes) -> list[int]:
+        """The tokens still to come when `rest` is the last of a piece, without building states."""
+        now: Iterable[tuple] = [((None, pending), last, node) for pending, last, node in hypotheses]
+        for byte in rest:
+            now = self._read(now, byte)
+        pending, out = now[-1][0], []
+        while pending[0] is not None:
+            out.append(pending[1])
+            pending = pending[0]
+        return [*pending[1], *reversed(out)]
+
+    def _arc(self, hypotheses: tuple[Hypothesis, ...], byte: int) -> tuple[State, tuple[int, ...]]:
+        """The arc for `byte`: the next state, made when it is new, and the tokens emitted on the way."""
+        moved = self._read(hypotheses, byte)
+        (pending, token), last, node = moved[-1]
+        moved[-1] = ((*pending, token), last, node)
         emitted: tuple[int, ...] = ()
         if moved[0][0]:
             shared = 0
@@ -156,11 +190,17 @@ class Transducer:
                 emitted = moved[0][0][:shared]
                 moved = [(pending[shared:], last, node) for pending, last, node in moved]
         key = tuple(moved)
-        number = self.numbers.setdefault(key, len(self.states))
-        if number == len(self.states):
-            self.states.append(key)
-        self.arcs[state << 8 | byte] = arc = (number, emitted)
-        return arc
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = State(key)
+        return state, emitted
+
+    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """The next state and the tokens emitted, whether or not the byte was met here before."""
+        after, emitted = state[byte]
+        if after is None:
+            after, emitted = state[byte] = self._arc(state.hypotheses, byte)
+        return after, emitted
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is itself a token is that token."""
@@ -169,13 +209,17 @@ class Transducer:
             return [whole]
         if len(self.states) > MOST_STATES:
             self._forget()
-        state, out, arcs = 0, [], self.arcs
-        for byte in piece:
-            arc = arcs.get(state << 8 | byte) or self._arc(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-        out += self.states[state][-1][0]
+        state, out = self.start, []
+        for at, byte in enumerate(piece):
+            after, emitted = state[byte]
+            if after is None:
+                if emitted:  # a byte never met here: most such ends of pieces are met once only
+                    return out + self._finish(state.hypotheses, piece[at:])
+                after, emitted = self.step(state, byte)
+            state = after
+            if emitted:
+                out += emitted
+        out += state.hypotheses[-1][0]
         return out
 
 
@@ -248,17 +292,21 @@ class Decoder:
     """Decodes ids back to text, a block at a time; unknown ids become U+FFFD."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.table = [b"\xef\xbf\xbd"] * (max(ranks.values(), default=-1) + 1)
+        table = [b"\xef\xbf\xbd"] * (max(ranks.values(), default=-1) + 2)  # the last one is for all ids unknown
         for token, rank in ranks.items():
-            self.table[rank] = token
-
-    def _bytes(self, block: list[int]) -> bytes:
-        try:
-            if min(block) >= 0:
-                return b"".join(map(self.table.__getitem__, block))
-        except IndexError:
-            pass
-        return b"".join(self.table[i] if 0 <= i < len(self.table) else b"\xef\xbf\xbd" for i in block)
+            table[rank] = token
+        self.size = np.array([len(token) for token in table], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+
+    def _bytes(self, block: np.ndarray | list[int]) -> bytes:
+        block, unknown = np.asarray(block, np.int64), len(self.size) - 1
+        if not len(block):
+            return b""
+        block = np.where((block < 0) | (block > unknown), unknown, block)
+        size = self.size[block]
+        ends = np.cumsum(size)
+        return self.bytes[np.arange(int(ends[-1])) + np.repeat(self.at[block] - ends + size, size)].tobytes()
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes known."""
@@ -267,6 +315,10 @@ class Decoder:
             yield out.feed(self._bytes(block))
         yield out.finish()
 
+    def text(self, ids: np.ndarray) -> str:
+        out = Utf8Stream()
+        return "".join([*(out.feed(self._bytes(ids[at : at + BLOCK])) for at in range(0, len(ids), BLOCK)), out.finish()])
+
 
 def _encoder(raw: bytes, pattern: str) -> Encoder:
     return held(("encoder", hash(raw), pattern), lambda: Encoder(read_ranks(raw), pattern))
@@ -332,7 +384,7 @@ def _cuts(ends: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
 def _texts(lists: pa.ListArray, decoder: Decoder) -> pa.Array:
     flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     return pa.array([
-        "".join(decoder.stream(flat[lo:hi].tolist())) if valid else None
+        decoder.text(flat[lo:hi]) if valid else None
         for lo, hi, valid in zip(starts, starts[1:], lists.is_valid().to_pylist(), strict=False)], pa.string())
 
 

@@ -56,13 +56,23 @@ def test_lookahead_is_bounded():
     machine = bpe.Transducer(RANKS[FILES[0]])
     longest = max(map(len, machine.tokens.values()))
     piece = "internationalizationdecontextualisationantidisestablishmentarianism" * 5
-    state, read, written = 0, 0, 0
+    state, read, written = machine.start, 0, 0
     for byte in piece.encode():
-        state, emitted = machine.arcs.get(state << 8 | byte) or machine._arc(state, byte)
+        state, emitted = machine.step(state, byte)
         read, written = read + 1, written + sum(len(machine.tokens[t]) for t in emitted)
         assert read - written <= 2 * longest
 
 
+def test_arcs_are_built_the_second_time():
+    machine, want = bpe.Transducer(RANKS[FILES[0]]), WANT[FILES[0]]
+    for piece in (" inhaenlyxq", "antidisestablishmentarianism", "zzzzzzzzzzzz", "Übergrößenträger"):
+        met = []
+        for _ in range(len(piece.encode()) + 3):
+            assert machine.encode(piece.encode()) == want.encode_ordinary(piece)
+            met.append(len(machine.states))
+        assert met[0] <= met[-1] == met[-2]
+
+
 @given(st.binary(max_size=60), st.lists(st.integers(0, 60), max_size=8))
 @settings(max_examples=500, deadline=None)
 def test_stream_decodes_like_the_whole(data, cuts):
