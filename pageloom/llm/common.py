@@ -24,6 +24,10 @@ def held(key: Hashable, make: Callable[[], Thing]) -> Thing:
     return _held[key]
 
 
+# Spark's setting for removing a query's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Steps:
     """Tables written between the steps of one run, in the folder all executors share."""
 
@@ -31,8 +35,19 @@ class Steps:
         self.spark, self.root, self.count = df.sparkSession, run_dir(df.sparkSession, name), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """`df` written and read again: lineage ends here, and lost executors cost no earlier step."""
+        """`df` written and read again: lineage ends here, and lost executors cost no earlier step.
+
+        Nothing will read the shuffle files of what is written, so they go at once and do not add up over the steps.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

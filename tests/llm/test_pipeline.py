@@ -6,7 +6,7 @@ import public_tokenizers as P
 import tiktoken
 from cases import lower, no_docs, odd_docs
 from pyspark.sql import functions as F
-from test_simhash import brute, slow_fingerprint
+from test_similar import brute
 
 import corpus_pipeline
 from pageloom.llm import bpe, langid
@@ -33,8 +33,9 @@ def test_stages_by_brute_force(spark):
         assert docs.columns == columns
         assert collections.Counter(docs.collect()) == collections.Counter(want)
     rows = want
-    groups = brute([r["doc_id"] for r in rows], [slow_fingerprint(r["text"]) for r in rows])
+    groups, near = brute(rows)
     want = [r for r in rows if (r["doc_id"], r["doc_id"]) in groups]
+    assert near and len(want) < len(rows)
     docs = stages["near_copies"](spark, docs, SF_DIR)
     assert collections.Counter(docs.collect()) == collections.Counter(want)
     rows, mixed = want, stages["mixture"](spark, docs, SF_DIR)
