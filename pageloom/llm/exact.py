@@ -1,9 +1,10 @@
 """Exact deduplication by most-significant-digit radix partitioning of the texts.
 
-Documents are split by their first bytes, then those still together by more bytes, and so on,
-until a group has one member or its texts have ended. Equality is decided on bytes alone. Each
-pass looks at `growth` times as many bytes as the one before, so a text of n bytes takes about
-log(n) passes, and only texts that still share their beginning with another go into the next.
+Documents are split by their first bytes, then those still together by the bytes after these, and so on,
+until a group has one member or its texts have ended. A digit is a number of successive bytes and stands beside the
+number of the group it splits, so no beginning is looked at again. Equality is decided on bytes alone. Each
+pass has seen `growth` times as many bytes as the one before, up to a bound of a digit's length; only texts that
+still share their beginning with another go into the next, and without it.
 """
 
 from __future__ import annotations
@@ -15,19 +16,18 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import Steps, attach
 
-# Bytes looked at by the first pass, and how many times more by each later one.
-FIRST_BYTES, GROWTH = 64, 16
+# Bytes of the first digit, how many times more have been seen after each later one, and bytes of the longest.
+FIRST_BYTES, GROWTH, MOST_BYTES = 64, 16, 1 << 18
 
 
-def _beginning(text: Column, width: int) -> Column:
+def _digit(rest: Column, width: int) -> Column:
     """The first `width` bytes with A-Z lower-cased; a character per byte, so that any cut is a string."""
-    chars = F.decode(F.substring(F.encode(text, "UTF-8"), 1, width), "ISO-8859-1")
-    return F.translate(chars, string.ascii_uppercase, string.ascii_lowercase)
+    return F.translate(F.decode(F.substring(rest, 1, width), "ISO-8859-1"), string.ascii_uppercase, string.ascii_lowercase)
 
 
 def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (),
-    first_bytes: int = FIRST_BYTES, growth: int = GROWTH,
+    first_bytes: int = FIRST_BYTES, growth: int = GROWTH, most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, the columns `carry`, keep_id, group_size and kept.
 
@@ -36,32 +36,31 @@ def exact_groups(
     columns in `carry` (the text may be among them) come through unchanged; others are left out.
     An empty table gives an empty result.
     """
-    steps, width, done = Steps(docs, "exact"), first_bytes, []
-    with_text = text in carry
-    extra = [F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)]
+    steps, width, seen, done = Steps(docs, "exact"), first_bytes, 0, []
     names = [f"c_{i}" for i in range(len(carry))]
-    body = f"c_{carry.index(text)}" if with_text else "body"
-    live = docs.select(F.col(doc_id).alias("id"), *extra, *([] if with_text else [F.col(text).alias("body")]))
+    rest = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    live = docs.select(
+        F.col(doc_id).alias("id"), *(F.col(c).alias(n) for n, c in zip(names, carry, strict=True)), rest.alias("rest"), F.lit(0).cast("long").alias("group"))
     while True:
-        whole = F.coalesce(F.col(body), F.lit(""))
-        rows = live.withColumn("begin", _beginning(whole, width)).withColumn("ended", F.octet_length(whole) <= width)
-        rows = attach(rows, ["begin", "ended"], {
-            "group_size": (F.count(F.lit(1)), F.sum), "keep_id": (F.max("id"), F.max)}, ["id"])
+        rows = live.withColumns({
+            "digit": _digit(F.col("rest"), width), "ended": F.octet_length("rest") <= width, "row": F.monotonically_increasing_id()})
+        # A group's number is that of one of its rows.
+        rows = attach(rows, ["group", "digit", "ended"], {
+            "group_size": (F.count(F.lit(1)), F.sum), "keep_id": (F.max("id"), F.max), "part": (F.min("row"), F.min)}, ["id", "row"])
         open_ = (F.col("group_size") > 1) & ~F.col("ended")
         table = steps.keep(rows.select(
-            "id", *names, *([] if with_text else [F.when(open_, F.col("body")).alias("body")]), "keep_id", "group_size",
-            F.monotonically_increasing_id().alias("row"),
-            F.when(~open_ & (F.col("group_size") > 1) & F.col("id").eqNullSafe(F.col("keep_id")), F.col("begin")).alias("begin"),
-            open_.alias("open")))
+            "id", *names, F.when(open_, F.substring("rest", width + 1, 1 << 30)).alias("rest"), "keep_id", "group_size", F.col("part").alias("group"),
+            F.monotonically_increasing_id().alias("row"), open_.alias("open")))
         done.append(_settled(table.filter(~F.col("open")), names))
-        live = table.filter("open").select("id", *names, *([] if with_text else ["body"]))
+        live = table.filter("open").select("id", *names, "rest", "group")
         if live.isEmpty():
             break
-        width *= growth
+        seen += width
+        width = min(seen * (growth - 1), most_bytes)
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    back = [F.col(f"c_{i}").alias(c) for i, c in enumerate(carry) if c != doc_id]
+    back = [F.col(n).alias(c) for n, c in zip(names, carry, strict=True) if c != doc_id]
     return result.select(F.col("id").alias(doc_id), *back, "keep_id", "group_size", "kept")
 
 
@@ -70,6 +69,6 @@ def _settled(table: DataFrame, names: list[str]) -> DataFrame:
     keeper = (F.col("group_size") > 1) & F.col("id").eqNullSafe(F.col("keep_id"))
     columns = ["id", *names, "keep_id", "group_size"]
     rest = table.filter(~keeper).select(*columns, (F.col("group_size") == 1).alias("kept"))
-    first = table.filter(keeper).groupBy("begin").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    first = table.filter(keeper).groupBy("group").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
     top = table.filter(keeper).join(first, "row", "left")
     return rest.unionByName(top.select(*columns, F.coalesce("first", F.lit(False)).alias("kept")))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 import public_tokenizers
 from pageloom.llm import bpe, chat, digest, exact, langid, mixing, pii, quality, repair, runs, simhash, urlfilter, warc
@@ -238,19 +237,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).cast("long").alias("taken"))
 
 
-@F.pandas_udf(StringType())  # an object: a name would need a session when the module is imported
-def lower_sha256(texts: pd.Series) -> pd.Series:
-    """SHA-256 of each text with A-Z lower-cased; null counts as empty."""
-    return texts.map(lambda t: hashlib.sha256((t or "").encode().lower()).hexdigest())
-
-
 @register(f"""
 WITH d AS (SELECT doc_id, {ASCII_LOWER.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size, sha256(t) AS text_sha256 FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)""")
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", lower_sha256("text").alias("text_sha256"))
+    lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    docs = docs.select("doc_id", "text", F.sha2(lower, 256).alias("text_sha256"))
     return exact.exact_groups(docs, carry=("text_sha256",))
 
 

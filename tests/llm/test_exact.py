@@ -39,3 +39,13 @@ def test_same_ids_in_different_groups(spark):
 
 def test_no_documents(spark):
     assert exact_groups(no_docs(spark), carry=("text",)).collect() == []
+
+
+def test_digits_are_successive(spark):
+    """Each digit has other bytes than those before, and none is longer than asked."""
+    stem = "ab" * 300
+    texts = [stem, stem + "x", stem + "y", stem[:-1] + "B", stem[:100], stem[:100].upper(), stem[:101]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for first, growth, most in ((1, 2, 7), (8, 16, 1 << 18), (8, 2, 8), (700, 16, 1)):
+        found = exact_groups(docs, first_bytes=first, growth=growth, most_bytes=most).collect()
+        assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == brute(docs.collect())
