@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 WAYS = 256
 
 
-def salted(rows: DataFrame, spread_by: list[str], ways: int = WAYS) -> DataFrame:
-    """`rows` with `_salt`, 0 to ways - 1, by a hash of columns that differ within a group."""
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with so many underscores before it that `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def salted(rows: DataFrame, spread_by: list[str], name: str, ways: int = WAYS) -> DataFrame:
+    """`rows` with a column `name`, 0 to ways - 1, by a hash of columns that differ within a group."""
+    return rows.withColumn(name, F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
 
 
 def attach(
@@ -29,20 +37,22 @@ def attach(
     `facts` maps a column name to the aggregate over rows and the function that merges two of
     them. `keys` must not be null.
     """
-    rows = salted(rows, spread_by, ways)
-    parts = rows.groupBy(*keys, "_salt").agg(*(part.alias(name) for name, (part, _) in facts.items()))
+    salt = free_name(rows, "_salt")
+    rows = salted(rows, spread_by, salt, ways)
+    parts = rows.groupBy(*keys, salt).agg(*(part.alias(name) for name, (part, _) in facts.items()))
     whole = parts.groupBy(*keys).agg(
-        *(merge(F.col(name)).alias(name) for name, (_, merge) in facts.items()), F.collect_list("_salt").alias("_salts"))
-    per_salt = whole.select(*keys, *facts, F.explode("_salts").alias("_salt"))
-    return rows.join(per_salt, [*keys, "_salt"]).drop("_salt")
+        *(merge(F.col(name)).alias(name) for name, (_, merge) in facts.items()), F.collect_list(salt).alias(f"{salt}s"))
+    per_salt = whole.select(*keys, *facts, F.explode(f"{salt}s").alias(salt))
+    return rows.join(per_salt, [*keys, salt]).drop(salt)
 
 
 def look_up(rows: DataFrame, keys: list[str], table: DataFrame, spread_by: list[str], ways: int = WAYS) -> DataFrame:
     """`rows` left-joined with `table`, which has one row per key. `keys` must not be null."""
-    rows = salted(rows, spread_by, ways)
-    used = rows.select(*keys, "_salt").distinct().groupBy(*keys).agg(F.collect_list("_salt").alias("_salts"))
-    per_salt = table.join(used, keys).withColumn("_salt", F.explode("_salts")).drop("_salts")
-    return rows.join(per_salt, [*keys, "_salt"], "left").drop("_salt")
+    salt = free_name(rows.select("*", *(F.lit(0).alias(c) for c in table.columns if c not in keys)), "_salt")
+    rows = salted(rows, spread_by, salt, ways)
+    used = rows.select(*keys, salt).distinct().groupBy(*keys).agg(F.collect_list(salt).alias(f"{salt}s"))
+    per_salt = table.join(used, keys).withColumn(salt, F.explode(f"{salt}s")).drop(f"{salt}s")
+    return rows.join(per_salt, [*keys, salt], "left").drop(salt)
 
 
 # Rows of a table up to which it may be broadcast; its rows must be short.
