@@ -3,7 +3,8 @@
 Every kind of value has a pattern and a check (Luhn, mod 97, calendar, ranges). A value that passes is
 numbered within its format, that number is permuted by a keyed Feistel network that cycle-walks into the
 format's range, and the result is written with the value's own separators. The permutation depends on the
-key, the kind and the length only, so equal values get equal pseudonyms in every document, and the key undoes it.
+key, the kind and the length only, so equal values get equal pseudonyms in every document and notation, and the key undoes it.
+An international phone number keeps its country code, a date stays within or outside 1900 to 2099, a secret may have any length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+# Dates of this span get images in it, all others of the years 1 to 9999 get images outside.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+SPAN, DAYS = LAST_DAY - FIRST_DAY + 1, datetime.date.max.toordinal()
+# Characters of a long secret that are permuted as one number.
+CHUNK = 128
 
 
 class Permutation:
@@ -96,11 +101,16 @@ def _card(key: bytes, m: re.Match, step: int) -> str | None:
 
 
 def _phone(key: bytes, m: re.Match, step: int) -> str | None:
-    code, rest = m["code"] or "", m[0][len(m["code"] or "") :]
+    code = len(_country_code(_digits(m[0]))) if m["code"] else 0
+    at = 0  # where the number without its country code begins, however it is written
+    while code:
+        code -= m[0][at].isdigit()
+        at += 1
+    lead, rest = m[0][:at], m[0][at:]
     digits = _digits(rest)
     if not 7 <= len(digits) <= 14:
         return None
-    return code + _refill(rest, f"{_moved(key, f'phone{len(digits)}', 10 ** len(digits), int(digits), step):0{len(digits)}}")
+    return lead + _refill(rest, f"{_moved(key, f'phone{len(digits)}', 10 ** len(digits), int(digits), step):0{len(digits)}}")
 
 
 def _is_ssn(value: int) -> bool:
@@ -123,10 +133,18 @@ def _ip(key: bytes, m: re.Match, step: int) -> str | None:
 
 def _calendar(year: int, month: int, day: int) -> int | None:
     try:
-        at = datetime.date(year, month, day).toordinal()
+        return datetime.date(year, month, day).toordinal()
     except ValueError:
         return None
-    return at - FIRST_DAY if FIRST_DAY <= at <= LAST_DAY else None
+
+
+def _moved_day(key: bytes, at: int, step: int) -> datetime.date:
+    """The image of the day with number `at`. Days over 12 stay so."""
+    recent = FIRST_DAY <= at <= LAST_DAY
+    day_of = lambda v: datetime.date.fromordinal(v + FIRST_DAY if recent else v + 1 if v + 1 < FIRST_DAY else v + 1 + SPAN)
+    place = at - FIRST_DAY if recent else at - 1 if at < FIRST_DAY else at - 1 - SPAN
+    late = lambda v: (day_of(v).day > 12) == (day_of(place).day > 12)
+    return day_of(_moved(key, "date" if recent else "other date", SPAN if recent else DAYS - SPAN, place, step, late))
 
 
 def _date(key: bytes, m: re.Match, step: int) -> str | None:
@@ -142,10 +160,9 @@ def _date(key: bytes, m: re.Match, step: int) -> str | None:
         at = _calendar(int(last), int(first), int(second))
     if at is None:
         return None
-    day_of = lambda v: datetime.date.fromordinal(v + FIRST_DAY)
-    day = day_of(_moved(key, "date", LAST_DAY - FIRST_DAY + 1, at, step, lambda v: (day_of(v).day > 12) == (day_of(at).day > 12)))
+    day = _moved_day(key, at, step)
     two = (lambda x: f"{x:02}") if all(len(p) > 1 for p in (first, second, last)) else str
-    parts = [f"{day.year}", two(day.month), two(day.day)]
+    parts = [f"{day.year:04}", two(day.month), two(day.day)]
     parts = parts if year_first else [parts[1], parts[2], parts[0]] if month_first else parts[::-1]
     marks = re.findall(r"[-/.]", m[0])
     return parts[0] + marks[0] + parts[1] + marks[1] + parts[2]
@@ -196,7 +213,8 @@ def _secret(key: bytes, m: re.Match, step: int) -> str | None:
     digits = "0123456789abcdef" if m["hex"].islower() or m["hex"].isdigit() else "0123456789ABCDEF"
     if any(c not in digits for c in m["hex"]):
         return None
-    return m["lead"] + _by_class(key, "hex", m["hex"], step, ((digits, 16),))
+    parts = (m["hex"][at : at + CHUNK] for at in range(0, len(m["hex"]), CHUNK))
+    return m["lead"] + "".join(_by_class(key, f"hex{i or ''}", part, step, ((digits, 16),)) for i, part in enumerate(parts))
 
 
 # How long IBANs are, by country, and the most digits of a phone number after some country codes.
@@ -207,6 +225,15 @@ IBAN_LENGTHS = {country: n for n, countries in {
 PHONE_DIGITS = {"1": 10, "7": 10, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "46": 10, "47": 8, "48": 9, "52": 10, "55": 11, "61": 9, "81": 10, "91": 10, "351": 9}
 
 
+# The country codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _country_code(digits: str) -> str:
+    """The country code an international number begins with."""
+    return next((digits[:k] for k in (1, 2) if digits[:k] in SHORT_CODES), digits[:3])
+
+
 def _iban_end(m: re.Match) -> int:
     """The end of the IBAN: where the country's length is reached, if groups end there."""
     wanted, n = IBAN_LENGTHS.get(m[0][:2]), 0
@@ -221,10 +248,9 @@ def _phone_end(m: re.Match) -> int:
     """The end of the phone number: trailing numbers after a space that are too many for the country are not part of it."""
     if not m["code"]:
         return m.end()
-    digits = _digits(m[0])
-    code = next((digits[:k] for k in (3, 2, 1) if digits[:k] in PHONE_DIGITS), None)
+    code = _country_code(_digits(m[0]))
     end = len(m[0])
-    while code and len(_digits(m[0][:end])) > len(code) + PHONE_DIGITS[code] and " " in m[0][:end]:
+    while code in PHONE_DIGITS and len(_digits(m[0][:end])) > len(code) + PHONE_DIGITS[code] and " " in m[0][:end]:
         end = m[0].rindex(" ", 0, end)
     return m.start() + end if end > len(m["code"]) else m.end()
 
@@ -247,7 +273,7 @@ def _matches(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
 
 # Tried in this order at every place. The formats of the values.
 KINDS: dict[str, tuple[str, Callable[[bytes, re.Match, int], str | None]]] = {
-    "secret": (r"(?P<lead>(?i:token|secret|key|password)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<hex>[0-9a-fA-F]{32,128})(?![0-9a-zA-Z])", _secret),
+    "secret": (r"(?P<lead>(?i:token|secret|key|password)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<hex>[0-9a-fA-F]{32,})(?![0-9a-zA-Z])", _secret),
     "email": (r"(?<![\w.+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     "date": (r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d)", _date),
