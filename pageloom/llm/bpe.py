@@ -372,6 +372,21 @@ def encode(
     return docs.select(*keep, text).mapInArrow(run, schema).toDF(*keep, ids, *([decoded] if decoded else []))
 
 
+def with_token_count(docs: DataFrame, path: str, pattern: str, text: str = "text", count: str = "n_tokens") -> DataFrame:
+    """`docs` with the number of token ids of each whole text as the column `count`, replaced if there; null and empty texts have none."""
+    raw, keep = _raw(path), [c for c in docs.columns if c != count]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(raw, pattern)
+        for batch in batches:
+            counts = pa.array([len(encoder.encode(t.as_py() or "")) for t in batch.column(len(keep))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], counts], [*names, "n"])
+
+    names = [f"k{i}" for i in range(len(keep))]
+    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "n long"])
+    return docs.select(*keep, text).mapInArrow(run, schema).toDF(*keep, count)
+
+
 def _cuts(ends: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` values each, one row at least."""
     lo, rows = 0, len(ends) - 1

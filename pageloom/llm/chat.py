@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.llm import bpe
+from pageloom.llm.common import Steps
+
 BUDGET, HISTORY = 1024, 256
 # Budgets in a segment; turns in a stretch that is summed by itself.
 SEGMENT, STRETCH = 64, 256
-# Tokens the marks of a turn take.
-MARKS = 5
+# Tokens the marks of a turn take: its begin and end, and the line ends after its role and itself.
+MARKS = 4
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 SPANS = "conv_id {kind}, segment long, number int, text string, n_repeated int, n_tokens long, loss array<struct<start:int,end:int>>"
@@ -54,9 +57,23 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         at = end + len(END) + 1
 
 
-def token_count(text: Column) -> Column:
-    """An estimate from above of ordinary text's tokens: a token for four bytes, and the marks."""
-    return (F.ceil(F.octet_length(text) / 4) + MARKS).cast("long")
+def escaped(text: Column) -> Column:
+    """`escape` as an expression."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
+def counted(rows: DataFrame, vocabulary: str | None, pattern: str | None) -> DataFrame:
+    """`rows` (role, text) with `tokens`: those of role and text as they are written, and the marks.
+
+    Without a vocabulary every byte counts as a token, which byte-level BPE never exceeds.
+    """
+    said = {"said": escaped(F.col("text")), "who": F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n"))}
+    rows = rows.withColumns(said)
+    if vocabulary is None:
+        return rows.withColumn("tokens", (F.octet_length("said") + F.octet_length("who") + MARKS).cast("long")).drop("said", "who")
+    for text in ("said", "who"):
+        rows = bpe.with_token_count(rows, vocabulary, pattern, text, f"n_{text}").drop(text)
+    return rows.withColumn("tokens", F.col("n_said") + F.col("n_who") + MARKS).drop("n_said", "n_who")
 
 
 # --- Windows of one segment
@@ -145,17 +162,18 @@ def placed(rows: DataFrame) -> DataFrame:
 
 def format_windows(
     turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_id: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text",
+    role: str = "role", text: str = "text", vocabulary: str | None = None, pattern: str | None = None,
 ) -> DataFrame:
     """Windows of every conversation: conv_id, segment, number, text, n_repeated, n_tokens, loss (start, end in `text`).
 
     Rows are taken by turn (nulls first), then role and text; rows that repeat are turns of their own. Null roles and
     texts count as empty, a null conv_id is a conversation. A window keeps to `budget` tokens unless its system turn and
-    first new turn alone exceed it; turns are never cut. The first `n_repeated` turns stood in an earlier window.
+    first new turn alone exceed it; turns are never cut. Tokens are those of the rank file `vocabulary`, split by `pattern`; without
+    one, bytes. An empty table gives no window. The first `n_repeated` turns stood in an earlier window.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = turns.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
-    rows = placed(rows.withColumn("tokens", token_count(F.col("text"))))
+    rows = placed(Steps(turns, "chat").keep(counted(rows, vocabulary, pattern)))
     size = SEGMENT * budget
     segment = F.floor(F.col("before") / size)
     # A turn stands in its segment, at the end of one also in the next for context; the system turn in all.
