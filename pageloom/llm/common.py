@@ -7,7 +7,7 @@ from typing import TypeVar
 
 from pyspark.sql import DataFrame
 
-from pageloom.operators.groups import attach, look_up  # noqa: F401
+from pageloom.operators.groups import attach, free_name, look_up  # noqa: F401
 from pageloom.session import run_dir
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import attach
+from pageloom.llm.common import attach, free_name
 
 # Bytes of records in a frame, and of compressed frames in a bundle, before the next begins. A record is
 # never cut, so a larger one has a frame to itself.
@@ -35,28 +35,44 @@ RECORD = "record_id string, uri string, record_type string, digest string, paylo
 
 # --- One record
 
+# In place of an id that is null, in headers and in the index; ids themselves are percent-encoded.
+NO_NAME, NO_INDEX_NAME = "<urn:none>", "%"
+
+
 def _target(uri: str) -> list[str]:
     """The target's header lines: percent-encoded where it must be, and then also as it was."""
     encoded = urllib.parse.quote(uri, safe="".join(chr(c) for c in range(33, 127)))
     return [f"WARC-Target-URI: {encoded}", *([f"X-Original-Target: {json.dumps(uri)}"] if encoded != uri else [])]
 
 
-def record_bytes(record_id: str, uri: str | None, kind: str, digest: str, payload: bytes, payload_bytes: int, refers_to: str | None, date: str) -> bytes:
-    """One WARC/1.1 record. A revisit carries HTTP headers only, and the length of the payload it stands for."""
+def _urn(name: str | None) -> str:
+    return NO_NAME if name is None else f"<urn:record:{urllib.parse.quote(name)}>"
+
+
+def record_bytes(
+    record_id: str | None, uri: str | None, kind: str | None, digest: str | None, payload: bytes | None, payload_bytes: int | None, refers_to: str | None, date: str,
+) -> bytes:
+    """One WARC/1.1 record. A revisit carries HTTP headers only, and the length of the payload it stands for.
+
+    Without a kind it is a response; a digest and length not given are those of the payload, none counting as empty.
+    """
+    payload, kind = payload or b"", kind or "response"
+    digest = hashlib.sha256(payload).hexdigest() if digest is None else digest
+    payload_bytes = len(payload) if payload_bytes is None else payload_bytes
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{urllib.parse.quote(record_id)}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(record_id)}", f"WARC-Date: {date}"]
     head += _target(uri) if uri is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: <urn:record:{urllib.parse.quote(refers_to or '')}>"]
+                 f"WARC-Refers-To: {_urn(refers_to)}"]
     head += [f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def _name(value: str | None) -> str | None:
-    return None if value is None else urllib.parse.unquote(value.removeprefix("<urn:record:").removesuffix(">"))
+    return None if value is None or value == NO_NAME else urllib.parse.unquote(value.removeprefix("<urn:record:").removesuffix(">"))
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
@@ -86,7 +102,7 @@ class Bundle:
         self.packer, self.frames, self.sizes, self.index = zstandard.ZstdCompressor(level=level), [], [], []
         self.open, self.length, self.packed = [], 0, 0
 
-    def add(self, record_id: str, record: bytes) -> None:
+    def add(self, record_id: str | None, record: bytes) -> None:
         self.index.append((record_id, len(self.frames), self.length, len(record)))
         self.open.append(record)
         self.length += len(record)
@@ -103,7 +119,7 @@ class Bundle:
     def finish(self) -> bytes:
         """The whole file."""
         self._close_frame()
-        lines = "".join(f"{frame} {offset} {length} {urllib.parse.quote(name)}\n" for name, frame, offset, length in self.index)
+        lines = "".join(f"{frame} {offset} {length} {NO_INDEX_NAME if name is None else urllib.parse.quote(name)}\n" for name, frame, offset, length in self.index)
         index = self.packer.compress(lines.encode())
         index = struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index
         table = b"".join(struct.pack("<II", *size) for size in [*self.sizes, (len(index), 0)])
@@ -129,12 +145,12 @@ class Reader:
         at, packed, plain = self.starts[number]
         return self.unpacker.decompress(self.data[at : at + packed], max_output_size=plain)
 
-    def index(self) -> list[tuple[str, int, int, int]]:
+    def index(self) -> list[tuple[str | None, int, int, int]]:
         """(record id, frame, offset in the frame, length) of every record."""
         at, packed, _ = self.starts[-1]
         lines = self.unpacker.decompress(self.data[at + 8 : at + packed]).decode().split("\n")[:-1]
         parts = (line.split(" ", 3) for line in lines)
-        return [(urllib.parse.unquote(name), int(frame), int(offset), int(length)) for frame, offset, length, name in parts]
+        return [(None if name == NO_INDEX_NAME else urllib.parse.unquote(name), int(frame), int(offset), int(length)) for frame, offset, length, name in parts]
 
     def records(self) -> Iterator[dict]:
         for number in range(len(self.starts) - 1):
@@ -152,22 +168,28 @@ def with_revisits(records: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     Of equal payloads of `least` bytes or more the record with the smallest id is the response and
     the others revisit it; rows that repeat that id are responses too, null ids come last. Smaller ones are all responses.
     """
-    key = F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    rows = attach(records.withColumn("same", key), ["same"], {"first": (F.min("id"), F.min)}, ["id"])
-    again = (F.col("payload_bytes") >= least) & ~F.col("id").eqNullSafe(F.col("first"))
+    large = (F.col("payload_bytes") >= least) & F.col("digest").isNotNull()
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    same, first = free_name(records, "same"), free_name(records, "first")
+    rows = attach(records.withColumn(same, key), [same], {first: (F.min("id"), F.min)}, ["id"])
+    again = F.coalesce(large & ~F.col("id").eqNullSafe(F.col(first)), F.lit(False))
     return rows.withColumns({
-        "record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("same", "first")
+        "record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col(first))}).drop(same, first)
 
 
 def write_bundles(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
-    """Write `records` (RECORD's columns; the payload of revisits is not written) as bundles under `path`, in the rows' order."""
+    """Write `records` (RECORD's columns; the payload of revisits is not written) as bundles under `path`, in the rows' order.
+
+    Any column may be null: such ids come back as null, kinds as responses, digests and lengths as those of the payload. Rows
+    may repeat; other columns are left out; an empty table gives a folder without bundles.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = Bundle(level)
         done = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.finish()[:-1]], pa.binary())], ["value"])
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 name, uri, kind, digest, payload, size, refers_to = (x.as_py() for x in row)
-                bundle.add(name, record_bytes(name, uri, kind, digest, payload or b"", size, refers_to, date))
+                bundle.add(name, record_bytes(name, uri, kind, digest, payload, size, refers_to, date))
                 if bundle.packed >= BUNDLE_BYTES:
                     yield done()
                     bundle = Bundle(level)
@@ -186,7 +208,10 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, path, frame, offset, length) of every record under `path`."""
+    """(record_id, path, frame, offset, length) of every record under `path`; no rows where there are no bundles.
+
+    Spark's file source hands a bundle over whole: what the index saves is unpacking, and bundles are bounded.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(*batch.columns, strict=True):
@@ -221,7 +246,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """The records whose record_id is in `ids`, unpacking only the frames that hold one."""
+    """The records whose record_id is in `ids`, unpacking only the frames that hold one.
+
+    Ids asked for twice or unknown change nothing; a null id finds none; ids that repeat give all their records.
+    """
     places = read_index(spark, path).join(ids.select("record_id").distinct(), "record_id", "left_semi")
     wanted = places.groupBy("path").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))
 

@@ -76,3 +76,28 @@ def test_no_pages(spark):
     path = run_dir(spark, "warc-test")
     warc.write_bundles(records(spark, []), path)
     assert warc.read_records(spark, path).collect() == [] and warc.read_index(spark, path).collect() == []
+
+
+def test_nulls_and_clashing_names(spark):
+    rows = [(None, None, None, None, None, None, None), ("a b", "u", "response", None, b"x" * 200, None, None), ("%", "", "response", None, None, None, None),
+            (None, "u2", "revisit", "d", None, 5, None)]
+    path = run_dir(spark, "warc-test")
+    warc.write_bundles(spark.createDataFrame(rows, warc.RECORD), path)
+    found = collections.Counter((r["record_id"], r["uri"], r["record_type"], r["payload"], r["payload_bytes"], r["refers_to"]) for r in warc.read_records(spark, path).collect())
+    assert found == collections.Counter([
+        (None, None, "response", b"", 0, None), ("a b", "u", "response", b"x" * 200, 200, None), ("%", "", "response", b"", 0, None), (None, "u2", "revisit", None, 5, None)])
+    assert sorted(str(r["record_id"]) for r in warc.read_index(spark, path).collect()) == ["%", "None", "None", "a b"]
+    wanted = spark.createDataFrame([("%",), (None,)], "record_id string")
+    assert [r["record_id"] for r in warc.fetch(spark, path, wanted).collect()] == ["%"]
+    clash = spark.createDataFrame([(1, "d", 200, "f", 7, "s"), (2, "d", 200, "f", 7, "s"), (3, None, None, "f", 7, "s"), (None, "d", 200, "f", 7, "s")],
+                                  "id long, digest string, payload_bytes long, first string, _salt int, same string")
+    found = {r["id"]: r for r in warc.with_revisits(clash).collect()}
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in found.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), None: ("revisit", 1)}
+    assert {(r["first"], r["_salt"], r["same"]) for r in found.values()} == {("f", 7, "s")}
+
+
+def test_every_byte_survives(spark):
+    data = bytes(range(256)) * 3000 + bytes(reversed(range(256)))
+    path = run_dir(spark, "warc-test")
+    warc.write_bundles(spark.createDataFrame([("1", None, "response", None, data, None, None)], warc.RECORD), path, level=-50)
+    assert warc.read_records(spark, path).collect()[0]["payload"] == data
