@@ -1,7 +1,7 @@
 """URL filters: host and path rules, then a blocked Bloom filter in front of an exact lookup in a list.
 
-The filter is a table of blocks of 512 bits, built by a grouped `bit_or`, and at most MOST_BLOCKS rows long, so
-it can be broadcast whatever the list's size. Only URLs it lets through meet the list in a join.
+The filter is a table of blocks of 512 bits, built by a grouped `bit_or`, 16 bits a URL. While it is small it is broadcast;
+the blocks of a longer list are looked up by their number. Only URLs it lets through meet the list itself in a join.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import look_up
+from pageloom.llm.common import Steps, look_up
 
 WORDS_PER_BLOCK, WORD_BITS = 8, 64
-# A bound on what is broadcast: 65,536 blocks of 64 bytes with their keys, about 6 MB. A list too long for it
-# gets more false hits, which the join removes.
+# A bound on what is broadcast: 65,536 blocks of 64 bytes with their keys, about 6 MB, for some two million URLs.
 MOST_BLOCKS, BITS_PER_URL = 1 << 16, 16
 
 
@@ -74,7 +73,7 @@ def bloom(listed: DataFrame, key: str) -> tuple[DataFrame, int]:
     """A blocked Bloom filter over the column `key`: (block, w0..w7), and the number of blocks."""
     n = listed.count()
     blocks = 1
-    while blocks < MOST_BLOCKS and blocks * WORDS_PER_BLOCK * WORD_BITS < n * BITS_PER_URL:
+    while blocks * WORDS_PER_BLOCK * WORD_BITS < n * BITS_PER_URL:
         blocks *= 2
     words = [F.bit_or(_bit(F.col(key), w)).alias(f"w{w}") for w in range(WORDS_PER_BLOCK)]
     return listed.groupBy(_block(F.col(key), blocks).alias("block")).agg(*words), blocks
@@ -87,13 +86,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...], url: str
     URL in `listed` (url; repeats and nulls allowed), which `possible` says the Bloom filter had let
     through. Null URLs and those without :// have an empty host and path and are allowed.
     """
-    keys = listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct()
+    keys = Steps(pages, "urls").keep(listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct())
     table, blocks = bloom(keys, "key")
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("u"))
     rows = rows.select("id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), canonical(F.col("u")).alias("key"))
     rule, verdict = matching_rule(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": rule, "verdict": verdict, "at": F.coalesce(_block(F.col("key"), blocks), F.lit(-1))})
-    rows = rows.join(F.broadcast(table), F.col("at") == F.col("block"), "left")
+    if blocks <= MOST_BLOCKS:
+        rows = rows.join(F.broadcast(table), F.col("at") == F.col("block"), "left")
+    else:
+        rows = look_up(rows, ["at"], table.withColumn("at", F.col("block")), ["id", "key"])
     hit = F.col("block").isNotNull()
     for w in range(WORDS_PER_BLOCK):
         hit = hit & (F.col(f"w{w}").bitwiseAND(_bit(F.col("key"), w)) != 0)
