@@ -24,6 +24,19 @@ def template(text: str, **extra: Column) -> Column:
     return F.concat(*pieces)
 
 
+def template_sql(text: str, **extra: str) -> str:
+    """SQL for what `template` makes: string literals and columns joined."""
+    pieces = []
+    for part in re.split(r"(\{\??\w+\})", text):
+        if part.startswith("{?"):
+            pieces.append(f"({extra[part[2:-1]]})")
+        elif re.fullmatch(r"\{\w+\}", part):
+            pieces.append(part[1:-1])
+        elif part:
+            pieces.append("'" + part.replace("'", "''") + "'")
+    return "concat(" + ", ".join(pieces) + ")"
+
+
 def maybe(condition: str, text: str, otherwise: str = "") -> Column:
     return F.when(F.expr(condition), template(text)).otherwise(template(otherwise) if otherwise else F.lit(""))
 
@@ -40,10 +53,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 CUSTOMER_URL = "https://shop{c_nationkey}.example.com/c/{c_custkey}/index.html"
 
 
-def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media, metadata, lists and a table."""
-    html = template(
-        """<!DOCTYPE html><html><head><title>{c_name} page</title>
+CUSTOMER_HTML = """<!DOCTYPE html><html><head><title>{c_name} page</title>
 <meta name="segment" content="{c_mktsegment}"><meta name="empty" content=""><meta charset="utf-8">
 {?sitemap}{?feed}<script type="application/ld+json">{?ld}</script></head>
 <body><h1>{c_name}</h1>
@@ -59,7 +69,13 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 <h2>Table</h2><p>Key values</p><table><tr><td>Key</td><td>Value</td></tr>
 <tr><td>name</td><td>{c_name}<br>x</td><td>cut</td></tr><tr><td>segment</td></tr></table>
 <h3>More</h3><a href="https://other.example.net/{c_custkey}">other</a><a href="//cdn.example.org/x">cdn</a> tail
-</body></html>""",
+</body></html>"""
+
+
+def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media, metadata, lists and a table."""
+    html = template(
+        CUSTOMER_HTML,
         sitemap=maybe("c_custkey % 3 = 0", '<link rel="sitemap" href="/maps/sitemap{c_nationkey}.xml">'),
         feed=maybe("c_custkey % 2 = 0", '<link rel="alternate" href="/feed/{c_custkey}">'),
         ld=maybe("c_custkey % 5 > 0", '{"@type": "Person", "name": "{c_name}", "nation": {c_nationkey}} <!-- c -->', '{"broken": {c_custkey'),

@@ -1,7 +1,8 @@
 """Expressions over a page's `dom` array (see `operators.shred` for the node fields).
 
 All of them are per-row. Lookups by id are constant time, subtrees are walked by id range,
-so cost follows the size of what is looked at.
+so cost follows the size of what is looked at. A node's strings are read from the page's column `dom_strings`,
+so expressions on text belong on frames that still have it.
 """
 
 from __future__ import annotations
@@ -57,21 +58,40 @@ def under(dom: Column, outer: Column, test: NodeTest) -> Column:
     return F.filter(F.transform(span(outer["id"] + 1, outer["end"]), lambda i: F.get(dom, i)), test)
 
 
+def _strings() -> Column:
+    return F.col("dom_strings")
+
+
+def parts(n: Column) -> Column:
+    """The strings of the node's subtree, in order. Needs its tag in `parts_of`."""
+    return F.slice(_strings(), n["first"] + 1, n["upto"] - n["first"])
+
+
 def text(n: Column) -> Column:
     """The node's text as it stands. Needs its tag in `parts_of`."""
-    return F.array_join(n["parts"], "")
+    return F.array_join(parts(n), "")
+
+
+def lead(n: Column) -> Column:
+    """The first string directly in the node. Needs its tag in `parts_of`."""
+    return F.get(_strings(), n["lead"])
+
+
+def string(n: Column) -> Column:
+    """The string of a string node or comment; NULL for an element. Needs `text_nodes`."""
+    return F.when(n["kind"] != "element", F.get(_strings(), n["first"]))
 
 
 def stripped_text(n: Column, separator: str = "") -> Column:
     """The node's strings, each stripped, empty ones dropped."""
-    return F.array_join(F.filter(F.transform(n["parts"], strip), lambda p: p != ""), separator)
+    return F.array_join(F.filter(F.transform(parts(n), strip), lambda p: p != ""), separator)
 
 
 def only_string(dom: Column, n: Column) -> Column:
     """The string of an element holding just one, at whatever depth; else NULL. Needs `text_nodes`."""
     leaf = F.get(dom, n["end"])
     chain = (leaf["depth"] - n["depth"]) == (n["end"] - n["id"])
-    return F.when(chain & leaf["kind"].isin("text", "raw"), leaf["text"])
+    return F.when(chain & leaf["kind"].isin("text", "raw"), string(leaf))
 
 
 def source(html: Column, n: Column) -> Column:

@@ -44,12 +44,12 @@ def pretty_html(dom: Column) -> Column:
             F.when(n["kind"] == "element", F.concat(
                 F.lit("<"), n["tag"], attributes(n),
                 F.when(n["tag"].isin(*_VOID), F.lit("/>")).otherwise(F.lit(">"))))
-            .when(n["kind"] == "comment", F.concat(F.lit("<!--"), n["text"], F.lit("-->")))
-            .when(n["kind"] == "other", F.concat(F.lit("<!"), n["text"], F.lit(">")))
-            .when(n["kind"] == "raw", strip(n["text"]))
-            .otherwise(_escape(strip(n["text"])))
+            .when(n["kind"] == "comment", F.concat(F.lit("<!--"), N.string(n), F.lit("-->")))
+            .when(n["kind"] == "other", F.concat(F.lit("<!"), N.string(n), F.lit(">")))
+            .when(n["kind"] == "raw", strip(N.string(n)))
+            .otherwise(_escape(strip(N.string(n))))
         )
-        return F.when(~(n["kind"].isin("text", "raw") & (strip(n["text"]) == "")),
+        return F.when(~(n["kind"].isin("text", "raw") & (strip(N.string(n)) == "")),
                       F.concat(F.repeat(F.lit(" "), n["depth"]), body))
 
     def closing(n: Column) -> Column:
@@ -80,7 +80,7 @@ def _escape(c: Column, quotes: bool = False) -> Column:
 # --- titles and headings
 def title(dom: Column) -> Column:
     """First string directly in a title element, as it stands."""
-    return first(F.filter(F.transform(N.tagged(dom, "title"), lambda n: n["lead"]), lambda t: t.isNotNull()))
+    return first(F.filter(F.transform(N.tagged(dom, "title"), lambda n: N.lead(n)), lambda t: t.isNotNull()))
 
 
 def h1(dom: Column) -> Column:
@@ -92,7 +92,7 @@ def title_or_heading(dom: Column) -> Column:
     """First h1, else the title element's string, else a fixed phrase."""
     t = N.first_tag(dom, "title")
     return F.when(N.first_tag(dom, "h1").isNotNull(), h1(dom)).when(
-        t.isNotNull(), let(t, lambda n: F.when(F.size(n["parts"]) == 1, n["parts"][0]))
+        t.isNotNull(), let(t, lambda n: F.when(F.size(N.parts(n)) == 1, N.parts(n)[0]))
     ).otherwise(F.lit(NO_TITLE))
 
 
@@ -140,7 +140,7 @@ def header_structure(dom: Column) -> Column:
 def json_ld(dom: Column) -> Column:
     """array<string>: the cleaned text of each JSON-LD script, valid or not. Needs `script` in `parts_of`."""
     scripts = F.filter(dom, lambda n: N.is_tag(n, "script") & (N.attr(n, "type") == "application/ld+json")
-                       & (F.size(n["parts"]) > 0))
+                       & (F.size(N.parts(n)) > 0))
     return F.transform(scripts, lambda n: F.regexp_replace(
         F.regexp_replace(N.text(n), r"(?s)</?[^ >/]+.*?>", ""), r"(?s)<!--.*?(?:-->|\z)", ""))
 
@@ -162,9 +162,9 @@ _LINK = "array<struct<text:string,href:string,class_attr:string,id_attr:string>>
 
 def links(dom: Column, url: Column) -> Column:
     """Anchors whose first direct string is not blank: text, resolved href, class, id (NULL if none)."""
-    anchors = F.filter(dom, lambda n: N.is_tag(n, "a") & (sanitize(n["lead"]) != ""))
+    anchors = F.filter(dom, lambda n: N.is_tag(n, "a") & (sanitize(N.lead(n)) != ""))
     return F.transform(anchors, lambda n: F.struct(
-        sanitize(n["lead"]).alias("text"),
+        sanitize(N.lead(n)).alias("text"),
         resolve_url(url, N.attr(n, "href")).alias("href"),
         N.attr_or_empty(n, "class").alias("class_attr"),
         F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr"))).cast(_LINK)
@@ -172,13 +172,12 @@ def links(dom: Column, url: Column) -> Column:
 
 def link_rows(shredded: DataFrame) -> DataFrame:
     """(page_id, pos, text, href, class_attr, id_attr). Hrefs are resolved after the explode."""
-    anchors = F.filter("dom", lambda n: N.is_tag(n, "a") & (sanitize(n["lead"]) != ""))
-    rows = shredded.select("page_id", "url", F.posexplode(anchors).alias("pos", "n"))
-    return rows.select(
-        "page_id", "pos", sanitize(F.col("n.lead")).alias("text"),
-        resolve_url(F.col("url"), N.attr(F.col("n"), "href")).alias("href"),
-        N.attr_or_empty(F.col("n"), "class").alias("class_attr"),
-        F.nullif(N.attr(F.col("n"), "id"), F.lit("")).alias("id_attr"))
+    anchors = F.filter("dom", lambda n: N.is_tag(n, "a") & (sanitize(N.lead(n)) != ""))
+    found = F.transform(anchors, lambda n: F.struct(
+        sanitize(N.lead(n)).alias("text"), N.attr(n, "href").alias("href"), N.attr_or_empty(n, "class").alias("class_attr"),
+        F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr")))
+    rows = shredded.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
+    return rows.select("page_id", "pos", "a.text", resolve_url(F.col("url"), F.col("a.href")).alias("href"), "a.class_attr", "a.id_attr")
 
 
 def images(dom: Column, url: Column) -> Column:

@@ -193,7 +193,7 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
             holder = last(F.filter(env["divs"], lambda d: N.inside(n, d)))
             coded = N.attr(n, "lang").isNotNull() | F.coalesce(
                 let(holder, lambda d: F.arrays_overlap(N.classes(d), F.array(*map(F.lit, _CODE_CLASSES)))), F.lit(False))
-            plain = F.when(n["kind"] == "text", ascii_text(n["text"])).when(tag.isin("p", "a", "span", "li"), clean(n))
+            plain = F.when(n["kind"] == "text", ascii_text(N.string(n))).when(tag.isin("p", "a", "span", "li"), clean(n))
             return let(plain, lambda t: F.struct(
                 n["id"].alias("id"),
                 F.when((n["kind"] == "text") | tag.isin("p", "a", "span"), F.when(t != "", F.lit("text")))
@@ -278,7 +278,7 @@ def content_by_headers(dom: Column) -> Column:
 
         def line(m: Column) -> Column:
             strings = F.filter(F.transform(span(m["id"], m["end"]), lambda i: F.get(dom, i)), lambda t: t["kind"] == "text")
-            words = F.filter(F.transform(strings, lambda t: strip(t["text"])), lambda t: t != "")
+            words = F.filter(F.transform(strings, lambda t: strip(N.string(t))), lambda t: t != "")
             joined = F.array_join(words, " ")
             return F.when(N.is_tag(m, "a"), F.concat(F.lit("Link: "), joined)).otherwise(joined)
 

@@ -3,6 +3,8 @@
 `shred` adds a column `dom`, the page's nodes in document order. A node's `id` is its index
 in the array and `end` the id of its last descendant, so ancestors, subtrees and siblings
 are plain comparisons and everything downstream is a column expression without a shuffle.
+A second column, `dom_strings`, has every string of the page once: those of the text in document order, then those of
+scripts and comments. A node holds the interval of its strings, so nested elements repeat nothing.
 
 The tree follows the rules of the standard library's tokenizer with the simplest closing
 policy: an end tag closes the nearest open element of that name, one without a match is
@@ -37,13 +39,15 @@ NODE = T.StructType([
     T.StructField("kind", T.StringType()),  # element, text, raw, comment, other
     T.StructField("tag", T.StringType()),  # lower case; NULL unless an element
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("text", T.StringType()),  # string nodes only
-    T.StructField("lead", T.StringType()),  # first direct string child
-    T.StructField("parts", T.ArrayType(T.StringType())),  # strings of the subtree, in order
+    T.StructField("first", T.IntegerType()),  # strings of the subtree: [first, upto) of `dom_strings`
+    T.StructField("upto", T.IntegerType()),
+    T.StructField("lead", T.IntegerType()),  # first direct string child
     T.StructField("lo", T.IntegerType()),  # source span [lo, hi) in code points
     T.StructField("hi", T.IntegerType()),
 ])
 DOM = T.ArrayType(NODE)
+# The columns beside `dom`; the second only on request, and NULL where it would say the same.
+STRINGS, STRINGS_TWICE = "dom_strings", "dom_strings_twice"
 
 # Output is cut into record batches of about this many nodes or text characters.
 _NODES_PER_BATCH = 50_000
@@ -62,7 +66,8 @@ class _TreeReader(HTMLParser):
         self.page_ends: list[int] = [0]
         self.absent: list[bool] = []
         self.parent, self.end, self.depth, self.lo, self.hi = [], [], [], [], []
-        self.kind, self.tag, self.text, self.lead, self.parts = [], [], [], [], []
+        self.kind, self.tag, self.first, self.upto, self.lead = [], [], [], [], []
+        self.strings, self.twice, self.string_ends = [], [], [0]
         self.attr_keys, self.attr_values, self.attr_ends = [], [], [0]
         self.weight = 0
 
@@ -73,10 +78,15 @@ class _TreeReader(HTMLParser):
     def add_page(self, source: str | None) -> None:
         self.base = len(self.parent)
         self.open: list[int] = []
-        self.starts: dict[int, tuple[int, int]] = {}  # node -> where its strings begin
+        self.wanted = 0  # open elements whose strings are asked for
         self.open_tags: dict[str, int] = {}
         self.pieces: list[str] = []
         self.raw_pieces: list[str] = []
+        self.notes: list[str] = []
+        # Nodes whose interval or lead counts the strings of scripts, or those of comments and declarations.
+        self.raw_nodes: list[int] = []
+        self.raw_leads: list[int] = []
+        self.note_nodes: list[int] = []
         self.buffer: list[str] = []
         self.at = self.shift = self.buffer_at = self.raw_depth = self.pre_depth = 0
         if source is not None:
@@ -88,8 +98,28 @@ class _TreeReader(HTMLParser):
             self._flush()
             while self.open:
                 self._pop(self.size)
+            self._end_page()
+        elif self.want["decode_twice"] == "both":
+            self.twice.append(None)
         self.absent.append(source is None)
         self.page_ends.append(len(self.parent))
+        self.string_ends.append(len(self.strings))
+
+    def _end_page(self) -> None:
+        plain = len(self.pieces)
+        for nodes, behind in ((self.raw_nodes, plain), (self.note_nodes, plain + len(self.raw_pieces))):
+            for node in nodes:
+                self.first[node] += behind
+                self.upto[node] += behind
+        for node in self.raw_leads:
+            self.lead[node] += plain
+        strings = self.pieces + self.raw_pieces
+        decoded = [html.unescape(s) if "&" in s else s for s in strings] if self.want["decode_twice"] else strings
+        if self.want["decode_twice"] == "both":
+            self.twice.append(decoded + self.notes if decoded != strings else None)
+            decoded = strings
+        self.strings += decoded
+        self.strings += self.notes
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A marked section the tokenizer refuses, such as `<![foo x]>`, is a comment, and reading goes on after it."""
@@ -106,7 +136,7 @@ class _TreeReader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._flush()
-        node = self._add("element", tag, None, self.at, self.at + len(self.get_starttag_text()))
+        node = self._add("element", tag, self.at, self.at + len(self.get_starttag_text()))
         if attrs:
             keep, named = self.want["attrs"], dict(attrs)
             for key, value in named.items():
@@ -116,9 +146,9 @@ class _TreeReader(HTMLParser):
             self.attr_ends[-1] = len(self.attr_keys)
             classes = self.want["parts_of_class"]
             if classes and not classes.isdisjoint((named.get("class") or "").split()):
-                self.starts[node] = (len(self.pieces), len(self.raw_pieces))
-        if tag in self.want["parts_of"]:
-            self.starts[node] = (len(self.pieces), len(self.raw_pieces))
+                self._want(node)
+        if (self.want["parts_of"] is None or tag in self.want["parts_of"]) and self.first[node] is None:
+            self._want(node)
         if tag not in VOID:
             self.open.append(node)
             self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
@@ -147,25 +177,44 @@ class _TreeReader(HTMLParser):
     handle_pi = unknown_decl = handle_decl
 
     # Tree
+    def _want(self, node: int) -> None:
+        raw = self.tag[node] in RAW_TEXT
+        self.first[node] = self.upto[node] = len(self.raw_pieces if raw else self.pieces)
+        if raw:
+            self.raw_nodes.append(node)
+        self.wanted += self.tag[node] not in VOID
+
+    def _keep(self, node: int | None, pieces: list[str], among: list[int] | None, data: str) -> int:
+        """Where `data` comes to stand among `pieces`; a string node's interval holds just that."""
+        at = len(pieces)
+        pieces.append(data)
+        self.weight += len(data)
+        if node is not None:
+            self.first[node], self.upto[node] = at, at + 1
+            if among is not None:
+                among.append(node)
+        return at
+
     def _markup(self, kind: str, data: str) -> None:
         self._flush()
         if self.want["text_nodes"]:
-            self._add(kind, None, data, self.at, self._after_gt(self.at + len(data)))
+            node = self._add(kind, None, self.at, self._after_gt(self.at + len(data)))
+            self._keep(node, self.notes, self.note_nodes, data)
 
     def _after_gt(self, start: int) -> int:
         found = self.rawdata.find(">", start - self.shift)
         return self.size if found < 0 else found + 1 + self.shift
 
-    def _add(self, kind: str, tag: str | None, text: str | None, lo: int, hi: int) -> int:
+    def _add(self, kind: str, tag: str | None, lo: int, hi: int) -> int:
         node = len(self.parent)
         self.parent.append(self.open[-1] - self.base if self.open else -1)
         self.end.append(node - self.base)
         self.depth.append(len(self.open))
         self.kind.append(kind)
         self.tag.append(tag)
-        self.text.append(text)
+        self.first.append(None)
+        self.upto.append(None)
         self.lead.append(None)
-        self.parts.append(None)
         self.lo.append(lo)
         self.hi.append(hi)
         self.attr_ends.append(self.attr_ends[-1])
@@ -178,15 +227,15 @@ class _TreeReader(HTMLParser):
         self.buffer.clear()
         if not self.pre_depth and not data.strip(" \t\n\r\f\v"):
             data = "\n" if "\n" in data else " "
-        if self.want["decode_twice"] and "&" in data:
-            data = html.unescape(data)
-        if self.starts:
-            (self.raw_pieces if self.raw_depth else self.pieces).append(data)
-            if self.open and self.open[-1] in self.starts and self.lead[self.open[-1]] is None:
-                self.lead[self.open[-1]] = data
-        if self.want["text_nodes"]:
-            self.weight += len(data)
-            self._add("raw" if self.raw_depth else "text", None, data, self.buffer_at, self.at)
+        if not self.wanted and not self.want["text_nodes"]:
+            return
+        node = self._add("raw" if self.raw_depth else "text", None, self.buffer_at, self.at) if self.want["text_nodes"] else None
+        at = self._keep(node, self.raw_pieces, self.raw_nodes, data) if self.raw_depth else self._keep(node, self.pieces, None, data)
+        holder = self.open[-1] if self.open else None
+        if holder is not None and self.first[holder] is not None and self.lead[holder] is None:
+            self.lead[holder] = at
+            if self.raw_depth:
+                self.raw_leads.append(holder)
 
     def _pop(self, hi: int) -> None:
         node = self.open.pop()
@@ -196,14 +245,12 @@ class _TreeReader(HTMLParser):
         self.pre_depth -= tag in KEEP_SPACE
         self.end[node] = len(self.parent) - 1 - self.base
         self.hi[node] = hi
-        if node in self.starts:
-            plain, raw = self.starts.pop(node)
-            self.parts[node] = self.raw_pieces[raw:] if tag in RAW_TEXT else self.pieces[plain:]
-            self.weight += sum(map(len, self.parts[node]))
-            if not self.starts:
-                self.pieces, self.raw_pieces = [], []
-
-    def to_arrow(self) -> pa.Array:
+        if self.first[node] is not None:
+            self.upto[node] = len(self.raw_pieces if tag in RAW_TEXT else self.pieces)
+            self.wanted -= 1
+
+    def to_arrow(self) -> list[pa.Array]:
+        """`dom`, the strings, and if asked for the strings decoded twice."""
         ids = [i for lo, hi in zip(self.page_ends, self.page_ends[1:]) for i in range(hi - lo)]
         int32, string = pa.int32(), pa.string()
         columns = {
@@ -213,46 +260,53 @@ class _TreeReader(HTMLParser):
             "attrs": pa.MapArray.from_arrays(
                 pa.array(self.attr_ends, int32), pa.array(self.attr_keys, string),
                 pa.array(self.attr_values, string)),
-            "text": pa.array(self.text, string), "lead": pa.array(self.lead, string),
-            "parts": pa.array(self.parts, pa.list_(string)),
+            "first": pa.array(self.first, int32), "upto": pa.array(self.upto, int32), "lead": pa.array(self.lead, int32),
             "lo": pa.array(self.lo, int32), "hi": pa.array(self.hi, int32),
         }
-        return pa.ListArray.from_arrays(
-            pa.array(self.page_ends, int32), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)),
-            mask=pa.array(self.absent, pa.bool_()))
+        absent = pa.array(self.absent, pa.bool_())
+        dom = pa.ListArray.from_arrays(
+            pa.array(self.page_ends, int32), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)), mask=absent)
+        out = [dom, pa.ListArray.from_arrays(pa.array(self.string_ends, int32), pa.array(self.strings, string), mask=absent)]
+        if self.want["decode_twice"] == "both":
+            out.append(pa.array(self.twice, pa.list_(string)))
+        return out
 
 
 def shred(
     pages: DataFrame,
     *,
-    parts_of: Collection[str] = (),
+    parts_of: Collection[str] | None = (),
     parts_of_class: Collection[str] = (),
     text_nodes: bool = False,
     attrs: Collection[str] | None = None,
-    decode_twice: bool = False,
+    decode_twice: bool | str = False,
     keep_html: bool = False,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add `dom` to pages having `html`; other columns pass through, `html` only if `keep_html`.
+    """Add `dom` and `dom_strings` to pages having `html`; other columns pass through, `html` only if `keep_html`.
 
     What crosses back from Python is chosen by the caller, as column pruning cannot reach in:
 
-    * `parts_of`, `parts_of_class`: tags and class names whose `parts` and `lead` are filled.
+    * `parts_of`, `parts_of_class`: tags (None for all) and class names whose interval of strings and `lead` are filled.
     * `text_nodes`: whether strings and comments are nodes of their own.
     * `attrs`: attribute names to keep (None for all).
-    * `decode_twice`: decode entities once more, for text that goes through a clean-up which does.
+    * `decode_twice`: decode entities once more, for text that goes through a clean-up which does; with "both",
+      the strings so decoded are a third column, `dom_strings_twice`, NULL where they are the same.
 
-    A page without html keeps its row with a NULL `dom`. Malformed declarations are comments; see
+    Pages that have a `dom` already, as those of `sources.shredded` do, come back as they are. A page without html keeps its row with a NULL `dom`. Malformed declarations are comments; see
     `malformed`. Filter pages before this call: predicates do not move below it. With `partitions`
     the pages are first dealt out, for an input whose files are fewer than the cores.
     """
+    if "dom" in pages.columns:
+        return pages
     want = {
-        "parts_of": frozenset(parts_of), "parts_of_class": frozenset(parts_of_class),
+        "parts_of": None if parts_of is None else frozenset(parts_of), "parts_of_class": frozenset(parts_of_class),
         "text_nodes": text_nodes, "attrs": None if attrs is None else frozenset(attrs),
         "decode_twice": decode_twice,
     }
     kept = [c for c in pages.columns if c != "html" or keep_html]
-    schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("dom", DOM)])
+    schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("dom", DOM)] + [
+        T.StructField(c, T.ArrayType(T.StringType())) for c in ((STRINGS, STRINGS_TWICE) if decode_twice == "both" else (STRINGS,))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _TreeReader(want)
@@ -263,7 +317,7 @@ def shred(
                 full = len(reader.parent) >= _NODES_PER_BATCH or reader.weight >= _CHARS_PER_BATCH
                 if full or row == batch.num_rows - 1:
                     part = passed.slice(start, row + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, reader.to_arrow()], names=[*kept, "dom"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *reader.to_arrow()], names=schema.names)
                     start = row + 1
                     reader.new_batch()
 

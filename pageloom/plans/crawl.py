@@ -20,13 +20,18 @@ ITEM_ATTRS = ("href", "src", "alt", "class", "id", "name", "content", "type", "r
 ITEM_PARTS = ("a", "title", "script")
 
 
+def _source(pages: DataFrame, *columns: str) -> DataFrame:
+    """Just these columns, unless the pages come shredded (`sources.shredded`): then all is there already."""
+    return pages if "dom" in pages.columns else pages.select(*columns)
+
+
 def crawl_items(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, clean_body, header_structure, links, images, schema_org_data, sitemap_entry).
 
     One row for every page, with or without a sitemap. `schema_org_data` holds the JSON-LD
-    documents that parse, as text.
+    documents that parse, as text. Pages may come shredded, as for the other jobs here.
     """
-    page = shred(pages.select("page_id", "url", "html"), parts_of=ITEM_PARTS, attrs=ITEM_ATTRS, keep_html=True)
+    page = shred(_source(pages, "page_id", "url", "html"), parts_of=ITEM_PARTS, attrs=ITEM_ATTRS, keep_html=True)
     dom, url, html = F.col("dom"), F.col("url"), F.col("html")
     return page.select(
         "page_id", "url", E.title(dom).alias("title"), X.sanitize(E.fragment(dom, html, "body")).alias("clean_body"),
@@ -53,7 +58,7 @@ def item_sitemap_contents(reached: DataFrame, files: DataFrame) -> DataFrame:
 
 def simple_pages(pages: DataFrame) -> DataFrame:
     """(page_id, rows, char_count, title): url, title and each paragraph, cleaned; counted before cleaning."""
-    page = shred(pages.select("page_id", "url", "html"), parts_of=("h1", "title", "p"), attrs=())
+    page = shred(_source(pages, "page_id", "url", "html"), parts_of=("h1", "title", "p"), attrs=())
     dom = F.col("dom")
 
     def build(e: Column) -> Column:
@@ -78,7 +83,7 @@ def parse_data(pages: DataFrame, method: str = "lxml") -> DataFrame:
     """(page_id, content, headings, structured_data)."""
     if method != "lxml":
         raise ValueError(f"unsupported parsing method {method!r}")
-    page = shred(pages.select("page_id", "html"), parts_of=("title", "p", "li", "script", *HEADINGS), attrs=("id", "type"))
+    page = shred(_source(pages, "page_id", "html"), parts_of=("title", "p", "li", "script", *HEADINGS), attrs=("id", "type"))
     dom = F.col("dom")
     return page.select(
         "page_id", S.clean_scrape(dom)["clean_data"].alias("content"), E.headings_by_tag(dom).alias("headings"),

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as X
@@ -16,6 +16,7 @@ from pageloom.operators import sections as S
 from pageloom.operators.shred import HEADINGS, shred
 from pageloom.operators.sitemaps import page_sitemap_link
 from pageloom.operators.special import DIV_TABLE_PARTS, div_tables
+from pageloom.sources.shredded import ATTRIBUTES, SPANS, TEXT, read_shredded
 from pageloom.sources.snapshots import snapshot_text
 
 SIGNATURE = "QuickScraper"  # fixed value of the results
@@ -30,6 +31,11 @@ class Option:
     parts_of_class: tuple[str, ...] = ()
     text_nodes: bool = False
     attrs: tuple[str, ...] | None = field(default=())  # None: all
+    spans: bool = False  # cuts fragments from the source
+
+    @property
+    def text(self) -> bool:
+        return bool(self.parts_of or self.parts_of_class or self.text_nodes)
 
 
 def _contents(dom: Column) -> Column:
@@ -42,7 +48,7 @@ def _patterns(find: Callable[[Column], Column]) -> Callable[[Column, Column, Col
 
 
 def _fragment(tag: str) -> Option:
-    return Option(lambda dom, url, html: E.fragment(dom, html, tag))
+    return Option(lambda dom, url, html: E.fragment(dom, html, tag), spans=True)
 
 
 _IMAGES = ("src", "data-src", "nitro-lazy-src", "style", "alt")
@@ -81,16 +87,8 @@ def extract(pages: DataFrame, options: Iterable[str], extra: dict[str, Option] |
     options of the caller's. All options share one shredding, made to deliver just what they use.
     Pages with a `robots_body` (see `sitemaps.with_robots`) have it searched for sitemaps first.
     """
-    known = {**OPTIONS, **(extra or {})}
     robots = [c for c in pages.columns if c == "robots_body"]
-    if robots:
-        known["find_sitemap_link"] = replace(
-            known["find_sitemap_link"], build=lambda dom, url, html: page_sitemap_link(dom, F.col("robots_body")))
-    asked = list(dict.fromkeys(options))
-    for name in asked:
-        if name not in known:
-            logging.getLogger(__name__).warning("unknown option %r skipped", name)
-    chosen = {name: known[name] for name in asked if name in known}
+    chosen = _chosen(options, extra, bool(robots))
     page = pages.select("page_id", "url", "html", *robots)
     if set(chosen) - _NO_DOM:
         every = None in [o.attrs for o in chosen.values()]
@@ -100,15 +98,45 @@ def extract(pages: DataFrame, options: Iterable[str], extra: dict[str, Option] |
             parts_of_class={c for o in chosen.values() for c in o.parts_of_class},
             text_nodes=any(o.text_nodes for o in chosen.values()),
             attrs=None if every else {a for o in chosen.values() for a in o.attrs})
-    empty = F.col("html").isNull()
-    columns = [
-        F.when(~empty, o.build(F.col("dom"), F.col("url"), F.col("html"))).alias(name) for name, o in chosen.items()]
+    return _values(page, chosen, F.col("html").isNotNull())
+
+
+def _chosen(options: Iterable[str], extra: dict[str, Option] | None, robots: bool) -> dict[str, Option]:
+    known = {**OPTIONS, **(extra or {})}
+    if robots:
+        known["find_sitemap_link"] = replace(
+            known["find_sitemap_link"], build=lambda dom, url, html: page_sitemap_link(dom, F.col("robots_body")))
+    asked = list(dict.fromkeys(options))
+    for name in asked:
+        if name not in known:
+            logging.getLogger(__name__).warning("unknown option %r skipped", name)
+    return {name: known[name] for name in asked if name in known}
+
+
+def _values(page: DataFrame, chosen: dict[str, Option], present: Column) -> DataFrame:
+    dom, url, html = F.col("dom"), F.col("url"), F.col("html")
+    columns = [F.when(present, o.build(dom, url, html)).alias(name) for name, o in chosen.items()]
     values = F.struct(*columns) if columns else F.lit(None).cast("struct<>")
     return page.select(
         "page_id", "url", F.lit(SIGNATURE).alias("signature"), F.lit(False).alias("processing"),
         F.lit(None).cast("string").alias("value"), values.alias("processed_values"))
 
 
+def extract_stored(spark: SparkSession, path: str, options: Iterable[str], extra: dict[str, Option] | None = None) -> DataFrame:
+    """`extract` from pages stored by `write_shredded`: nothing leaves the JVM, and only what the options use is read.
+
+    The source is read for options that search it or cut fragments from it, attributes, strings and spans for those that
+    look at them. Robots files are not searched.
+    """
+    chosen = _chosen(options, extra, False)
+    fields: set[str] = set()
+    for wanted, used in ((ATTRIBUTES, lambda o: o.attrs is None or o.attrs), (TEXT, lambda o: o.text), (SPANS, lambda o: o.spans)):
+        fields.update(wanted if any(used(o) for o in chosen.values()) else ())
+    source = any(o.spans for o in chosen.values()) or bool(_NO_DOM & set(chosen))
+    page = read_shredded(spark, path, fields, columns=("page_id", "url", *(["html"] if source else [])))
+    return _values(page, chosen, F.col("dom").isNotNull())
+
+
 def extract_in_order(urls: DataFrame, pages: DataFrame, options: Iterable[str]) -> DataFrame:
     """Results for (pos, url) requests, repeats included, in the order of `pos`; a page not in `pages` gives NULLs.
 

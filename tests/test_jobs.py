@@ -262,8 +262,9 @@ def test_late_urls_are_found_in_batch(spark):
 
 def test_malformed_markup_is_read_on(spark, page):
     source = page("<p>ok</p><![foo x]><p>more</p><![CDATA[y]]>")
-    dom = shred(source, parts_of=("p",)).first()["dom"]
-    assert [n["parts"] for n in dom if n["tag"] == "p"] == [["ok"], ["more"]]
+    row = shred(source, parts_of=("p",)).first()
+    dom = row["dom"]
+    assert [row["dom_strings"][n["first"] : n["upto"]] for n in dom if n["tag"] == "p"] == [["ok"], ["more"]]
     assert rows(malformed(source)) == [(1, 1)]
 
 

@@ -80,7 +80,7 @@ def test_section_text_is_visible_text(spark):
     """Every word of a section stands in the page's text."""
     page_ = shred(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), parts_of=S.SECTION_PARTS, text_nodes=True)
     words = F.split(F.regexp_replace(F.concat_ws(" ", F.transform(
-        F.filter("dom", lambda n: n["kind"] == "text"), lambda n: n["text"])), r"[^\x21-\x7F]+", " "), " ")
+        F.filter("dom", lambda n: n["kind"] == "text"), N.string)), r"[^\x21-\x7F]+", " "), " ")
     found = page_.select(words.alias("w"), F.explode(S.sections(F.col("dom"))).alias("b")).where("b.kind = 'text' and b.text not like '%.%'")
     assert found.where(~F.forall(F.split("b.text", " "), lambda x: F.array_contains("w", x))).where(
         ~F.col("b.text").rlike("[A-Za-z]")).isEmpty()

@@ -5,11 +5,17 @@ import re
 
 from pyspark.sql import functions as F
 
+from pageloom.functions import nodes as N
 from pageloom.operators.shred import shred
 
 
 def dom_of(df, **options):
-    return shred(df, **options).first()["dom"]
+    """Nodes as dictionaries, with the strings their intervals stand for."""
+    row = shred(df, **options).first()
+    strings = row["dom_strings"]
+    return [n.asDict() | {
+        "parts": None if n["first"] is None else strings[n["first"] : n["upto"]], "lead": None if n["lead"] is None else strings[n["lead"]],
+        "text": strings[n["first"]] if n["kind"] != "element" else None} for n in row["dom"]]
 
 
 def outline(dom):
@@ -72,7 +78,7 @@ def test_page_text_is_source_text(spark):
     """All strings of a page equal its source with markup removed by pattern."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r[0]: r[1] for r in shred(pages, text_nodes=True).select("page_id", F.array_join(F.transform(
-        F.filter("dom", lambda n: n["kind"] == "text"), lambda n: n["text"]), "")).collect()}
+        F.filter("dom", lambda n: n["kind"] == "text"), N.string), "")).collect()}
     for row in pages.collect():
         bare = re.sub(r"(?s)<(script|style)>.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", row["html"])
         assert got[row["page_id"]] == html_module.unescape(re.sub(r"<[^>]+>", "", bare))
