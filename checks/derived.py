@@ -159,3 +159,20 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(id_ % 5 == 0, F.array(F.lit("http://a.example/"), F.lit("http://b.example/"))).otherwise(
             F.array().cast("array<string>")).alias("history"),
         F.octet_length("html").cast("long").alias("size"))
+
+
+MAPS = 50
+
+
+def shared_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap files that many sites share: part p lists parts 8p+1 .. 8p+8; the robots.txt of each supplier lists two of the first fifty."""
+    parts = _read(spark, sf_dir, "part")
+    below = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(FAN_OUT)), lambda k: F.concat(
+        F.lit("<sitemap><loc>https://maps.example.com/sitemap"), (F.col("p_partkey") * FAN_OUT + k).cast("string"), F.lit(".xml</loc></sitemap>"))), "")
+    files = parts.select(template("https://maps.example.com/sitemap{p_partkey}.xml").alias("url"), template(
+        "<urlset>{?below}<url><loc>https://maps.example.com/part/{p_partkey}</loc></url></urlset>", below=below).alias("body"))
+    robots = _read(spark, sf_dir, "supplier").select(
+        template("https://sup{s_suppkey}.example.com/robots.txt").alias("url"),
+        F.concat_ws("\n", *(F.concat(F.lit("Sitemap: https://maps.example.com/sitemap"), at.cast("string"), F.lit(".xml"))
+                            for at in (F.col("s_suppkey") % MAPS, F.col("s_suppkey") * 7 % MAPS))).alias("body"))
+    return files.unionByName(robots)

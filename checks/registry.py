@@ -27,7 +27,7 @@ def register(sql: str | None = None, longs: str = "") -> Callable[[Query], Query
 
 
 def _load() -> None:
-    from checks import derived_queries, option_queries, page_queries, store_queries  # noqa: F401
+    from checks import derived_queries, frontier_queries, option_queries, page_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
