@@ -318,20 +318,30 @@ def item_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- crawl items and documents
-@register(f"""SELECT c_custkey AS page_id, {C_URL} AS url, c_name || ' page' AS title, 3 AS n_links, 4 AS n_images,
- CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS n_json_ld,
+@register(f"""SELECT c_custkey AS page_id, {C_URL} AS url, c_name || ' page' AS title,
+ '<body><h1>' || c_name || '</h1> <p>In <a href="/segments/' || c_mktsegment || '">' || c_mktsegment || '</a> &amp; nation ' || c_nationkey || '</p>' AS body_start,
+ 'More</h3><a href="https://other.example.net/' || c_custkey || '">other</a><a href="//cdn.example.org/x">cdn</a> tail </body>' AS body_end,
+ '{{"title":"' || c_name || ' page","meta_tags":[{{"name":"segment","content":"' || c_mktsegment || '"}},{{"name":"empty"}}]}}' AS header_structure,
+ c_mktsegment || ' ' || {C_HOST} || '/segments/' || c_mktsegment || chr(10) || 'other https://other.example.net/' || c_custkey || chr(10) || 'cdn https://cdn.example.org/x' AS links,
+ {PHOTO} || ' Photo of ' || c_name || ' pic big i' || c_custkey || chr(10) || {CDN} || ' ' || {ALT} || '  -' || chr(10) || {C_URL} || ' Lazy  -' || chr(10) || {C_URL} || ' none  -' AS images,
+ CASE WHEN c_custkey % 5 > 0 THEN '{{"@type": "Person", "name": "' || c_name || '", "nation": ' || c_nationkey || '}} ' ELSE '' END AS schema_org_data,
  CASE WHEN c_custkey % 3 = 0 THEN {C_HOST} || '/maps/sitemap' || c_nationkey || '.xml' ELSE {C_HOST} || '/robots.txt' END AS sitemap_entry
- FROM customer""", longs="n_links n_images n_json_ld")
+ FROM customer""")
 def crawl_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = crawl_items(D.customer_pages(spark, sf_dir))
-    return items.select("page_id", "url", "title", *[F.size(c).cast("long").alias(f"n_{n}") for c, n in (
-        ("links", "links"), ("images", "images"), ("schema_org_data", "json_ld"))], "sitemap_entry")
+    links = F.transform("links", lambda x: F.concat_ws(" ", x["text"], x["href"]))
+    images = F.transform("images", lambda x: F.concat_ws(" ", x["src"], x["alt"], x["class_attr"], F.coalesce(x["id_attr"], F.lit("-"))))
+    opening = F.concat(F.substring_index("clean_body", "</p>", 1), F.lit("</p>"))
+    return items.select(
+        "page_id", "url", "title", opening.alias("body_start"), F.substring_index("clean_body", "<h3>", -1).alias("body_end"), "header_structure",
+        F.array_join(links, "\n").alias("links"), F.array_join(images, "\n").alias("images"), F.array_join("schema_org_data", "\n").alias("schema_org_data"),
+        "sitemap_entry")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     page = shred(D.customer_pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
     named = page.withColumn("website", F.lit("example.com")).withColumn("unique_page_name", F.concat(F.lit("c_"), F.col("page_id")))
-    return sinks.page_documents(named)
+    return sinks.page_documents(named, kinds=(kind,)).select("page_id", kind)
 
 
 _ABOUT = f"""'{{"overview": {{"uuid":"' || md5({C_URL}) || '","website":"example.com","url":"' || {C_URL} || '","unique_page_name":"c_' || c_custkey
@@ -344,7 +354,7 @@ _ABOUT = f"""'{{"overview": {{"uuid":"' || md5({C_URL}) || '","website":"example
  || '{{"tables": [{{"Key":"name","Value":"' || c_name || '\\nx"}},{{"Key":"segment"}}]}}], "H3: More": ["other", "cdn", "tail"], "unassociated": []}}'
  AS organized FROM customer""")
 def organized_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("page_id", "organized")
+    return _documents(spark, sf_dir, "organized")
 
 
 @register(f"""SELECT c_custkey AS page_id, {_ABOUT} || ', "tables": {{"H2: Table": [{{"pre": "In' || c_mktsegment || '& nation ' || c_nationkey
@@ -352,7 +362,7 @@ def organized_json(spark: SparkSession, sf_dir: str) -> DataFrame:
  || '{{"H2: Facts": [{{"pre":"After","list":["one","two ' || c_custkey || 'three","three"],"post":"Key values"}}]}}, "ordered_lists": {{"H2: Facts": [{{"pre":"Before '
  || c_nationkey || '","list":["1. ' || c_mktsegment || '","2. Nation ' || c_nationkey || '"],"post":"After"}}]}}}}' AS structured FROM customer""")
 def structured_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("page_id", "structured")
+    return _documents(spark, sf_dir, "structured")
 
 
 @register(f"""SELECT c_custkey AS page_id, array_to_string(['overview', '', '  uuid', '    ' || md5({C_URL}), '', '  website', '    example.com', '',
@@ -363,4 +373,4 @@ def structured_json(spark: SparkSession, sf_dir: str) -> DataFrame:
  '  - {{"Key":"name","Value":"' || c_name || '\\nx"}}', '  - {{"Key":"segment"}}', 'H3: More', '  - other', '  - cdn', '  - tail', 'unassociated'],
  chr(10)) AS text FROM customer""")
 def text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("page_id", "text")
+    return _documents(spark, sf_dir, "text")

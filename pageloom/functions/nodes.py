@@ -12,7 +12,7 @@ from collections.abc import Callable, Collection
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.lambdas import first, let, span
+from pageloom.functions.lambdas import first, let, match, span
 from pageloom.functions.text import strip
 
 NodeTest = Callable[[Column], Column]
@@ -110,7 +110,6 @@ def spread(dom: Column, test: NodeTest) -> Column:
     the number of rounds is the bit length of the page's depth and no ancestor lists are kept.
     """
     start = F.transform(dom, lambda n: F.struct(F.coalesce(test(n), F.lit(False)).alias("f"), n["parent"].alias("p")))
-    rounds = F.length(F.bin(F.coalesce(F.array_max(F.transform(dom, lambda n: n["depth"])), F.lit(0)).cast("long")))
 
     def double(acc: Column, _: Column) -> Column:
         return F.transform(acc, lambda a: F.struct(
@@ -118,7 +117,33 @@ def spread(dom: Column, test: NodeTest) -> Column:
             F.coalesce(F.get(acc, a["p"])["p"], F.lit(-1)).alias("p"),
         ))
 
-    return F.transform(F.aggregate(F.sequence(F.lit(1), rounds), start, double), lambda a: a["f"])
+    return F.transform(F.aggregate(F.sequence(F.lit(1), _rounds(dom)), start, double), lambda a: a["f"])
+
+
+def _rounds(dom: Column) -> Column:
+    """The bit length of the page's depth."""
+    return F.length(F.bin(F.coalesce(F.array_max(F.transform(dom, lambda n: n["depth"])), F.lit(0)).cast("long")))
+
+
+def nearest(dom: Column, test: NodeTest) -> Column:
+    """array<int> by node id: the node itself or else its nearest ancestor passing `test`; NULL if none does."""
+    start = F.transform(dom, lambda n: F.struct(F.when(test(n), n["id"]).alias("f"), n["parent"].alias("p")))
+
+    def double(acc: Column, _: Column) -> Column:
+        return F.transform(acc, lambda a: F.struct(
+            F.coalesce(a["f"], F.get(acc, a["p"])["f"]).alias("f"), F.coalesce(F.get(acc, a["p"])["p"], F.lit(-1)).alias("p")))
+
+    return F.transform(F.aggregate(F.sequence(F.lit(1), _rounds(dom)), start, double), lambda a: a["f"])
+
+
+def by_node(dom: Column, ids: Column, values: Column) -> Column:
+    """struct<at, values>: what `of_node` needs to find the one of `values` that stands where a node's id does in `ids`."""
+    return F.struct(match(F.transform(dom, lambda n: n["id"]), ids).alias("at"), values.alias("values"))
+
+
+def of_node(table: Column, n: Column) -> Column:
+    """The value for a node from `by_node`, in constant time (a lookup in a map scans its keys)."""
+    return F.get(table["values"], F.get(table["at"], n["id"]))
 
 
 def flag(flags: Column, i: Column) -> Column:
@@ -170,16 +195,18 @@ def hidden(dom: Column, dropped: NodeTest | None = None, relaxed: bool = False)
     rule of the caller's. Styles are matched as written, with one space after the colon;
     `relaxed` accepts any spacing and leaves the child rule out.
     """
-    def body(parents: Column) -> Column:
+    def body(holders: Column) -> Column:
         def test(n: Column) -> Column:
             hit = _hides_itself(n, relaxed)
             if not relaxed:
-                hit = hit | (~is_tag(n, "svg", "script") & F.array_contains(parents, n["id"]))
+                hit = hit | (~is_tag(n, "svg", "script") & F.get(holders, n["id"]).isNotNull())
             if dropped is not None:
                 hit = hit | dropped(n)
             return (n["kind"] == "element") & hit
 
         return spread(dom, test)
 
+    if relaxed:
+        return body(F.lit(None))
     parents = F.transform(F.filter(dom, lambda n: _hides_parent(n, relaxed)), lambda n: n["parent"])
-    return let(parents, body)
+    return let(match(F.transform(dom, lambda n: n["id"]), parents), body)

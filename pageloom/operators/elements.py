@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import nodes as N
-from pageloom.functions.lambdas import first, let
+from pageloom.functions.lambdas import first, let, match
 from pageloom.functions.text import sanitize, strip
 from pageloom.functions.urls import domain_url, resolve_url
 from pageloom.operators.shred import HEADINGS, VOID
@@ -215,31 +215,28 @@ def image_links(dom: Column, url: Column) -> Column:
 def images_with_alt(dom: Column, url: Column) -> Column:
     """array<struct<src, alt>>: for each image link, the imgs whose src equals it as written,
     else those whose data-src does, else those whose nitro-lazy-src does."""
-    def body(links_: Column) -> Column:
-        def with_imgs(imgs: Column) -> Column:
-            def with_srcs(srcs: Column) -> Column:
-                def with_lazy(lazy: Column) -> Column:
-                    def pick(attribute: str, *taken: Column) -> Column:
-                        def keep(n: Column) -> Column:
-                            ok = F.array_contains(links_, N.attr(n, attribute))
-                            for earlier in taken:
-                                ok = ok & ~F.coalesce(F.array_contains(earlier, N.attr(n, attribute)), F.lit(False))
-                            return F.coalesce(ok, F.lit(False))
-
-                        return F.transform(F.filter(imgs, keep), lambda n: F.struct(
-                            F.array_position(links_, N.attr(n, attribute)).alias("at"), n["id"].alias("id"),
-                            N.attr(n, attribute).alias("src"), N.attr_or_empty(n, "alt").alias("alt")))
-
-                    found = F.concat(pick("src"), pick("data-src", srcs), pick("nitro-lazy-src", srcs, lazy))
-                    return F.transform(F.array_sort(found), lambda f: F.struct(f["src"], f["alt"]))
-
-                return let(F.transform(imgs, lambda n: N.attr(n, "data-src")), with_lazy)
-
-            return let(F.transform(imgs, lambda n: N.attr(n, "src")), with_srcs)
-
-        return let(N.tagged(dom, "img"), with_imgs)
-
-    return let(image_links(dom, url), body)
+    def of(attribute: str):
+        return lambda imgs: F.transform(imgs, lambda n: N.attr(n, attribute))
+
+    def with_places(imgs: Column, e: Column) -> Column:
+        def pick(attribute: str, *taken: str) -> Column:
+            def keep(n: Column, i: Column) -> Column:
+                ok = F.get(e[attribute], i).isNotNull()
+                for earlier in taken:
+                    ok = ok & F.get(e[earlier], i).isNull()
+                return F.when(ok, F.struct(
+                    F.get(e[attribute], i).alias("at"), n["id"].alias("id"), N.attr(n, attribute).alias("src"), N.attr_or_empty(n, "alt").alias("alt")))
+
+            return F.filter(F.transform(imgs, keep), lambda f: f.isNotNull())
+
+        found = F.concat(pick("src"), pick("data-src", "lazy_in_src"), pick("nitro-lazy-src", "nitro_in_src", "nitro_in_lazy"))
+        return F.transform(F.array_sort(found), lambda f: F.struct(f["src"], f["alt"]))
+
+    src, lazy, nitro = of("src"), of("data-src"), of("nitro-lazy-src")
+    return let(image_links(dom, url), lambda links_: let(N.tagged(dom, "img"), lambda imgs: let(F.struct(
+        match(src(imgs), links_).alias("src"), match(lazy(imgs), links_).alias("data-src"), match(nitro(imgs), links_).alias("nitro-lazy-src"),
+        match(lazy(imgs), src(imgs)).alias("lazy_in_src"), match(nitro(imgs), src(imgs)).alias("nitro_in_src"),
+        match(nitro(imgs), lazy(imgs)).alias("nitro_in_lazy")), lambda e: with_places(imgs, e))))
 
 
 def filtered_images(dom: Column, url: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import nodes as N
-from pageloom.functions.lambdas import count_before, first, last, let, span
+from pageloom.functions.lambdas import count_before, first, last_of_each, let, span
 from pageloom.functions.text import ascii_text, collapse, strip
 from pageloom.operators.elements import NO_TITLE, title
 from pageloom.operators.shred import HEADINGS
@@ -37,17 +37,17 @@ def _place(n: Column) -> Column:
     return F.struct(n["parent"].alias("parent"), n["id"].alias("id"))
 
 
-def _paragraphs_around(ps: Column, lists: Column) -> Column:
-    """map<list id, struct<before, after>>: ids of the nearest sibling p on either side."""
+def _paragraphs_around(dom: Column, ps: Column, lists: Column) -> Column:
+    """For `N.of_node`: struct<before, after> with the ids of the nearest sibling p on either side of each list."""
     def body(env: Column) -> Column:
         def around(at: Column, n: Column) -> Column:
             before, after = F.get(env["ps"], n - 1), F.get(env["ps"], n)
-            return F.struct(at["id"].alias("id"), F.struct(
+            return F.struct(
                 F.when(before["parent"] == at["parent"], before["id"]).alias("before"),
-                F.when(after["parent"] == at["parent"], after["id"]).alias("after")).alias("around"))
+                F.when(after["parent"] == at["parent"], after["id"]).alias("after"))
 
         counts = count_before(env["ps"], env["lists"])
-        return F.map_from_entries(let(counts, lambda ns: F.transform(
+        return N.by_node(dom, F.transform(env["lists"], lambda at: at["id"]), let(counts, lambda ns: F.transform(
             env["lists"], lambda at, j: around(at, F.get(ns, j)))))
 
     return let(F.struct(F.array_sort(F.transform(ps, lambda n: _place(n))).alias("ps"),
@@ -68,13 +68,13 @@ def _lists(dom: Column, shown: Column, tag: str) -> Column:
         def one(n: Column) -> Column:
             items = list_items(dom, n)
             return F.struct(
-                n["id"].alias("id"), _paragraph(dom, around[n["id"]]["before"]).alias("pre"),
+                n["id"].alias("id"), _paragraph(dom, N.of_node(around, n)["before"]).alias("pre"),
                 (numbered(items) if tag == "ol" else items).alias("items"),
-                _paragraph(dom, around[n["id"]]["after"]).alias("post"))
+                _paragraph(dom, N.of_node(around, n)["after"]).alias("post"))
 
         return F.transform(F.filter(N.tagged(dom, tag), lambda n: _list_counts(dom, n, tag) & shown_at(shown, n)), one)
 
-    return let(_paragraphs_around(N.tagged(dom, "p"), N.tagged(dom, tag)), body)
+    return let(_paragraphs_around(dom, N.tagged(dom, "p"), N.tagged(dom, tag)), body)
 
 
 def _list_counts(dom: Column, n: Column, tag: str) -> Column:
@@ -97,9 +97,9 @@ def ordered_lists(dom: Column) -> Column:
     return let(N.hidden(dom), lambda hid: _lists(dom, hid, "ol"))
 
 
-def _table(dom: Column, ps: Column, n: Column) -> Column:
+def _table(dom: Column, before: Column, n: Column) -> Column:
     """struct<pre, columns, rows>: columns are the first tr's td texts; a later row pairs its td
-    texts with them, the longer side cut; a table without a tr has neither."""
+    texts with them, the longer side cut; a table without a tr has neither. `before` are the paragraphs beside and ahead of it."""
     def cells(tr: Column, separator: str) -> Column:
         return F.transform(N.under(dom, tr, lambda x: N.is_tag(x, "td")), lambda td: N.stripped_text(td, separator))
 
@@ -111,26 +111,53 @@ def _table(dom: Column, ps: Column, n: Column) -> Column:
             F.transform(rest, lambda tr: let(cells(tr, "\n"), lambda c: F.slice(
                 c, F.lit(1), F.least(F.size(c), F.size(cols))))).alias("rows")))
 
-    before = F.filter(ps, lambda p: (p["parent"] == n["parent"]) & (p["id"] < n["id"]))
     pre = F.array_join(F.transform(before, lambda p: N.stripped_text(p)), " ")
     return let(N.under(dom, n, lambda x: N.is_tag(x, "tr")), body)
 
 
+def _paragraphs_before(dom: Column, ps: Column, tables: Column) -> Column:
+    """For `N.of_node`: the sibling paragraphs ahead of each table, in order."""
+    def body(env: Column) -> Column:
+        # Among all paragraphs by parent and place, those ahead of a table end where it would stand and begin with its parent's first.
+        upto = count_before(env["ps"], env["tables"])
+        first_ = count_before(env["ps"], F.transform(env["tables"], lambda t: F.struct(t["parent"].alias("parent"), F.lit(-1).alias("id"), t["at"].alias("at"))))
+        ahead = let(F.struct(first_.alias("lo"), upto.alias("hi")), lambda c: F.transform(env["tables"], lambda t, j: F.transform(
+            F.slice(env["ps"], F.get(c["lo"], j) + 1, F.get(c["hi"], j) - F.get(c["lo"], j)), lambda p: F.get(env["nodes"], p["at"]))))
+        return N.by_node(dom, F.transform(env["tables"], lambda t: t["id"]), ahead)
+
+    def placed(nodes: Column) -> Column:
+        return F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["parent"].alias("parent"), n["id"].alias("id"), i.alias("at"))))
+
+    return let(F.struct(ps.alias("nodes"), placed(ps).alias("ps"), placed(tables).alias("tables")), body)
+
+
 def row_map(columns: Column, values: Column) -> Column:
     """map<column, value>; of repeated columns the last wins."""
-    pairs = F.transform(values, lambda v, i: F.struct(F.get(columns, i).alias("k"), v.alias("v")))
-    return let(pairs, lambda ps: F.map_from_entries(F.transform(
-        F.array_distinct(F.transform(ps, lambda p: p["k"])),
-        lambda k: F.struct(k, last(F.filter(ps, lambda p: p["k"] == k))["v"]))))
+    return last_of_each(F.slice(columns, F.lit(1), F.size(values)), values)
 
 
 def html_tables(dom: Column) -> Column:
     """array<struct<id, pre, columns, rows>> of the visible tables not inside another block."""
-    def body(blocks: Column) -> Column:
-        return F.transform(F.filter(blocks, lambda b: b["kind"] == "table"), lambda b: F.struct(
-            b["id"], b["table"]["pre"].alias("pre"), b["table"]["columns"].alias("columns"), b["table"]["rows"].alias("rows")))
+    def with_env(body_node: Column, env: Column) -> Column:
+        here = F.filter(N.tagged(dom, "table"), lambda n: _visited(n, body_node, env["taken"], env["hid"]))
+        return let(here, lambda tables: let(_paragraphs_before(dom, env["ps"], tables), lambda before: F.transform(
+            tables, lambda n: let(_table(dom, N.of_node(before, n), n), lambda t: F.struct(n["id"].alias("id"), t["pre"], t["columns"], t["rows"])))))
+
+    return let(N.first_tag(dom, "body"), lambda body_node: let(F.struct(
+        _taken(dom, body_node).alias("taken"), N.hidden(dom).alias("hid"), N.tagged(dom, "p").alias("ps")), lambda env: with_env(body_node, env)))
+
 
-    return let(sections(dom), body)
+def _taken(dom: Column, body_node: Column) -> Column:
+    """array<boolean> by node id: the node is a block or heading of the body, or in one."""
+    return N.spread(dom, lambda n: N.inside(n, body_node) & (N.is_tag(n, *_BLOCKS) | _is_heading(n)))
+
+
+def _visited(n: Column, body_node: Column, taken: Column, hid: Column) -> Column:
+    here = F.when(n["kind"] == "text", n["parent"]).otherwise(n["id"])
+    return (
+        N.inside(n, body_node)
+        & ((n["kind"] == "text") | N.is_tag(n, *_BLOCKS) | _is_heading(n))
+        & ~N.flag(taken, n["parent"]) & ~N.flag(hid, here))
 
 
 def table_rows(shredded: DataFrame) -> DataFrame:
@@ -155,20 +182,12 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
     table_type = "struct<pre:string,columns:array<string>,rows:array<array<string>>>"
 
     def with_body(body_node: Column) -> Column:
-        taken = N.spread(dom, lambda n: N.inside(n, body_node) & (N.is_tag(n, *_BLOCKS) | _is_heading(n)))
-        return let(F.struct(taken.alias("taken"), N.hidden(dom, dropped).alias("hid"),
-                            N.tagged(dom, "p").alias("ps"), N.tagged(dom, "div").alias("divs"),
-                            _paragraphs_around(N.tagged(dom, "p"), N.tagged(dom, "ul", "ol")).alias("around")),
+        return let(F.struct(_taken(dom, body_node).alias("taken"), N.hidden(dom, dropped).alias("hid"),
+                            _paragraphs_before(dom, N.tagged(dom, "p"), N.tagged(dom, "table")).alias("before"), F.when(N.first_tag(dom, "pre").isNotNull(), N.nearest(dom, lambda n: N.is_tag(n, "div"))).alias("div"),
+                            _paragraphs_around(dom, N.tagged(dom, "p"), N.tagged(dom, "ul", "ol")).alias("around")),
                    lambda env: with_env(body_node, env))
 
     def with_env(body_node: Column, env: Column) -> Column:
-        def visited(n: Column) -> Column:
-            here = F.when(n["kind"] == "text", n["parent"]).otherwise(n["id"])
-            return (
-                N.inside(n, body_node)
-                & ((n["kind"] == "text") | N.is_tag(n, *_BLOCKS) | _is_heading(n))
-                & ~N.flag(env["taken"], n["parent"]) & ~N.flag(env["hid"], here))
-
         def with_nodes(found: Column) -> Column:
             heads = F.filter(F.transform(F.filter(found, _is_heading), lambda n: F.struct(
                 n["id"].alias("id"), n["tag"].alias("tag"), clean(n).alias("clean"), strip(N.text(n)).alias("raw"))),
@@ -189,8 +208,8 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
 
         def block(n: Column) -> Column:
             tag = n["tag"]
-            around = env["around"][n["id"]]
-            holder = last(F.filter(env["divs"], lambda d: N.inside(n, d)))
+            around = N.of_node(env["around"], n)
+            holder = F.get(dom, F.get(env["div"], n["id"]))
             coded = N.attr(n, "lang").isNotNull() | F.coalesce(
                 let(holder, lambda d: F.arrays_overlap(N.classes(d), F.array(*map(F.lit, _CODE_CLASSES)))), F.lit(False))
             plain = F.when(n["kind"] == "text", ascii_text(N.string(n))).when(tag.isin("p", "a", "span", "li"), clean(n))
@@ -207,9 +226,9 @@ def sections(dom: Column, dropped: N.NodeTest | None = None) -> Column:
                 .when(tag == "li", F.array(t)).otherwise(none.cast(strings)).alias("items"),
                 F.when(tag.isin("ul", "ol"), _paragraph(dom, around["before"])).alias("pre"),
                 F.when(tag.isin("ul", "ol"), _paragraph(dom, around["after"])).alias("post"),
-                F.when(tag == "table", _table(dom, env["ps"], n).cast(table_type)).alias("table")))
+                F.when(tag == "table", _table(dom, N.of_node(env["before"], n), n).cast(table_type)).alias("table")))
 
-        return let(F.filter(dom, visited), with_nodes)
+        return let(F.filter(dom, lambda n: _visited(n, body_node, env["taken"], env["hid"])), with_nodes)
 
     return let(N.first_tag(dom, "body"), with_body)
 
@@ -289,9 +308,7 @@ def content_by_headers(dom: Column) -> Column:
 
 def content_map(contents: Column) -> Column:
     """map<header, content>; of repeated headers the last wins."""
-    return F.map_from_entries(F.transform(
-        F.array_distinct(F.transform(contents, lambda c: c["header"])),
-        lambda k: F.struct(k, last(F.filter(contents, lambda c: c["header"] == k))["content"])))
+    return last_of_each(F.transform(contents, lambda c: c["header"]), F.transform(contents, lambda c: c["content"]))
 
 
 def content_text(contents: Column) -> Column:

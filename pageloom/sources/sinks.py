@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.lambdas import let
+from pageloom.functions.lambdas import grouped, let, match
 from pageloom.functions.text import page_title
 from pageloom.operators import sections as S
 from pageloom.operators.elements import title
@@ -61,33 +61,36 @@ def organized(dom: Column, about: Column, dropped=None) -> Column:
                     S.sections(dom, dropped).alias("blocks"))
 
 
-def _keys(o: Column) -> Column:
-    """Heading keys of a page, those with empty sections included, `unassociated` last."""
-    used = F.transform(o["blocks"], lambda b: b["header"])
+def _contents(o: Column, groups: Column) -> Column:
+    """array<struct<key, items>>: the blocks under each heading key of a page, keys without any included, `unassociated` last."""
+    used = F.transform(groups, lambda g: g["key"])
     named = F.array_except(F.array_distinct(F.concat(o["keys"], used)), F.array(F.lit(S.NO_HEADING)))
-    return F.concat(named, F.array(F.lit(S.NO_HEADING)))
+    return let(F.concat(named, F.array(F.lit(S.NO_HEADING))), lambda keys: let(match(keys, used), lambda at: F.transform(
+        keys, lambda k, i: F.struct(k.alias("key"), F.get(groups, F.get(at, i))["items"].alias("items")))))
 
 
-def organized_json(o: Column) -> Column:
-    """JSON text: overview, Title, then each heading's contents, `unassociated` last."""
-    def with_keys(keys: Column) -> Column:
-        contents = F.transform(keys, lambda k: _member(k, _list(F.transform(
-            F.filter(o["blocks"], lambda b: b["header"] == k), _block_json))))
-        heading = F.when(o["title"].isNull(), F.array().cast("array<string>")).otherwise(
-            F.array(_member(F.lit("Title"), json_string(o["title"]))))
-        return _object(F.concat(F.array(_member(F.lit("overview"), F.to_json(o["about"]))), heading, contents))
+def _by_header(blocks: Column) -> Column:
+    return grouped(blocks, F.transform(blocks, lambda b: b["header"]))
+
 
-    return let(_keys(o), with_keys)
+def _each(group: Column, build) -> Column:
+    """`build` for the blocks of a group; none for a key without."""
+    return F.coalesce(F.transform(group["items"], build), F.array().cast("array<string>"))
 
 
-def structured_json(o: Column) -> Column:
+def organized_json(o: Column, contents: Column) -> Column:
+    """JSON text: overview, Title, then each heading's contents, `unassociated` last."""
+    members = F.transform(contents, lambda g: _member(g["key"], _list(_each(g, _block_json))))
+    heading = F.when(o["title"].isNull(), F.array().cast("array<string>")).otherwise(
+        F.array(_member(F.lit("Title"), json_string(o["title"]))))
+    return _object(F.concat(F.array(_member(F.lit("overview"), F.to_json(o["about"]))), heading, members))
+
+
+def structured_json(o: Column, contents: Column) -> Column:
     """JSON text: overview, and tables, lists, ordered_lists as heading -> [{pre, ..}]."""
     def group(kind: str, build) -> Column:
-        def with_blocks(blocks: Column) -> Column:
-            return _object(F.transform(F.array_distinct(F.transform(blocks, lambda b: b["header"])), lambda k: _member(
-                k, _list(F.transform(F.filter(blocks, lambda b: b["header"] == k), build)))))
-
-        return let(F.filter(o["blocks"], lambda b: b["kind"] == kind), with_blocks)
+        return let(F.filter(o["blocks"], lambda b: b["kind"] == kind), lambda blocks: _object(F.transform(
+            _by_header(blocks), lambda g: _member(g["key"], _list(_each(g, build))))))
 
     def a_table(b: Column) -> Column:
         return F.concat(F.lit('{"pre": '), json_string(b["table"]["pre"]), F.lit(', "table": '), _row_maps(b["table"]), F.lit("}"))
@@ -102,7 +105,7 @@ def structured_json(o: Column) -> Column:
         _member(F.lit("ordered_lists"), group("ordered_list", a_list))))
 
 
-def rendered_text(o: Column) -> Column:
+def rendered_text(o: Column, contents: Column) -> Column:
     """Indented text: headings flush left, their contents as bullets, list items and table rows one each."""
     bullet = F.lit("  - ")
 
@@ -113,25 +116,26 @@ def rendered_text(o: Column) -> Column:
             .otherwise(F.array(b["text"])))
         return F.transform(items, lambda i: F.concat(bullet, i))
 
-    def with_keys(keys: Column) -> Column:
-        about = F.flatten(F.array(*[F.array(F.lit(""), F.lit(f"  {f}"), F.concat(
-            F.lit("    "), F.coalesce(o["about"][f], F.lit("None")))) for f in _OVERVIEW]))
-        heading = F.when(o["title"].isNull(), F.array().cast("array<string>")).otherwise(
-            F.array(F.lit("Title"), F.concat(F.lit("  "), o["title"])))
-        contents = F.flatten(F.transform(keys, lambda k: F.concat(F.array(k), F.flatten(F.transform(
-            F.filter(o["blocks"], lambda b: b["header"] == k), lines)))))
-        return F.array_join(F.concat(F.array(F.lit("overview")), about, heading, contents), "\n")
+    about = F.flatten(F.array(*[F.array(F.lit(""), F.lit(f"  {f}"), F.concat(
+        F.lit("    "), F.coalesce(o["about"][f], F.lit("None")))) for f in _OVERVIEW]))
+    heading = F.when(o["title"].isNull(), F.array().cast("array<string>")).otherwise(
+        F.array(F.lit("Title"), F.concat(F.lit("  "), o["title"])))
+    under = F.flatten(F.transform(contents, lambda g: F.concat(
+        F.array(g["key"]), F.coalesce(F.flatten(F.transform(g["items"], lines)), F.array().cast("array<string>")))))
+    return F.array_join(F.concat(F.array(F.lit("overview")), about, heading, under), "\n")
+
 
-    return let(_keys(o), with_keys)
+DOCUMENTS = {"organized": organized_json, "structured": structured_json, "text": rendered_text}
 
 
-def page_documents(shredded: DataFrame, dropped=None) -> DataFrame:
-    """(page_id, unique_page_name, organized, structured, text) for pages with url, website, unique_page_name."""
+def page_documents(shredded: DataFrame, dropped=None, kinds: tuple[str, ...] = tuple(DOCUMENTS)) -> DataFrame:
+    """(page_id, unique_page_name, and those of organized, structured, text in `kinds`) for pages with url, website, unique_page_name."""
     dom = F.col("dom")
     about = overview(F.col("url"), F.col("website"), F.col("unique_page_name"), dom)
-    return shredded.select("page_id", "unique_page_name", let(organized(dom, about, dropped), lambda o: F.struct(
-        organized_json(o).alias("organized"), structured_json(o).alias("structured"),
-        rendered_text(o).alias("text"))).alias("d")).select("page_id", "unique_page_name", "d.*")
+    # A column at a time: what is used more than once is computed once, and expressions stay small.
+    page = shredded.select("page_id", "unique_page_name", organized(dom, about, dropped).alias("o"))
+    page = page.withColumn("groups", _by_header(F.col("o.blocks"))).withColumn("contents", _contents(F.col("o"), F.col("groups")))
+    return page.select("page_id", "unique_page_name", *(DOCUMENTS[kind](F.col("o"), F.col("contents")).alias(kind) for kind in kinds))
 
 
 def write_documents(documents: DataFrame, column: str, path: str) -> None:
