@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import content_hash
 from pageloom.functions.urls import domain_of, domain_url
 from pageloom.session import run_dir
-from pageloom.sources.tables import BUCKETED, TABLES, bucket, bucket_count, fill, read_table, row_key
+from pageloom.sources.tables import BUCKETED, TABLES, bucket, bucket_count, fill, read_table, row_key, upsert_key
 
 RESULT_UPDATES = ("content", "content_hash", "title")
 WEBPAGE_UPDATES = ("domain_id", "http_status", "access_timestamp", "content_type", "page_size", "language",
@@ -31,6 +31,15 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] =
     return rows.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*rows.columns)
 
 
+def latest_version(rows: DataFrame, keys: Sequence[str], order: Sequence[str], row: str) -> DataFrame:
+    """The latest of `rows` by `order` for each key, told by narrow columns only: what else a row holds is in no aggregate.
+
+    `row` numbers the rows, which must be stored, and decides between equals. Null keys are a key.
+    """
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*order, row)).alias("_last")).select(F.col(f"_last.{row}").alias(row))
+    return rows.join(last, row, "left_semi")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None,
            order: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """`target` after inserting new keys and updating known ones.
@@ -143,13 +152,14 @@ def _rewrite(path: str, table: str, new: DataFrame, combine, writers: int) -> No
 
 def merge_into(path: str, table: str, source: DataFrame, update: Sequence[str] | None = None,
                order: Sequence[str] = (), writers: int = 1) -> None:
-    """Upsert into a stored table, reading and rewriting only the buckets the source falls in.
+    """Upsert into a stored table by its key, reading and rewriting only the buckets the source falls in.
 
-    `writers` tasks write a bucket.
+    `writers` tasks write a bucket. Of two source rows with a key the greatest by the columns `order` counts, which need not be
+    columns of the table.
     """
-    key = BUCKETED[table]
-    rows = latest_per_key(source.select(*TABLES[table].schema.names), [key], order)
-    _rewrite(path, table, rows, lambda old, new: upsert(old, new, [key, "bucket"], update, unique=True), writers)
+    keys, more = upsert_key(table), [c for c in order if c not in TABLES[table].columns]
+    rows = latest_per_key(source.select(*TABLES[table].schema.names, *more), keys, order).drop(*more)
+    _rewrite(path, table, rows, lambda old, new: upsert(old, new, [*keys, "bucket"], update, unique=True), writers)
 
 
 def replace_into(path: str, table: str, rows: DataFrame, keys: DataFrame, writers: int = 1) -> None:
@@ -310,6 +320,68 @@ def delete_rows(tables: dict[str, DataFrame], table: str, deleted: DataFrame, ch
     return result
 
 
+# --- deletions in the stored tables
+def deletions(tables: dict[str, DataFrame], table: str, deleted: DataFrame) -> list[tuple[str, str, DataFrame]]:
+    """What the deletion of rows of `table` by `id` does to the given tables: (table, column, rows), children before parents.
+
+    With an empty column the rows (the upsert key) go, else the rows (`column`'s values) have it set to NULL.
+    """
+    out = []
+    for name, spec in TABLES.items():
+        for column, (parent, parent_column, rule) in spec.foreign.items():
+            if parent != table or parent_column != "id" or name not in tables:
+                continue
+            hit = deleted.select(F.col("id").alias(column)).distinct()
+            if rule == "set null":
+                out.append((name, column, tables[name].join(hit, column, "left_semi")))
+            elif rule == "cascade":
+                gone = tables[name].join(hit, column, "left_semi")
+                out += deletions(tables, name, gone.select("id")) if "id" in spec.columns else [(name, "", gone)]
+    return [*out, (table, "", tables[table].join(deleted.select("id").distinct(), "id", "left_semi"))]
+
+
+def delete_stored(path: str, table: str, deleted: DataFrame, writers: int = 1) -> None:
+    """Delete rows of a stored table by `id` with all that the declared rules bind to them, rewriting touched buckets only.
+
+    References under a `restrict` rule, of rows at any depth, forbid it: a ValueError, and nothing is changed. Rows to go are
+    worked out first and kept aside; children are rewritten before their parents, so a failure in between leaves no
+    reference without its row, and repeating the call goes on. Deleting again changes nothing.
+    """
+    spark = deleted.sparkSession
+    folder, plan = run_dir(spark, "delete"), []
+    # The ids may come from the very tables that are rewritten.
+    deleted.select(F.col("id").cast("long").alias("id")).distinct().write.parquet(f"{folder}/ids")
+    deleted = spark.read.schema("id long").parquet(f"{folder}/ids")
+    tables = {name: read_table(spark, path, name) for name in TABLES}
+    for i, (name, column, rows) in enumerate(deletions(tables, table, deleted)):
+        rows.write.parquet(f"{folder}/{i}")
+        plan.append((name, column, spark.read.schema(rows.schema).parquet(f"{folder}/{i}")))
+    for name, column, rows in plan:
+        if not column and "id" in TABLES[name].columns and not restricted(_without(tables, plan), name, rows).isEmpty():
+            raise ValueError(f"rows of {name} are still referred to; see restricted()")
+    for name, column, rows in plan:
+        keys = upsert_key(name)
+
+        def combine(old: DataFrame, new: DataFrame, column: str = column, keys: tuple[str, ...] = keys) -> DataFrame:
+            gone = new.select(*keys, "bucket")
+            if not column:
+                return old.join(gone, [*keys, "bucket"], "left_anti").select(*old.columns)
+            hit = old.join(gone.withColumn("_hit", F.lit(True)), [*keys, "bucket"], "left")
+            return hit.select(*(F.when(F.col("_hit").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in old.columns))
+
+        if not rows.isEmpty():
+            _rewrite(path, name, rows.select(*TABLES[name].schema.names).dropDuplicates(list(keys)), combine, writers)
+
+
+def _without(tables: dict[str, DataFrame], plan: list[tuple[str, str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables without the rows that a plan of deletions takes away."""
+    out = dict(tables)
+    for name, column, rows in plan:
+        if not column:
+            out[name] = out[name].join(rows.select(*upsert_key(name)).distinct(), list(upsert_key(name)), "left_anti")
+    return out
+
+
 # --- tasks, methods, changes
 def pending(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("scrape_status") == "pending")

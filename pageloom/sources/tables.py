@@ -115,13 +115,24 @@ def fill(table: str, rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(*columns)
 
 
-# Tables laid out by a hash of one column, so that a write rewrites only the buckets it touches.
+# Every table is laid out by a hash of one column, so that a write rewrites only the buckets it touches.
 BUCKETED = {
     "domains": "url", "webpages": "url", "scrape_results": "webpage_id", "links": "page_id", "images": "page_id",
-    "heading_structures": "result_id", "structured_data": "result_id"}
+    "heading_structures": "result_id", "structured_data": "result_id", "sitemap_urls": "domain_id", "sitemap_contents": "domain_id",
+    "scrape_methods": "name", "domain_scrape_methods": "domain_url", "scrape_tasks": "id", "scrape_histories": "task_id",
+    "scrape_combinations": "name", "combination_methods": "combination_id", "apis": "id", "technology_stacks": "domain_id"}
+# The key of an upsert where that column alone does not tell rows apart.
+KEYS = {
+    "links": ("page_id", "id"), "images": ("page_id", "id"), "sitemap_urls": ("domain_id", "id"), "sitemap_contents": ("domain_id", "id"),
+    "domain_scrape_methods": ("domain_url", "scrape_method_id"), "scrape_histories": ("task_id", "id"),
+    "combination_methods": ("combination_id", "method_id"), "technology_stacks": ("domain_id", "category")}
 BUCKETS = 64
 
 
+def upsert_key(table: str) -> tuple[str, ...]:
+    return KEYS.get(table, (BUCKETED[table],))
+
+
 def bucket(table: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(BUCKETED[table]), F.lit(buckets)).cast("int")
 
@@ -144,16 +155,11 @@ def create_store(spark: SparkSession, path: str, only: Collection[str] | None =
     for name, spec in TABLES.items():
         if only is not None and name not in only:
             continue
-        spec_df = spark.createDataFrame([], spec.schema)
-        writer = spec_df.withColumn("bucket", F.lit(None).cast("int")) if name in BUCKETED else spec_df
-        writer = writer.write.mode("ignore")
-        (writer.partitionBy("bucket") if name in BUCKETED else writer).parquet(f"{path}/{name}")
+        empty = spark.createDataFrame([], spec.schema).withColumn("bucket", F.lit(None).cast("int"))
+        empty.write.mode("ignore").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    schema = TABLES[table].schema
-    if table in BUCKETED:
-        schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-        # A row without a key only marks a bucket that has been emptied.
-        return spark.read.schema(schema).parquet(f"{path}/{table}").where(F.col(BUCKETED[table]).isNotNull())
-    return spark.read.schema(schema).parquet(f"{path}/{table}")
+    schema = T.StructType([*TABLES[table].schema.fields, T.StructField("bucket", T.IntegerType())])
+    # A row without a key only marks a bucket that has been emptied.
+    return spark.read.schema(schema).parquet(f"{path}/{table}").where(F.col(BUCKETED[table]).isNotNull())
