@@ -338,8 +338,8 @@ def crawl_item(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sitemap_entry")
 
 
-def _documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    page = shred(D.customer_pages(spark, sf_dir), parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
+def _documents(spark: SparkSession, sf_dir: str, kind: str, pages: DataFrame | None = None) -> DataFrame:
+    page = shred(D.customer_pages(spark, sf_dir) if pages is None else pages, parts_of=S.SECTION_PARTS, text_nodes=True, decode_twice=True)
     named = page.withColumn("website", F.lit("example.com")).withColumn("unique_page_name", F.concat(F.lit("c_"), F.col("page_id")))
     return sinks.page_documents(named, kinds=(kind,)).select("page_id", kind)
 
@@ -357,6 +357,26 @@ def organized_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir, "organized")
 
 
+_ORGANIZED = """', "Title": "' || c_name || ' page", "H1: ' || c_name || '": ["In ' || c_mktsegment || ' & nation ' || c_nationkey
+ || '"], "H2: Pictures": [], "H2: Facts": ' || facts || ', "H2: Table": ["Key values", '
+ || '{"tables": [{"Key":"name","Value":"' || c_name || '\\nx"},{"Key":"segment"}]}], "H3: More": ["other", "cdn", "' || CASE WHEN c_custkey % 2 = 0 THEN 'end' ELSE 'tail' END || '"]'
+ || CASE WHEN c_custkey % 2 = 0 THEN ', "H2: New facts": ' || facts ELSE '' END || ', "unassociated": []}'"""
+_FACTS = """'["Before ' || c_nationkey || '", {"list": ["1. ' || c_mktsegment || '","2. Nation ' || c_nationkey || '"]}, "After", {"list": ["one","two '
+ || c_custkey || 'three","three"]}]'"""
+
+
+@register(f"SELECT 'c_' || c_custkey AS unique_page_name, {_ABOUT} || {_ORGANIZED} AS organized FROM (SELECT *, {_FACTS} AS facts FROM customer)")
+def organized_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second page comes again with other markup: a new heading is added, changed contents replace the old, the rest stays."""
+    path = run_dir(spark, "organized")
+    pages = D.customer_pages(spark, sf_dir)
+    again = pages.where("page_id % 2 = 0").withColumn("html", F.replace(F.replace("html", F.lit("<h2>Facts"), F.lit("<h2>New facts")), F.lit(" tail\n"), F.lit(" end\n")))
+    for run in (pages, again, again):
+        members = _documents(spark, sf_dir, "members", run).withColumn("unique_page_name", F.concat(F.lit("c_"), F.col("page_id").cast("string")))
+        sinks.merge_organized(members, path, buckets=4)
+    return sinks.read_organized(spark, path).select("unique_page_name", sinks.members_json(F.col("members")).alias("organized"))
+
+
 @register(f"""SELECT c_custkey AS page_id, {_ABOUT} || ', "tables": {{"H2: Table": [{{"pre": "In' || c_mktsegment || '& nation ' || c_nationkey
  || ' Before ' || c_nationkey || ' After Key values", "table": [{{"Key":"name","Value":"' || c_name || '\\nx"}},{{"Key":"segment"}}]}}]}}, "lists": '
  || '{{"H2: Facts": [{{"pre":"After","list":["one","two ' || c_custkey || 'three","three"],"post":"Key values"}}]}}, "ordered_lists": {{"H2: Facts": [{{"pre":"Before '

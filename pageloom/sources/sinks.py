@@ -5,13 +5,14 @@ Everything about a page sits in its row, so documents are built without a shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions.lambdas import grouped, let, match
+from pageloom.functions.lambdas import grouped, last, last_of_each, let, match
 from pageloom.functions.text import page_title
 from pageloom.operators import sections as S
 from pageloom.operators.elements import title
+from pageloom.session import run_dir
 
 _OVERVIEW = ("uuid", "website", "url", "unique_page_name", "page_title")
 
@@ -78,12 +79,38 @@ def _each(group: Column, build) -> Column:
     return F.coalesce(F.transform(group["items"], build), F.array().cast("array<string>"))
 
 
+def organized_members(o: Column, contents: Column) -> Column:
+    """array<struct<key, value>>, values as JSON: overview, Title, then each heading's contents, `unassociated` last."""
+    def member(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value"))
+
+    title_ = F.filter(F.array(member(F.lit("Title"), json_string(o["title"]))), lambda _: o["title"].isNotNull())
+    return F.concat(
+        F.array(member(F.lit("overview"), F.to_json(o["about"]))), title_,
+        F.transform(contents, lambda g: member(g["key"], _list(_each(g, _block_json)))))
+
+
+def members_json(members: Column) -> Column:
+    return _object(F.transform(members, lambda m: _member(m["key"], m["value"])))
+
+
+def merged_members(old: Column, new: Column) -> Column:
+    """A document's members after another run: earlier ones keep their places, later values win, `unassociated` stays last.
+
+    An empty `unassociated` of the later run leaves the earlier one. Either side may be NULL.
+    """
+    nothing = F.array().cast("array<struct<key:string,value:string>>")
+    old, new = F.coalesce(old, nothing), F.coalesce(new, nothing)
+    loose = F.filter(F.concat(old, F.filter(new, lambda m: m["value"] != "[]")), lambda m: m["key"] == S.NO_HEADING)
+    rest = F.filter(F.concat(old, new), lambda m: m["key"] != S.NO_HEADING)
+    by_key = let(rest, lambda r: last_of_each(F.transform(r, lambda m: m["key"]), F.transform(r, lambda m: m["value"])))
+    return F.concat(F.map_entries(by_key), F.array(F.struct(
+        F.lit(S.NO_HEADING).alias("key"), F.coalesce(last(loose)["value"], F.lit("[]")).alias("value"))))
+
+
 def organized_json(o: Column, contents: Column) -> Column:
     """JSON text: overview, Title, then each heading's contents, `unassociated` last."""
-    members = F.transform(contents, lambda g: _member(g["key"], _list(_each(g, _block_json))))
-    heading = F.when(o["title"].isNull(), F.array().cast("array<string>")).otherwise(
-        F.array(_member(F.lit("Title"), json_string(o["title"]))))
-    return _object(F.concat(F.array(_member(F.lit("overview"), F.to_json(o["about"]))), heading, members))
+    return members_json(organized_members(o, contents))
 
 
 def structured_json(o: Column, contents: Column) -> Column:
@@ -125,11 +152,12 @@ def rendered_text(o: Column, contents: Column) -> Column:
     return F.array_join(F.concat(F.array(F.lit("overview")), about, heading, under), "\n")
 
 
-DOCUMENTS = {"organized": organized_json, "structured": structured_json, "text": rendered_text}
+DOCUMENTS = {"organized": organized_json, "structured": structured_json, "text": rendered_text, "members": organized_members}
+TEXTS = ("organized", "structured", "text")
 
 
-def page_documents(shredded: DataFrame, dropped=None, kinds: tuple[str, ...] = tuple(DOCUMENTS)) -> DataFrame:
-    """(page_id, unique_page_name, and those of organized, structured, text in `kinds`) for pages with url, website, unique_page_name."""
+def page_documents(shredded: DataFrame, dropped=None, kinds: tuple[str, ...] = TEXTS) -> DataFrame:
+    """(page_id, unique_page_name, and those of organized, structured, text, members in `kinds`) for pages with url, website, unique_page_name."""
     dom = F.col("dom")
     about = overview(F.col("url"), F.col("website"), F.col("unique_page_name"), dom)
     # A column at a time: what is used more than once is computed once, and expressions stay small.
@@ -146,6 +174,36 @@ def write_documents(documents: DataFrame, column: str, path: str) -> None:
         documents.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+DOCUMENT = "unique_page_name string, members array<struct<key:string,value:string>>, bucket int"
+BUCKETS = 64
+
+
+def read_organized(spark: SparkSession, path: str) -> DataFrame:
+    """(unique_page_name, members, bucket) of the documents stored at `path`; `members_json` writes them out."""
+    return spark.read.schema(DOCUMENT).parquet(f"{path}/documents")
+
+
+def merge_organized(documents: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Merge documents (unique_page_name, page_id, members) over those stored at `path`, member by member.
+
+    Of several with one name that with the largest page_id counts. Only the buckets they fall in are rewritten, from tables
+    written aside first, so a failed merge can be repeated; repeating it changes nothing. `buckets` is for the first write.
+    """
+    spark, folder = documents.sparkSession, run_dir(documents.sparkSession, "documents")
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("ignore").parquet(f"{path}/layout")
+    spark.createDataFrame([], DOCUMENT).write.mode("ignore").partitionBy("bucket").parquet(f"{path}/documents")
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
+    new = documents.groupBy("unique_page_name").agg(F.max_by("members", "page_id").alias("members"))
+    new.withColumn("bucket", F.pmod(F.xxhash64("unique_page_name"), F.lit(buckets)).cast("int")).write.parquet(f"{folder}/new")
+    new = spark.read.schema(DOCUMENT).parquet(f"{folder}/new")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+    old = read_organized(spark, path).where(F.col("bucket").isin(touched)).withColumnRenamed("members", "before")
+    both = old.join(new, ["unique_page_name", "bucket"], "full_outer")
+    both.select("unique_page_name", merged_members(F.col("before"), F.col("members")).alias("members"), "bucket").write.parquet(f"{folder}/merged")
+    (spark.read.schema(DOCUMENT).parquet(f"{folder}/merged").repartition("bucket").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/documents"))
+
+
 def write_item_feed(items: DataFrame, path: str) -> None:
     """Crawl items as JSON lines, UTF-8."""
     items.write.mode("overwrite").option("encoding", "UTF-8").json(path)
