@@ -108,3 +108,57 @@ def test_fit_on_letters_that_lower_case_to_two(spark):
     assert [f[0] for f in langid.Labeller(model).label(["İstanbul", "the dog"])] == ["tr", "en"]
     [tr] = langid.words_of("İstanbul").buckets[0][:1]
     assert model.table[tr, 1] > model.table[tr, 0]
+
+
+def slow_label(model, text):
+    """The text's language and score, word by word and gram by gram, from the model's table."""
+    import re
+
+    words = [m for m in re.finditer(r"[^\W\d_]+", text or "") if all(c.isalpha() for c in m[0])]
+    if not words or not model.languages:
+        return langid.UNKNOWN, 0.0
+    k, scores = len(model.languages), []
+    for m in words:
+        padded = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in m[0]), 0]
+        fit = np.zeros(k)
+        for order in langid.ORDERS:
+            for at in range(len(padded) - order + 1):
+                h = order * 0x9E3779B1 & 0xFFFFFFFF
+                for point in padded[at : at + order]:
+                    h = (h ^ point) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 13
+                fit += model.table[h % langid.BUCKETS]
+        script = next((name for lo, hi, name in langid.SCRIPTS if lo <= ord(m[0][0]) <= hi), "other")
+        seen = model.seen[langid._NAMES.index(script)]
+        if seen.any():
+            fit[~seen] = -np.inf
+        fit -= fit.max()
+        scores.append(np.maximum(fit - np.log(np.exp(fit).sum()), langid.FLOOR))
+    best = {j: (scores[0][j], [j]) for j in range(k)}
+    for row in scores[1:]:
+        top = max(best, key=lambda j: (best[j][0], -j))
+        step = {}
+        for j in range(k):
+            value, path = best[j] if best[j][0] >= best[top][0] - langid.PENALTY else (best[top][0] - langid.PENALTY, best[top][1])
+            step[j] = (value + row[j], [*path, j])
+        best = step
+    path = best[max(best, key=lambda j: (best[j][0], -j))][1]
+    letters = np.bincount(path, [m.end() - m.start() for m in words], k)
+    return model.languages[int(letters.argmax())], float(letters.max() / letters.sum())
+
+
+def test_query_by_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found, mixed = queries.QUERIES["op6_langid"](spark, sf_dir).collect(), 0
+    assert sorted(r["doc_id"] for r in found) == sorted(texts)
+    for r in found:
+        if len(texts[r["doc_id"]] or "") < 6000:
+            name, score = slow_label(model, texts[r["doc_id"]])
+            assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-9
+            mixed += score < 1
+    both = " ".join((texts[a] or "")[:400] for a in list(texts)[:12])  # texts of several languages
+    name, score, _ = langid.Labeller(model).label([both])[0]
+    assert (name, score) == slow_label(model, both) and score < 1
