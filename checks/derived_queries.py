@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import derived as D
 from checks.registry import register
 from pageloom.functions import nodes as N
+from pageloom.functions.lambdas import let
 from pageloom.operators import boilerplate as B
 from pageloom.operators import elements as E
 from pageloom.operators import sections as S
@@ -162,9 +163,9 @@ _HIDES = "p_size % 10 < 7"
  'By ' || p_brand, 'Kept ' || p_type, 'Shown ' || p_name, 'Shown ' || p_name, 'Type ' || p_type, 'Foot ' || p_partkey]) AS text)""")
 def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = shred(D.part_pages(spark, sf_dir), parts_of=("p",))
-    shown = page.select("page_id", N.hidden(F.col("dom")).alias("hid"), "dom").select(
-        "page_id", F.explode(F.filter("dom", lambda n: N.is_tag(n, "p") & ~F.get("hid", n["id"]))).alias("n"))
-    return shown.select("page_id", N.text(F.col("n")).alias("text"))
+    texts = let(N.hidden(F.col("dom")), lambda hid: F.transform(
+        F.filter("dom", lambda n: N.is_tag(n, "p") & ~F.get(hid, n["id"])), N.text))
+    return page.select("page_id", F.explode(texts).alias("text"))
 
 
 _SECTION_TEXTS = f"""SELECT p_partkey AS page_id, header, kind, text FROM part, LATERAL (SELECT unnest(
