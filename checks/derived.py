@@ -41,9 +41,13 @@ def maybe(condition: str, text: str, otherwise: str = "") -> Column:
     return F.when(F.expr(condition), template(text)).otherwise(template(otherwise) if otherwise else F.lit(""))
 
 
+# Rows of a test table dealt to one task at most, about: a task's time then stays the same on larger tables.
+ROWS_PER_TASK = 10_000
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores: the test tables are one file each, so a scan would be one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows dealt out to all cores, in more parts where there are many: the test tables are one file each, so a scan would be one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK)))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -36,7 +36,7 @@ def count_before(marks: Column, items: Column) -> Column:
     An item's place in the merged order, less its place among the items, is that count: a sort
     instead of comparing every item with every mark.
     """
-    both = F.array_sort(F.concat(
+    both = F.sort_array(F.concat(
         F.transform(marks, lambda m: F.struct(m.alias("v"), F.lit(False).alias("item"))),
         F.transform(items, lambda m: F.struct(m.alias("v"), F.lit(True).alias("item")))))
     places = F.filter(F.transform(both, lambda b, i: F.when(b["item"], i)), lambda i: i.isNotNull())
@@ -49,16 +49,16 @@ def match(keys: Column, table: Column) -> Column:
     Both are sorted and merged once, so the work is that of sorting, not a scan of the table per key.
     """
     def ranked(values: Column) -> Column:
-        return F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        return F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
 
     def sided(rows: Column, side: int) -> Column:
         return F.transform(rows, lambda r: F.struct(r["v"].alias("v"), F.lit(side).alias("side"), r["i"].alias("i")))
 
     def found(env: Column) -> Column:
         # In the merged order an entry's place less its place among the keys is how many of the table come before it.
-        both = F.array_sort(F.concat(sided(env["t"], 0), sided(env["k"], 1)))
+        both = F.sort_array(F.concat(sided(env["t"], 0), sided(env["k"], 1)))
         places = F.filter(F.transform(both, lambda b, p: F.when(b["side"] == 1, p)), lambda p: p.isNotNull())
-        return let(places, lambda ps: F.transform(F.array_sort(F.transform(env["k"], lambda k, j: let(
+        return let(places, lambda ps: F.transform(F.sort_array(F.transform(env["k"], lambda k, j: let(
             F.get(env["t"], F.get(ps, j) - j - 1), lambda t: F.struct(k["i"].alias("at"), F.when(t["v"] == k["v"], t["i"]).alias("hit"))))),
             lambda h: h["hit"]))
 
@@ -70,16 +70,16 @@ def grouped(items: Column, keys: Column) -> Column:
     def with_rows(rows: Column) -> Column:
         starts = F.filter(F.transform(rows, lambda r, i: F.when(
             (i == 0) | ~r["k"].eqNullSafe(F.get(rows, i - 1)["k"]), i)), lambda i: i.isNotNull())
-        return let(starts, lambda at: let(F.array_sort(F.transform(at, lambda s, j: F.struct(
+        return let(starts, lambda at: let(F.sort_array(F.transform(at, lambda s, j: F.struct(
             F.get(rows, s)["i"].alias("first"), s.alias("lo"), F.coalesce(F.get(at, j + 1), F.size(rows)).alias("hi")))),
             lambda groups: F.transform(groups, lambda g: F.struct(
                 F.get(rows, g["lo"])["k"].alias("key"),
                 F.transform(F.slice(rows, g["lo"] + 1, g["hi"] - g["lo"]), lambda r: F.get(items, r["i"])).alias("items")))))
 
-    return let(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))), with_rows)
+    return let(F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))), with_rows)
 
 
 def last_of_each(keys: Column, values: Column) -> Column:
     """map<key, value>: the keys by first appearance, each with the last of its values."""
-    return let(F.array_distinct(keys), lambda names: let(match(names, keys), lambda at: F.map_from_arrays(
-        names, F.transform(at, lambda i: F.get(values, i)))))
+    return let(F.struct(keys.alias("k"), values.alias("v")), lambda e: let(F.array_distinct(e["k"]), lambda names: let(
+        match(names, e["k"]), lambda at: F.map_from_arrays(names, F.transform(at, lambda i: F.get(e["v"], i))))))

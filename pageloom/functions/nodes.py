@@ -163,11 +163,15 @@ def contains_any(text_column: Column, needles: Collection[str]) -> Column:
     return total
 
 
+def _has_attributes(n: Column) -> Column:
+    return F.coalesce(F.size(n["attrs"]) > 0, F.lit(False))
+
+
 def _hides_itself(n: Column, relaxed: bool) -> Column:
     style = F.lower(attr_or_empty(n, "style"))
     if relaxed:  # tolerate any spacing around the colon
         style = F.regexp_replace(style, r"\s*:\s*", ": ")
-    return (
+    return _has_attributes(n) & (
         contains_any(style, HIDING_STYLES)
         | (style.contains("position: absolute") & contains_any(style, OFF_SCREEN))
         | (F.lower(attr_or_empty(n, "aria-hidden")) == "true")
@@ -182,6 +186,7 @@ def _hides_parent(n: Column, relaxed: bool) -> Column:
         style = F.regexp_replace(style, r"\s*:\s*", ": ")
     return (
         (n["kind"] == "element")
+        & _has_attributes(n)
         & (F.lower(attr_or_empty(n, "aria-hidden")) != "true")
         & style.contains("display: none")
     )
@@ -209,4 +214,4 @@ def hidden(dom: Column, dropped: NodeTest | None = None, relaxed: bool = False)
     if relaxed:
         return body(F.lit(None))
     parents = F.transform(F.filter(dom, lambda n: _hides_parent(n, relaxed)), lambda n: n["parent"])
-    return let(match(F.transform(dom, lambda n: n["id"]), parents), body)
+    return let(let(parents, lambda ps: F.when(F.size(ps) > 0, match(F.transform(dom, lambda n: n["id"]), ps))), body)

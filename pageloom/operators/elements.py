@@ -61,7 +61,7 @@ def pretty_html(dom: Column) -> Column:
             n["id"].alias("at"), F.lit(0).alias("late"), line(n).alias("line")))
         closes = F.transform(els, lambda n: F.struct(
             n["end"].alias("at"), (F.lit(1_000_000_000) - n["id"]).alias("late"), closing(n).alias("line")))
-        return F.transform(F.array_sort(F.concat(opens, closes)), lambda s: s["line"])
+        return F.transform(F.sort_array(F.concat(opens, closes)), lambda s: s["line"])
 
     els = F.filter(dom, lambda n: (n["kind"] == "element") & ~n["tag"].isin(*_VOID))
     return let(els, lambda e: F.array_join(F.filter(ordered(e), lambda s: s.isNotNull()), "\n"))
@@ -230,7 +230,7 @@ def images_with_alt(dom: Column, url: Column) -> Column:
             return F.filter(F.transform(imgs, keep), lambda f: f.isNotNull())
 
         found = F.concat(pick("src"), pick("data-src", "lazy_in_src"), pick("nitro-lazy-src", "nitro_in_src", "nitro_in_lazy"))
-        return F.transform(F.array_sort(found), lambda f: F.struct(f["src"], f["alt"]))
+        return F.transform(F.sort_array(found), lambda f: F.struct(f["src"], f["alt"]))
 
     src, lazy, nitro = of("src"), of("data-src"), of("nitro-lazy-src")
     return let(image_links(dom, url), lambda links_: let(N.tagged(dom, "img"), lambda imgs: let(F.struct(

@@ -50,8 +50,8 @@ def _paragraphs_around(dom: Column, ps: Column, lists: Column) -> Column:
         return N.by_node(dom, F.transform(env["lists"], lambda at: at["id"]), let(counts, lambda ns: F.transform(
             env["lists"], lambda at, j: around(at, F.get(ns, j)))))
 
-    return let(F.struct(F.array_sort(F.transform(ps, lambda n: _place(n))).alias("ps"),
-                        F.array_sort(F.transform(lists, lambda n: _place(n))).alias("lists")), body)
+    return let(F.struct(F.sort_array(F.transform(ps, lambda n: _place(n))).alias("ps"),
+                        F.sort_array(F.transform(lists, lambda n: _place(n))).alias("lists")), body)
 
 
 def list_items(dom: Column, n: Column) -> Column:
@@ -126,7 +126,7 @@ def _paragraphs_before(dom: Column, ps: Column, tables: Column) -> Column:
         return N.by_node(dom, F.transform(env["tables"], lambda t: t["id"]), ahead)
 
     def placed(nodes: Column) -> Column:
-        return F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["parent"].alias("parent"), n["id"].alias("id"), i.alias("at"))))
+        return F.sort_array(F.transform(nodes, lambda n, i: F.struct(n["parent"].alias("parent"), n["id"].alias("id"), i.alias("at"))))
 
     return let(F.struct(ps.alias("nodes"), placed(ps).alias("ps"), placed(tables).alias("tables")), body)
 
@@ -276,14 +276,14 @@ def content_by_headers(dom: Column) -> Column:
         one, if it has the same parent.
         """
         def of_rank(rank: int) -> Column:
-            ranked = F.array_sort(F.transform(F.filter(heads, lambda h: level(h) <= rank), lambda h: F.struct(
+            ranked = F.sort_array(F.transform(F.filter(heads, lambda h: level(h) <= rank), lambda h: F.struct(
                 h["parent"].alias("parent"), h["id"].alias("id"), level(h).alias("level"))))
             return F.filter(let(ranked, lambda hs: F.transform(hs, lambda h, i: F.struct(
                 h["id"].alias("id"), h["level"].alias("level"),
                 F.when(F.get(hs, i + 1)["parent"] == h["parent"], F.get(hs, i + 1)["id"]).alias("stop")))),
                 lambda h: h["level"] == rank)
 
-        return F.array_sort(F.concat(*[of_rank(rank) for rank in range(1, 7)]))
+        return F.sort_array(F.concat(*[of_rank(rank) for rank in range(1, 7)]))
 
     def with_heads(heads: Column) -> Column:
         def one(h: Column, next_id: Column) -> Column:
@@ -308,7 +308,8 @@ def content_by_headers(dom: Column) -> Column:
 
 def content_map(contents: Column) -> Column:
     """map<header, content>; of repeated headers the last wins."""
-    return last_of_each(F.transform(contents, lambda c: c["header"]), F.transform(contents, lambda c: c["content"]))
+    return let(contents, lambda found: last_of_each(
+        F.transform(found, lambda c: c["header"]), F.transform(found, lambda c: c["content"])))
 
 
 def content_text(contents: Column) -> Column:

@@ -66,3 +66,9 @@ def test_maps_of_large_pages_grow_in_proportion(spark):
     seconds(10)
     few, many = seconds(300), seconds(3000)
     assert many < 20 * max(few, 0.3)
+
+
+def test_maps_evaluate_their_input_once(spark):
+    """An expression named twice, or within a lambda, is evaluated again for each, however dear it is."""
+    assert str(last_of_each(F.col("the_keys"), F.col("the_values"))).count("the_") == 2
+    assert str(S.content_map(F.col("the_contents"))).count("the_contents") == 1
