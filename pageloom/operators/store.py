@@ -125,13 +125,17 @@ def domain_rows(responses: DataFrame, as_of: Column) -> DataFrame:
         header("Content-Security-Policy").alias("security_policies"))
 
 
+# Rows a task writes, about: of larger tables several tasks write a bucket.
+ROWS_PER_WRITER = 100_000
+
+
 def _rewrite(path: str, table: str, new: DataFrame, combine, writers: int) -> None:
     """Replace the buckets that `new` falls in by `combine(old rows, new rows)`.
 
     New rows and merged buckets are written aside in the shared folder first, then over the old ones:
     a failure in between leaves the old or the new rows, and the job can be repeated.
     """
-    spark, key = new.sparkSession, BUCKETED[table]
+    spark = new.sparkSession
     staged = f"{run_dir(spark, 'merge')}/{table}"
     new.withColumn("bucket", bucket(table, bucket_count(spark, path))).write.parquet(f"{staged}-new")
     new = spark.read.parquet(f"{staged}-new")
@@ -145,7 +149,9 @@ def _rewrite(path: str, table: str, new: DataFrame, combine, writers: int) -> No
     if emptied:
         marks = spark.createDataFrame([(b,) for b in emptied], "bucket int")
         merged = merged.unionByName(marks, allowMissingColumns=True)
-    part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(writers))
+    # By row and not by what the bucket is told from: all files of a site fall in one bucket.
+    writers = max(writers, -(-merged.count() // ROWS_PER_WRITER))
+    part = F.pmod(F.xxhash64(F.lit("part"), *upsert_key(table)), F.lit(writers))
     (merged.repartition("bucket", part).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}"))
 
@@ -154,7 +160,7 @@ def merge_into(path: str, table: str, source: DataFrame, update: Sequence[str] |
                order: Sequence[str] = (), writers: int = 1) -> None:
     """Upsert into a stored table by its key, reading and rewriting only the buckets the source falls in.
 
-    `writers` tasks write a bucket. Of two source rows with a key the greatest by the columns `order` counts, which need not be
+    `writers` tasks write a bucket, or more where the rows are many. Of two source rows with a key the greatest by the columns `order` counts, which need not be
     columns of the table.
     """
     keys, more = upsert_key(table), [c for c in order if c not in TABLES[table].columns]
