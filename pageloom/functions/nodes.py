@@ -12,7 +12,7 @@ from collections.abc import Callable, Collection
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.lambdas import first, let, match, span
+from pageloom.functions.lambdas import first, last, let, match, span
 from pageloom.functions.text import strip
 
 NodeTest = Callable[[Column], Column]
@@ -106,18 +106,25 @@ def first_tag(dom: Column, tag: str) -> Column:
 def spread(dom: Column, test: NodeTest) -> Column:
     """array<boolean> by node id: the node or one of its ancestors passes `test`.
 
-    Parent links are followed by doubling: after k rounds a node has seen 2^k generations, so
-    the number of rounds is the bit length of the page's depth and no ancestor lists are kept.
+    Only the nodes that pass are sorted, by their starts and ends. One is in no other if as many of them ended before
+    it as began; the nodes of those are runs of the array, and what lies between is not in any.
     """
-    start = F.transform(dom, lambda n: F.struct(F.coalesce(test(n), F.lit(False)).alias("f"), n["parent"].alias("p")))
+    def repeated(value: bool, n: Column) -> Column:
+        return F.array_repeat(F.lit(value), n.cast("int"))
 
-    def double(acc: Column, _: Column) -> Column:
-        return F.transform(acc, lambda a: F.struct(
-            (a["f"] | F.coalesce(F.get(acc, a["p"])["f"], F.lit(False))).alias("f"),
-            F.coalesce(F.get(acc, a["p"])["p"], F.lit(-1)).alias("p"),
-        ))
+    def marked(hits: Column) -> Column:
+        order = F.sort_array(F.concat(F.transform(hits, lambda h: h["id"] * 2), F.transform(hits, lambda h: h["end"] * 2 + 1)))
+        places = F.filter(F.transform(order, lambda v, p: F.when(v % 2 == 0, p)), lambda p: p.isNotNull())
+        return let(let(places, lambda at: F.filter(hits, lambda h, j: F.get(at, j) == j * 2)), runs)
 
-    return F.transform(F.aggregate(F.sequence(F.lit(1), _rounds(dom)), start, double), lambda a: a["f"])
+    def runs(outer: Column) -> Column:
+        covered = F.transform(outer, lambda o, j: F.concat(
+            repeated(False, o["id"] - F.coalesce(F.get(outer, j - 1)["end"], F.lit(-1)) - 1), repeated(True, o["end"] - o["id"] + 1)))
+        return F.flatten(F.concat(covered, F.array(repeated(False, F.size(dom) - last(outer)["end"] - 1))))
+
+    found = F.transform(F.filter(dom, lambda n: F.coalesce(test(n), F.lit(False))), lambda n: F.struct(
+        n["id"].cast("long").alias("id"), n["end"].cast("long").alias("end")))
+    return let(found, lambda hits: F.when(F.size(hits) == 0, repeated(False, F.size(dom))).otherwise(marked(hits)))
 
 
 def _rounds(dom: Column) -> Column:
@@ -138,7 +145,13 @@ def nearest(dom: Column, test: NodeTest) -> Column:
 
 def by_node(dom: Column, ids: Column, values: Column) -> Column:
     """struct<at, values>: what `of_node` needs to find the one of `values` that stands where a node's id does in `ids`."""
-    return F.struct(match(F.transform(dom, lambda n: n["id"]), ids).alias("at"), values.alias("values"))
+    def placed(rows: Column) -> Column:
+        # An id's place among `ids` stands at the id; gaps are filled from one id to the next.
+        return F.flatten(F.transform(rows, lambda r, i: F.concat(
+            F.array_repeat(F.lit(None).cast("int"), r["id"] - F.coalesce(F.get(rows, i - 1)["id"], F.lit(-1)) - 1), F.array(r["at"]))))
+
+    rows = F.sort_array(F.transform(ids, lambda v, i: F.struct(v.alias("id"), i.alias("at"))))
+    return F.struct(let(rows, placed).alias("at"), values.alias("values"))
 
 
 def of_node(table: Column, n: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,17 +88,35 @@ def search_url(query: Column) -> Column:
 def resolve_url(base: Column, ref: Column) -> Column:
     """`ref` as seen from a page at `base` (RFC 3986). NULL or empty `ref` gives `base`.
 
-    Plain absolute paths come first: `when` evaluates later branches only for rows reaching them.
+    Plain addresses and absolute paths come first: `when` evaluates later branches only for rows reaching them.
     """
+    return _resolved(base, _origin(base), lambda: base_parts(base), ref)
+
+
+def base_parts(base: Column) -> Column:
+    """What `resolve_from` needs of a page's URL."""
+    return F.struct(
+        base.alias("base"), scheme(base).alias("base_scheme"), _origin(base).alias("origin"), _raw_path(base).alias("base_path"),
+        F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1).alias("base_query"))
+
+
+def resolve_from(parts: Column, ref: Column) -> Column:
+    """`resolve_url` where the base is taken apart already: once for all links of a page."""
+    return _resolved(parts["base"], parts["origin"], lambda: parts, ref)
+
+
+_PLAIN_URL = r"^https?://[^?#\x00-\x20]*\z"
+_PLAIN_PATH = r"(?s)^(?!//)(?!.*/\.\.?(?:/|\z))/[^?#\x00-\x20]*\z"
+
+
+def _resolved(base: Column, origin: Column, parts: Callable[[], Column], ref: Column) -> Column:
     ref = F.coalesce(ref, F.lit(""))
     return (
         F.when(ref == "", base)
-        .when(ref.rlike(r"^/(?!/)[^.?#\x00-\x20]*\z"), F.concat(_origin(base), ref))
+        .when(ref.rlike(_PLAIN_PATH), F.concat(origin, ref))
+        .when(base.isNotNull() & ref.rlike(_PLAIN_URL), ref)
         .otherwise(let(F.struct(
-            ref.alias("ref"), _tidy(ref).alias("clean"), scheme(base).alias("base_scheme"),
-            scheme(ref).alias("own"), _origin(base).alias("origin"), _raw_path(base).alias("base_path"),
-            F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1).alias("base_query"),
-        ), _resolve_parts))
+            ref.alias("ref"), _tidy(ref).alias("clean"), scheme(ref).alias("own"), parts().alias("of")), _resolve_parts))
     )
 
 
@@ -110,18 +130,19 @@ def _origin(base: Column) -> Column:
 
 
 def _resolve_parts(p: Column) -> Column:
-    foreign = (p["own"] != "") & ((p["own"] != p["base_scheme"]) | ~p["own"].isin(*_RELATIVE))
+    of = p["of"]
+    foreign = (p["own"] != "") & ((p["own"] != of["base_scheme"]) | ~p["own"].isin(*_RELATIVE))
 
     def with_rest(r: Column) -> Column:
         same_page = F.concat(
-            p["base_path"],
+            of["base_path"],
             F.when(r["after"].rlike(r"^\?[^#]"), r["after"]).otherwise(
-                F.concat(p["base_query"], F.regexp_replace(r["after"], r"^\?", ""))
+                F.concat(of["base_query"], F.regexp_replace(r["after"], r"^\?", ""))
             ),
         )
-        joined = F.concat(p["origin"], F.when(r["path"] == "", same_page).otherwise(
-            F.concat(let(_merge(p["base_path"], r["path"]), _without_dots), r["after"])))
-        absolute = F.concat(_prefix(F.when(p["own"] == "", p["base_scheme"]).otherwise(p["own"])), r["rest"])
+        joined = F.concat(of["origin"], F.when(r["path"] == "", same_page).otherwise(
+            F.concat(let(_merge(of["base_path"], r["path"]), _without_dots), r["after"])))
+        absolute = F.concat(_prefix(F.when(p["own"] == "", of["base_scheme"]).otherwise(p["own"])), r["rest"])
         whole = F.when(r["rest"].startswith("//"), absolute).otherwise(joined)
         # An empty query or fragment leaves no mark.
         whole = F.regexp_replace(whole, r"^([^?#]*)\?(?=#|\z)", "$1")

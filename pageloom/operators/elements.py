@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import nodes as N
 from pageloom.functions.lambdas import first, let, match
 from pageloom.functions.text import sanitize, strip
-from pageloom.functions.urls import domain_url, resolve_url
+from pageloom.functions.urls import base_parts, domain_url, resolve_from, resolve_url
 from pageloom.operators.shred import HEADINGS, VOID
 
 # Fixed values.
@@ -42,15 +42,14 @@ def pretty_html(dom: Column) -> Column:
     def line(n: Column) -> Column:
         body = (
             F.when(n["kind"] == "element", F.concat(
-                F.lit("<"), n["tag"], attributes(n),
+                F.lit("<"), n["tag"], F.when(F.size(n["attrs"]) == 0, F.lit("")).otherwise(attributes(n)),
                 F.when(n["tag"].isin(*_VOID), F.lit("/>")).otherwise(F.lit(">"))))
             .when(n["kind"] == "comment", F.concat(F.lit("<!--"), N.string(n), F.lit("-->")))
             .when(n["kind"] == "other", F.concat(F.lit("<!"), N.string(n), F.lit(">")))
-            .when(n["kind"] == "raw", strip(N.string(n)))
-            .otherwise(_escape(strip(N.string(n))))
+            .otherwise(let(strip(N.string(n)), lambda s: F.when(
+                s != "", F.when(n["kind"] == "raw", s).otherwise(_escape(s)))))
         )
-        return F.when(~(n["kind"].isin("text", "raw") & (strip(N.string(n)) == "")),
-                      F.concat(F.repeat(F.lit(" "), n["depth"]), body))
+        return F.concat(F.repeat(F.lit(" "), n["depth"]), body)
 
     def closing(n: Column) -> Column:
         return F.concat(F.repeat(F.lit(" "), n["depth"]), F.lit("</"), n["tag"], F.lit(">"))
@@ -163,11 +162,11 @@ _LINK = "array<struct<text:string,href:string,class_attr:string,id_attr:string>>
 def links(dom: Column, url: Column) -> Column:
     """Anchors whose first direct string is not blank: text, resolved href, class, id (NULL if none)."""
     anchors = F.filter(dom, lambda n: N.is_tag(n, "a") & (sanitize(N.lead(n)) != ""))
-    return F.transform(anchors, lambda n: F.struct(
+    return let(base_parts(url), lambda base: F.transform(anchors, lambda n: F.struct(
         sanitize(N.lead(n)).alias("text"),
-        resolve_url(url, N.attr(n, "href")).alias("href"),
+        resolve_from(base, N.attr(n, "href")).alias("href"),
         N.attr_or_empty(n, "class").alias("class_attr"),
-        F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr"))).cast(_LINK)
+        F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr")))).cast(_LINK)
 
 
 def link_rows(shredded: DataFrame) -> DataFrame:
@@ -182,11 +181,11 @@ def link_rows(shredded: DataFrame) -> DataFrame:
 
 def images(dom: Column, url: Column) -> Column:
     """Every img: resolved src (the page itself when missing), alt, class, id."""
-    return F.transform(N.tagged(dom, "img"), lambda n: F.struct(
-        resolve_url(url, N.attr(n, "src")).alias("src"),
+    return let(base_parts(url), lambda base: F.transform(N.tagged(dom, "img"), lambda n: F.struct(
+        resolve_from(base, N.attr(n, "src")).alias("src"),
         N.attr_or_empty(n, "alt").alias("alt"),
         N.attr_or_empty(n, "class").alias("class_attr"),
-        F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr")))
+        F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr"))))
 
 
 def image_rows(shredded: DataFrame) -> DataFrame:
@@ -209,12 +208,12 @@ def image_links(dom: Column, url: Column) -> Column:
     tags = N.tagged(dom, *IMAGE_TAGS)
     raw = F.flatten(F.transform(tags, lambda n: F.array(*[candidate(N.attr(n, a)) for a in IMAGE_ATTRS])))
     pictures = F.filter(raw, lambda v: N.contains_any(v, IMAGE_EXTENSIONS))
-    return F.array_distinct(F.transform(pictures, lambda v: resolve_url(url, v)))
+    return F.array_distinct(let(base_parts(url), lambda base: F.transform(pictures, lambda v: resolve_from(base, v))))
 
 
-def images_with_alt(dom: Column, url: Column) -> Column:
+def images_with_alt(dom: Column, url: Column, found: Column | None = None) -> Column:
     """array<struct<src, alt>>: for each image link, the imgs whose src equals it as written,
-    else those whose data-src does, else those whose nitro-lazy-src does."""
+    else those whose data-src does, else those whose nitro-lazy-src does. `found` are the image links, where they are known."""
     def of(attribute: str):
         return lambda imgs: F.transform(imgs, lambda n: N.attr(n, attribute))
 
@@ -233,15 +232,15 @@ def images_with_alt(dom: Column, url: Column) -> Column:
         return F.transform(F.sort_array(found), lambda f: F.struct(f["src"], f["alt"]))
 
     src, lazy, nitro = of("src"), of("data-src"), of("nitro-lazy-src")
-    return let(image_links(dom, url), lambda links_: let(N.tagged(dom, "img"), lambda imgs: let(F.struct(
+    return let(image_links(dom, url) if found is None else found, lambda links_: let(N.tagged(dom, "img"), lambda imgs: let(F.struct(
         match(src(imgs), links_).alias("src"), match(lazy(imgs), links_).alias("data-src"), match(nitro(imgs), links_).alias("nitro-lazy-src"),
         match(lazy(imgs), src(imgs)).alias("lazy_in_src"), match(nitro(imgs), src(imgs)).alias("nitro_in_src"),
         match(nitro(imgs), lazy(imgs)).alias("nitro_in_lazy")), lambda e: with_places(imgs, e))))
 
 
-def filtered_images(dom: Column, url: Column) -> Column:
-    """`images_with_alt` without those whose alt text names an icon, logo and the like."""
-    return F.filter(images_with_alt(dom, url), lambda i: ~N.contains_any(F.lower(i["alt"]), DULL_ALT_WORDS))
+def filtered_images(dom: Column, url: Column, found: Column | None = None) -> Column:
+    """`images_with_alt` (`found`, where it is known) without those whose alt text names an icon, logo and the like."""
+    return F.filter(images_with_alt(dom, url) if found is None else found, lambda i: ~N.contains_any(F.lower(i["alt"]), DULL_ALT_WORDS))
 
 
 def hrefs(dom: Column) -> Column:

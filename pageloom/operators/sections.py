@@ -22,7 +22,7 @@ _CODE_CLASSES = ("highlight", "code")
 
 
 def _is_heading(n: Column) -> Column:
-    return F.coalesce(n["tag"].rlike("^h[0-9]+$"), F.lit(False))
+    return F.coalesce(n["tag"].startswith("h") & n["tag"].rlike("^h[0-9]+$"), F.lit(False))
 
 
 def clean(n: Column) -> Column:
