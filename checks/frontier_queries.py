@@ -59,8 +59,11 @@ first AS (SELECT canonical_url, min(batch) AS batch FROM visit GROUP BY 1),
 met AS (SELECT f.canonical_url, f.batch, min(ts) AS seen_at FROM first f JOIN visit v ON v.canonical_url = f.canonical_url AND v.batch = f.batch GROUP BY 1, 2)"""
 
 
-def _visits(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """The visits written batch by batch, as files of a stream."""
+VISITS_PER_FILE = 25_000
+
+
+def _visits(spark: SparkSession, sf_dir: str, path: str) -> int:
+    """The visits written batch by batch, as files of a stream; how many files make a batch, the same for all."""
     n = F.col("event_id")
     url = F.concat(F.lit("https://site"), (F.col("user_id") % 13).cast("string"), F.lit(".example.com/u/"), F.col("user_id").cast("string"), F.lit("/"),
                    (F.round("value").cast("long") % 5).cast("string"))
@@ -68,8 +71,12 @@ def _visits(spark: SparkSession, sf_dir: str, path: str) -> None:
     late = F.when(n % 7 == 0, 1).otherwise(0) + F.when(n % 11 == 0, 2).otherwise(0)
     visits = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         odd.alias("url"), F.col("ts").cast("timestamp").alias("seen_at"), F.least(F.floor(F.dayofmonth("ts") / 6).cast("int") + late, F.lit(5)).alias("batch"))
+    sizes = {r["batch"]: r["count"] for r in visits.groupBy("batch").count().collect()}
+    files = max(1, min(sizes.get(batch, 0) for batch in range(6)) // VISITS_PER_FILE)
     for batch in range(6):
-        visits.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(path)
+        mine = visits.where(F.col("batch") == batch).drop("batch")
+        (mine.repartition(files) if files > 1 else mine.coalesce(1)).write.mode("append").parquet(path)
+    return files
 
 
 @register(f"""WITH {_VISITS}, marks AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM visit GROUP BY batch)
@@ -77,9 +84,9 @@ SELECT canonical_url, met.batch::BIGINT AS batch, seen_at, coalesce(seen_at < ne
 def frontier_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits streamed twice, the second time as another stream, which finds nothing new; folders are put together in between."""
     path = run_dir(spark, "frontier")
-    _visits(spark, sf_dir, f"{path}/in")
+    files = _visits(spark, sf_dir, f"{path}/in")
     for run in ("first", "again"):
-        urls = spark.readStream.schema("url string, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        urls = spark.readStream.schema("url string, seen_at timestamp").option("maxFilesPerTrigger", files).parquet(f"{path}/in")
         Q.frontier(urls, f"{path}/store", f"{path}/{run}", delay="2 days", trigger={"availableNow": True}, buckets=8).awaitTermination()
     found = Q.given_out(spark, f"{path}/store")
     first = found.where(F.col("source") == Q.source_of(f"{path}/first"))

@@ -19,6 +19,8 @@ from pageloom.session import run_dir
 ROW = "canonical_url string, url string, seen_at timestamp, late boolean"
 SEEN, MARKS = f"{ROW}, source string, batch long, bucket int", "newest timestamp, source string, batch long"
 BUCKETS = 64
+# URLs a task writes, about.
+URLS_PER_WRITER = 200_000
 
 
 def _folder(store: str, kind: str, source: str, batch: int) -> str:
@@ -68,7 +70,9 @@ def store_urls(store: str, urls: DataFrame, source: str, batch: int, event_time:
     newest = _marks(spark, store).where((F.col("source") == source) & (F.col("batch") < batch)).agg(F.max("newest")).first()[0]
     behind: Column = F.lit(False) if newest is None else F.col("seen_at") < F.lit(newest) - F.expr(f"INTERVAL {delay}")
     fresh = rows.join(known, ["canonical_url", "bucket"], "left_anti").select("canonical_url", "url", "seen_at", behind.alias("late"), "bucket")
-    fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_folder(store, "seen", source, batch))
+    # Large batches are written by several tasks a bucket.
+    part = F.pmod(F.xxhash64(F.lit("part"), "canonical_url"), F.lit(-(-rows.count() // URLS_PER_WRITER) or 1))
+    fresh.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(_folder(store, "seen", source, batch))
     urls.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(_folder(store, "marks", source, batch))
 
 
