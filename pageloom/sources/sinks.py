@@ -18,7 +18,7 @@ _OVERVIEW = ("uuid", "website", "url", "unique_page_name", "page_title")
 
 
 def json_string(c: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
+    return let(F.to_json(F.array(c)), lambda j: F.substr(j, F.lit(2), F.length(j) - 2))
 
 
 def _member(key: Column, value: Column) -> Column:
@@ -176,6 +176,8 @@ def write_documents(documents: DataFrame, column: str, path: str) -> None:
 
 DOCUMENT = "unique_page_name string, members array<struct<key:string,value:string>>, bucket int"
 BUCKETS = 64
+# Documents a task writes, about: large buckets are written by several.
+DOCUMENTS_PER_WRITER = 10_000
 
 
 def read_organized(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +202,9 @@ def merge_organized(documents: DataFrame, path: str, buckets: int = BUCKETS) ->
     old = read_organized(spark, path).where(F.col("bucket").isin(touched)).withColumnRenamed("members", "before")
     both = old.join(new, ["unique_page_name", "bucket"], "full_outer")
     both.select("unique_page_name", merged_members(F.col("before"), F.col("members")).alias("members"), "bucket").write.parquet(f"{folder}/merged")
-    (spark.read.schema(DOCUMENT).parquet(f"{folder}/merged").repartition("bucket").write.mode("overwrite")
+    merged = spark.read.schema(DOCUMENT).parquet(f"{folder}/merged")
+    part = F.pmod(F.xxhash64(F.lit("part"), "unique_page_name"), F.lit(-(-merged.count() // DOCUMENTS_PER_WRITER) or 1))
+    (merged.repartition("bucket", part).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/documents"))
 
 
