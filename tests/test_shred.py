@@ -1,11 +1,13 @@
 """The tree's rules, checked against a second, independent reading of the same pages."""
 
 import html as html_module
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from pageloom.functions import nodes as N
+from pageloom.operators import shred as S
 from pageloom.operators.shred import shred
 
 
@@ -94,3 +96,27 @@ def test_output_batches_split(spark):
     df = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit(html).alias("html"))
     sizes = shred(df).groupBy(F.size("dom").alias("n")).count().collect()
     assert [(r["n"], r["count"]) for r in sizes] == [(4000, 40)]
+
+
+def test_plain_tags_are_read_as_the_library_reads_them(monkeypatch):
+    bits = ["<p>", "</p>", "<P>", "</P >", '<div class="a b">', "</div>", "<br/>", '<img src="x" alt="a &amp; b&copy=2">', "<img src=x alt>", "<a href='i' id=\"i\">",
+            "</a>", "<script>", '<script type="x">"<p>";', "</script>", "<title>", "</title>", "<!-- c -->", "<![foo y]>", "text", "&lt;b", "&", "<", '<a b="c"d="e">',
+            '<A  B="x\n" b="y" >', '<x-y z="1">', "<p\x0bq=\"1\">", '<p a="1', "</", '</a b="c">', "<pre>", "</pre>", "<xmp>", "\x00", '<p =x="1">', "<style>", "</style>"]
+    chance, want = random.Random(4), {"parts_of": None, "parts_of_class": frozenset(), "text_nodes": True, "attrs": None, "decode_twice": "both"}
+    pages = ["".join(chance.choices(bits, k=chance.randrange(1, 25))) for _ in range(3000)]
+
+    def read(pages):
+        reader = S._TreeReader(want)
+        for source in pages:
+            reader.add_page(source)
+        return [column.to_pylist() for column in reader.to_arrow()]
+
+    asked = []
+    library = S.HTMLParser.parse_starttag
+    monkeypatch.setattr(S.HTMLParser, "parse_starttag", lambda self, i: asked.append(i) or library(self, i))
+    plain = read(['<div class="a"><p>x</p><br></div>'] * 5)
+    assert not asked and [n["tag"] for n in plain[0][0]][:2] == ["div", "p"]
+    found = read(pages)
+    for pattern in ("_PLAIN_START", "_PLAIN_END"):
+        monkeypatch.setattr(S, pattern, re.compile("(?!)"))
+    assert read(pages) == found
