@@ -19,6 +19,7 @@ from pageloom.plans.options import extract
 from pageloom.plans.crawl import crawl_items, item_sitemap_contents, item_sitemap_links
 from pageloom.session import run_dir
 from pageloom.sources import sinks
+from pageloom.sources.shredded import ATTRIBUTES, read_shredded
 
 C_URL = "'https://shop' || c_nationkey || '.example.com/c/' || c_custkey || '/index.html'"
 C_HOST = "'https://shop' || c_nationkey || '.example.com'"
@@ -280,10 +281,13 @@ def sitemap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0")
     robots = nations.select(D.template("https://shop{n_nationkey}.example.com/robots.txt").alias("url"),
                             D.template("# n\nSitemap: https://m.example.com/{n_nationkey}\n").alias("body"))
-    source = M.with_robots(D.customer_pages(spark, sf_dir), robots)
-    links = extract(source, ["find_sitemap_link"]).select("page_id", F.col("processed_values.find_sitemap_link").alias("sitemap_link"))
-    entries = shred(D.customer_pages(spark, sf_dir), attrs=("href", "rel")).select(
-        "page_id", M.sitemap_entry(F.col("dom"), F.col("url")).alias("sitemap_entry"))
+    path = run_dir(spark, "shredded")
+    page = shred(D.customer_pages(spark, sf_dir), attrs=("href", "rel"))
+    links_only = F.filter("dom", lambda n: n["tag"].isin("a", "link"))  # all that either side looks at
+    page.select("page_id", "url", links_only.alias("dom")).write.parquet(path)
+    stored = read_shredded(spark, path, ATTRIBUTES, columns=("page_id", "url"))
+    links = extract(M.with_robots(stored, robots), ["find_sitemap_link"]).select("page_id", F.col("processed_values.find_sitemap_link").alias("sitemap_link"))
+    entries = stored.select("page_id", M.sitemap_entry(F.col("dom"), F.col("url")).alias("sitemap_entry"))
     return entries.join(links, "page_id")
 
 

@@ -49,15 +49,19 @@ class _Walk:
         """Every round's rows, with the round."""
         return self.spark.read.schema(f"{columns}, round int").parquet(f"{self.root}/{kind}")
 
-    def latest(self) -> DataFrame:
-        """(url, seeds) as they are now."""
-        return self.all("urls", "url string, seeds string").groupBy("url").agg(F.max_by("seeds", "round").alias("seeds"))
+    def latest(self, of: DataFrame | None = None) -> DataFrame:
+        """(url, seeds) as they are now, of the URLs in `of` (url) if given."""
+        urls = self.all("urls", "url string, seeds string")
+        urls = urls if of is None else urls.join(of, "url", "left_semi")
+        return urls.groupBy("url").agg(F.max_by("seeds", "round").alias("seeds"))
 
     def step(self) -> bool:
         """Hand the sets that changed one link further; false when nothing changes."""
         self.round += 1
         come = self._kept("come", self.links.join(self.changed, "url").select(F.col("listed").alias("url"), "seeds").distinct())
-        now = self.latest().join(come.select("url").distinct(), "url", "left_semi")
+        if come.isEmpty():
+            return False
+        now = self.latest(come.select("url"))
         both = come.withColumn("own", F.lit(False)).unionByName(now.withColumn("own", F.lit(True)))
         both = self._kept("both", both.groupBy("url", "seeds").agg(F.max("own").alias("own")))
         # A file's parts have a name as a set of sets; files with the same parts get the same union.
@@ -88,7 +92,7 @@ def reach(seeds: DataFrame, files: DataFrame) -> Reach:
     walk = _Walk(seeds, sitemap_links(files).where("is_sitemap"))
     while walk.step():
         pass
-    return Reach(walk.latest(), walk.all("sets", "seeds string, seed string").select("seeds", "seed"))
+    return Reach(walk._kept("reached", walk.latest()), walk.all("sets", "seeds string, seed string").select("seeds", "seed"))
 
 
 def used_sets(found: Reach) -> DataFrame:
