@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import nodes as N
-from pageloom.functions.lambdas import first, last, let
+from pageloom.functions.lambdas import count_before, first, last, let
 
 # Class names of the div-role tables.
 TABLE_CLASS = "dvmd_tm_table"
@@ -126,20 +126,32 @@ def search_results(dom: Column, names: Mapping[str, str] = SERP_CLASSES) -> Colu
 
         return let(F.struct(asked.alias("asked"), shown.alias("shown")), with_lists)
 
-    def below(steps: list[str], allowed: Column | None) -> Column:
-        """Ids of elements with the last class, each earlier class on an ancestor in turn."""
-        def here(n: Column) -> Column:
-            test = (n["kind"] == "element") & N.has_class(n, steps[0])
-            return test if allowed is None else test & N.flag(allowed, n["parent"])
+    def below(steps: list[str]) -> Column:
+        """Ids of elements with the last class, each earlier class on an ancestor in turn.
 
-        if len(steps) == 1:
-            return F.transform(F.filter(dom, here), lambda n: n["id"])
-        return let(N.spread(dom, here), lambda flags: below(steps[1:], flags))
+        The steps are one fold over the elements of each class: nested in each other they take the analyzer more rounds than it makes.
+        """
+        def holding(name: str) -> Column:
+            return F.transform(F.filter(dom, lambda n: (n["kind"] == "element") & N.has_class(n, name)), lambda n: F.struct(
+                n["id"].cast("long").alias("id"), n["end"].cast("long").alias("end")))
+
+        def inside(outer: Column, items: Column) -> Column:
+            # An element is in one of the outer ones if more of them began before it than ended.
+            ids = F.transform(items, lambda c: c["id"] * 2)
+            return let(F.struct(
+                count_before(F.transform(outer, lambda o: o["id"] * 2 + 1), ids).alias("began"),
+                count_before(F.transform(outer, lambda o: o["end"] * 2 + 1), ids).alias("ended")),
+                lambda m: F.filter(items, lambda c, j: F.get(m["began"], j) > F.get(m["ended"], j)))
+
+        def chained(held: Column) -> Column:
+            return F.transform(F.aggregate(F.slice(held, 2, len(steps)), first(held), inside), lambda c: c["id"])
+
+        return let(F.array(*map(holding, steps)), chained)
 
     main = first(F.filter(dom, lambda n: N.is_tag(n, "div") & N.has_class(n, names["main"])))
 
     def inside_main(m: Column) -> Column:
-        ids = F.filter(below(names["path"].split(), None), lambda i: (i > m["id"]) & (i <= m["end"]))
+        ids = F.filter(below(names["path"].split()), lambda i: (i > m["id"]) & (i <= m["end"]))
         return let(F.struct(ids.alias("results")), with_results)
 
     return F.coalesce(let(main, inside_main), F.array().cast(
