@@ -132,8 +132,13 @@ def meta_tags(dom: Column) -> Column:
 
 def header_structure(dom: Column) -> Column:
     """JSON `{"title": .., "meta_tags": [..]}`, encoded once; absent names and contents are left out."""
-    known = F.to_json(F.struct(title(dom).alias("title"), meta_tags(dom).alias("meta_tags")))
-    return F.when(title(dom).isNull(), F.concat(F.lit('{"title":null,'), F.substring(known, 2, 2_000_000_000))).otherwise(known)
+    return header_json(title(dom), meta_tags(dom))
+
+
+def header_json(title_: Column, metas: Column) -> Column:
+    """`header_structure` of a title and meta tags that are known."""
+    known = F.to_json(F.struct(title_.alias("title"), metas.alias("meta_tags")))
+    return F.when(title_.isNull(), F.concat(F.lit('{"title":null,'), F.substring(known, 2, 2_000_000_000))).otherwise(known)
 
 
 def json_ld(dom: Column) -> Column:
@@ -159,14 +164,14 @@ def json_ld_rows(shredded: DataFrame) -> DataFrame:
 _LINK = "array<struct<text:string,href:string,class_attr:string,id_attr:string>>"
 
 
-def links(dom: Column, url: Column) -> Column:
-    """Anchors whose first direct string is not blank: text, resolved href, class, id (NULL if none)."""
-    anchors = F.filter(dom, lambda n: N.is_tag(n, "a") & (sanitize(N.lead(n)) != ""))
-    return let(base_parts(url), lambda base: F.transform(anchors, lambda n: F.struct(
-        sanitize(N.lead(n)).alias("text"),
-        resolve_from(base, N.attr(n, "href")).alias("href"),
-        N.attr_or_empty(n, "class").alias("class_attr"),
-        F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr")))).cast(_LINK)
+def links(dom: Column, url: Column, base: Column | None = None) -> Column:
+    """Anchors whose first direct string is not blank: text, resolved href, class, id (NULL if none). `base` are the URL's `base_parts`, where they are known."""
+    named = F.filter(F.transform(N.tagged(dom, "a"), lambda n: F.struct(sanitize(N.lead(n)).alias("text"), n["attrs"].alias("attrs"))), lambda a: a["text"] != "")
+    return let(base_parts(url) if base is None else base, lambda of: F.transform(named, lambda a: F.struct(
+        a["text"].alias("text"),
+        resolve_from(of, N.attr(a, "href")).alias("href"),
+        N.attr_or_empty(a, "class").alias("class_attr"),
+        F.nullif(N.attr(a, "id"), F.lit("")).alias("id_attr")))).cast(_LINK)
 
 
 def link_rows(shredded: DataFrame) -> DataFrame:
@@ -179,10 +184,10 @@ def link_rows(shredded: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", "a.text", resolve_url(F.col("url"), F.col("a.href")).alias("href"), "a.class_attr", "a.id_attr")
 
 
-def images(dom: Column, url: Column) -> Column:
-    """Every img: resolved src (the page itself when missing), alt, class, id."""
-    return let(base_parts(url), lambda base: F.transform(N.tagged(dom, "img"), lambda n: F.struct(
-        resolve_from(base, N.attr(n, "src")).alias("src"),
+def images(dom: Column, url: Column, base: Column | None = None) -> Column:
+    """Every img: resolved src (the page itself when missing), alt, class, id. `base` are the URL's `base_parts`, where they are known."""
+    return let(base_parts(url) if base is None else base, lambda of: F.transform(N.tagged(dom, "img"), lambda n: F.struct(
+        resolve_from(of, N.attr(n, "src")).alias("src"),
         N.attr_or_empty(n, "alt").alias("alt"),
         N.attr_or_empty(n, "class").alias("class_attr"),
         F.nullif(N.attr(n, "id"), F.lit("")).alias("id_attr"))))

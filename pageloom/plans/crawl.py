@@ -7,8 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions import nodes as N
 from pageloom.functions import text as X
 from pageloom.functions.lambdas import let
+from pageloom.functions.urls import base_parts
 from pageloom.operators import elements as E
 from pageloom.operators import sections as S
 from pageloom.operators.shred import HEADINGS, shred
@@ -18,6 +20,8 @@ from pageloom.sources.snapshots import parse_snapshots
 
 ITEM_ATTRS = ("href", "src", "alt", "class", "id", "name", "content", "type", "rel")
 ITEM_PARTS = ("a", "title", "script")
+# The elements an item is made of and those around them: more than ten, as Spark looks so many up by hash and compares fewer one by one.
+ITEM_TAGS = ("a", "img", "script", "title", "link", "body", "head", "html", "meta", "base", "style")
 
 
 def _source(pages: DataFrame, *columns: str) -> DataFrame:
@@ -32,12 +36,14 @@ def crawl_items(pages: DataFrame) -> DataFrame:
     documents that parse, as text. Pages may come shredded, as for the other jobs here.
     """
     page = shred(_source(pages, "page_id", "url", "html"), parts_of=ITEM_PARTS, attrs=ITEM_ATTRS, keep_html=True)
-    dom, url, html = F.col("dom"), F.col("url"), F.col("html")
+    dom, url, html, nodes, base = F.col("dom"), F.col("url"), F.col("html"), F.col("nodes"), F.col("base")
+    # What several columns need is a column first, as each would work it out again; the whole page goes no further.
+    page = page.select("page_id", "url", "html", "dom_strings", N.tagged(dom, *ITEM_TAGS).alias("nodes"), E.meta_tags(dom).alias("metas"), base_parts(url).alias("base"))
     return page.select(
-        "page_id", "url", E.title(dom).alias("title"), X.sanitize(E.fragment(dom, html, "body")).alias("clean_body"),
-        E.header_structure(dom).alias("header_structure"), E.links(dom, url).alias("links"),
-        E.images(dom, url).alias("images"), E.json_ld_valid(dom).alias("schema_org_data"),
-        sitemap_entry(dom, url).alias("sitemap_entry"))
+        "page_id", "url", E.title(nodes).alias("title"), X.sanitize(E.fragment(nodes, html, "body")).alias("clean_body"),
+        E.header_json(E.title(nodes), F.col("metas")).alias("header_structure"), E.links(nodes, url, base).alias("links"),
+        E.images(nodes, url, base).alias("images"), E.json_ld_valid(nodes).alias("schema_org_data"),
+        sitemap_entry(nodes, url).alias("sitemap_entry"))
 
 
 def item_sitemap_links(reached: DataFrame) -> DataFrame:
