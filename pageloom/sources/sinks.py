@@ -152,8 +152,10 @@ def rendered_text(o: Column, contents: Column) -> Column:
     return F.array_join(F.concat(F.array(F.lit("overview")), about, heading, under), "\n")
 
 
-DOCUMENTS = {"organized": organized_json, "structured": structured_json, "text": rendered_text, "members": organized_members}
-TEXTS = ("organized", "structured", "text")
+# Documents that are texts; the members of an organized one are an array, to be merged before they are written out.
+DOCUMENTS = {"organized": organized_json, "structured": structured_json, "text": rendered_text}
+TEXTS = tuple(DOCUMENTS)
+_MADE = {**DOCUMENTS, "members": organized_members}
 
 
 def page_documents(shredded: DataFrame, dropped=None, kinds: tuple[str, ...] = TEXTS) -> DataFrame:
@@ -163,7 +165,7 @@ def page_documents(shredded: DataFrame, dropped=None, kinds: tuple[str, ...] = T
     # A column at a time: what is used more than once is computed once, and expressions stay small.
     page = shredded.select("page_id", "unique_page_name", organized(dom, about, dropped).alias("o"))
     page = page.withColumn("groups", _by_header(F.col("o.blocks"))).withColumn("contents", _contents(F.col("o"), F.col("groups")))
-    return page.select("page_id", "unique_page_name", *(DOCUMENTS[kind](F.col("o"), F.col("contents")).alias(kind) for kind in kinds))
+    return page.select("page_id", "unique_page_name", *(_MADE[kind](F.col("o"), F.col("contents")).alias(kind) for kind in kinds))
 
 
 def write_documents(documents: DataFrame, column: str, path: str) -> None:
